@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm import license_scan, mixing, near_dedup, packing, quality_rules, rlz_dedup, suffix_dedup, topk
+from sievemark.llm import ctw, license_scan, mixing, near_dedup, packing, quality_rules, rlz_dedup, suffix_dedup, token_files, topk
+from sievemark.llm.shared import scratch_dir
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +19,14 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.duplicate_spans(_documents(spark, sf_dir))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write(_documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"), 2)
+    return token_files.digests(spark.read.parquet(path))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.judged(quality_rules.ledger(_documents(spark, sf_dir)))
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_upper", "n_lines", "fail_bits")
@@ -34,6 +45,10 @@ def op5_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(_documents(spark, sf_dir))
 
 
+def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.scores(_documents(spark, sf_dir))
+
+
 def op7_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz_dedup.removed(_documents(spark, sf_dir))
 
@@ -52,7 +67,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op3_quality_rules, op4_exact_topk, op5_dart_minhash, op7_rlz_dedup, op8_pfair_mixing, op9_best_fit_packing, op10_license_scan)
+    for f in (op1_suffix_dedup, op2_token_files, op3_quality_rules, op4_exact_topk, op5_dart_minhash, op6_context_tree, op7_rlz_dedup, op8_pfair_mixing, op9_best_fit_packing, op10_license_scan)
 }
 
 ORACLE_SQL = {
