@@ -19,13 +19,16 @@ from __future__ import annotations
 import heapq
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemark.llm.shared import partitions, running_totals, stored
 
 BLOCK_WORDS, CYCLE, TEMPERATURE = 4096, 1024, 0.5
-WORD_COUNT = F.size(F.array_remove(F.split(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
+
+
+def word_count(text: str = "text") -> Column:
+    return F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
 
 
 def slots_for(weights: dict, cycle: int = CYCLE) -> tuple[int, dict]:
@@ -97,13 +100,13 @@ def placed(rows: DataFrame, weights: dict | None = None, block_words: int = BLOC
 
 def order_of(docs: DataFrame, weights: dict | None = None, block_words: int = BLOCK_WORDS, cycle: int = CYCLE) -> DataFrame:
     """One row for each document: doc_id, source, n_words, block, slot, words_before."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", WORD_COUNT.alias("n_words"), F.hash("text").alias("tie"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("n_words"), F.hash("text").alias("tie"))
     return placed(rows, weights, block_words, cycle).select("doc_id", "source", "n_words", "block", "slot", F.col("before").alias("words_before"))
 
 
 def mixed(docs: DataFrame, weights: dict | None = None, block_words: int = BLOCK_WORDS, cycle: int = CYCLE) -> DataFrame:
     """The documents, all columns as they were, in the mixed order over the partitions."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", WORD_COUNT.alias("n_words"), F.hash("text").alias("tie"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("n_words"), F.hash("text").alias("tie"))
     places = placed(rows, weights, block_words, cycle).groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("tie").alias("_t")).agg(F.min("slot").alias("_slot"), F.min("rank").alias("_rank"))
     on = docs["doc_id"].cast("long").eqNullSafe(places["_d"]) & docs["source"].eqNullSafe(places["_s"]) & (F.hash(docs["text"]) == places["_t"])
     joined = docs.join(places.hint("merge"), on).select(*(docs[c] for c in docs.columns), places["_slot"], places["_s"], places["_rank"])

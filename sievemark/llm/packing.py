@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.llm.mixing import WORD_COUNT
+from sievemark.llm.mixing import word_count
 from sievemark.llm.shared import running_totals, stored
 
 SIZES = (512, 1024, 2048, 4096)
@@ -187,7 +187,7 @@ def packed_lengths(lengths: DataFrame, sizes: tuple[int, ...] = SIZES, cost: Cal
 
 def pieces(docs: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame:
     """Where the words of each document go."""
-    lengths = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("tie"), WORD_COUNT.alias("length"))
+    lengths = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("tie"), word_count().alias("length"))
     return packed_lengths(lengths, sizes)
 
 

@@ -189,7 +189,8 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> Dat
     lists = spans.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "cnt")).alias("_spans")).withColumnsRenamed({"doc_id": "_d", "fp": "_f"})
     fp = F.hash(F.coalesce(docs["text"].cast("string"), F.lit("")))
     joined = docs.join(lists.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(lists["_d"]) & (fp == lists["_f"]), "left").select(*(docs[c] for c in docs.columns), lists["_spans"])
-    place = docs.columns.index("text")
+    names = docs.columns
+    place = names.index("text")
 
     def run(batches):
         for b in batches:
@@ -213,7 +214,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> Dat
                 pick = np.arange(b.num_rows)
                 pick[at] = b.num_rows + np.arange(len(at))
                 columns[place] = both.take(pa.array(pick))
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     out = joined.mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:
