@@ -8,9 +8,11 @@ Texts that agree in a band of coordinates are candidates; their Jaccard similari
 exactly from the shingle sets, and the classes are the connected components of the pairs at or
 above the threshold.
 
-Within a band's bucket no pairs are listed: one member leads and is compared with the others, and
-further members lead only while the bucket still spans several components, so that no link between
-them is missed. Texts of the same words are one node throughout. Nothing is gathered on the driver;
+Within a band's bucket not all pairs are listed: a few members lead and are compared with the others
+of other components; more lead, eight times as many each round, only while the bucket still spans
+several components and has members that have not led, so that no link between them is missed. Who
+shares most buckets leads first, and the exact distances to it rule out, by the triangle
+inequality, most of the pairs that are left. Texts of the same words are one node throughout. Nothing is gathered on the driver;
 components come from joins over written tables.
 
 Defined results: texts without words (null, empty) are classes of their own; texts shorter than a
@@ -35,6 +37,7 @@ from sievemark.llm.wordscan import Runs, U, Words, mix, text_chunks
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 28, 5
+FIRST_LEADERS, LEADER_GROWTH = 2, 8
 FIRST_SLICE = -8  # the first slice of the rank axis ends at 2**-8, each later one at twice the last
 
 
@@ -154,23 +157,21 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The (a, b) pairs whose sets have that Jaccard similarity."""
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Adds ``sim``, the Jaccard similarity of the sets, to (a, b, lead) rows."""
 
     def run(batches):
         for b in batches:
-            ok = np.zeros(b.num_rows, bool)
+            sim = np.zeros(b.num_rows)
             for i in range(b.num_rows):
-                x, y = (np.frombuffer(b.column(j)[i].as_buffer(), "uint64") for j in (2, 3))
-                if min(len(x), len(y)) < threshold * max(len(x), len(y)):
-                    continue
+                x, y = (np.frombuffer(b.column(j)[i].as_buffer(), "uint64") for j in (3, 4))
                 both = np.sort(np.concatenate([x, y]))
                 common = int((both[1:] == both[:-1]).sum())
-                ok[i] = common >= threshold * (len(x) + len(y) - common) - 1e-9
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], names=["a", "b"])
+                sim[i] = common / (len(x) + len(y) - common)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sim)], names=["a", "b", "lead", "sim"])
 
     x, y = (sets.select(F.col("node").alias(n), F.col("regions").alias(r)) for n, r in (("a", "x"), ("b", "y")))
-    return pairs.join(y.hint("merge"), "b").join(x.hint("merge"), "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(y.hint("merge"), "b").join(x.hint("merge"), "a").select("a", "b", "lead", "x", "y").mapInArrow(run, "a long, b long, lead long, sim double")
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, shingle: int, weighted: bool) -> DataFrame:
@@ -200,32 +201,48 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGL
     """One row for each document: doc_id, class_id, class_size."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     signed = stored(_signed(texts, shingle, weighted, bands, rows), "signed")
-    contents = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("bands").alias("bands"))
-    members = contents.select("node", F.explode("bands").alias("bucket"))
-    full = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("bucket")
-    buckets = stored(members.join(full.hint("merge"), "bucket").withColumn("used", F.lit(False)), "buckets")
-    linked, comp, sets = None, None, None
+    contents = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands"))
+    members = contents.select("node", "n", F.explode("bands").alias("bucket"))
+    full = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "full")
+    shared = stored(members.join(full.hint("merge"), "bucket"), "shared")
+    # who meets most others leads first: such texts stand in the middle of their group
+    weight = shared.groupBy("node").agg((F.least(F.sum("_n"), F.lit(1 << 40)) * (1 << 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))).alias("o"))
+    buckets = stored(shared.drop("_n").join(weight.hint("merge"), "node").withColumns({"used": F.lit(False), "pivot": F.lit(None).cast("long"), "near": F.lit(None).cast("double")}), "buckets")
+    linked, comp, sets, leaders = None, None, None, FIRST_LEADERS
     while True:
-        state = buckets
         if comp is None:
-            state = state.withColumn("comp", F.col("node"))
+            state = buckets.withColumn("comp", F.col("node"))
         else:
-            state = state.join(comp.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        # the fewest of one component lead, one at a time; who has led has met all others
-        groups = state.where("not used").groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("_k"), F.min(F.struct(F.xxhash64("node").alias("o"), "node")).alias("_first"))
-        chosen = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("_c"), F.min(F.struct("_k", F.col("_first.o").alias("o"), F.col("_first.node").alias("a"), "comp")).alias("_l")).where("_c > 1")
-        chosen = chosen.select("bucket", F.col("_l.a").alias("a"), F.col("_l.comp").alias("_lc"))
-        met = stored(state.join(chosen.hint("merge"), "bucket").select("bucket", "node", "comp", "a", "_lc", (F.col("used") | (F.col("node") == F.col("a"))).alias("used")), "led")
-        pairs = stored(met.where("not used and comp <> _lc").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
-        if not pairs.limit(1).count():
+            state = buckets.join(comp.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        groups = state.where("not used").groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("_k"))
+        open_ones = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("bucket")
+        left = stored(state.join(open_ones.hint("merge"), "bucket"), "open")
+        part = F.pmod(F.xxhash64("node"), F.lit(leaders))
+        lead = left.where("not used").groupBy("bucket", part.alias("_p")).agg(F.max(F.struct("o", "node", "comp", "n", "pivot", "near")).alias("_l"))
+        lead = stored(lead.select(F.col("bucket").alias("_b"), F.col("_l.o").alias("lead"), F.col("_l.node").alias("a"), F.col("_l.comp").alias("_lc"), F.col("_l.n").alias("_ln"), F.col("_l.pivot").alias("_lp"), F.col("_l.near").alias("_ls")), "lead")
+        if not lead.limit(1).count():
             break
+        alike = F.least("n", "_ln") >= threshold * F.greatest("n", "_ln") - 1e-9
+        # Jaccard distances obey the triangle inequality: what differs much in its distance to a third text isn't near
+        apart = F.coalesce((F.col("pivot") == F.col("_lp")) & (F.abs(F.col("near") - F.col("_ls")) > 1 - threshold + 1e-9), F.lit(False))
+        met = left.where("not used").join(lead.hint("merge"), (F.col("bucket") == F.col("_b")) & (F.col("comp") != F.col("_lc")) & alike & ~apart)
+        pairs = stored(met.groupBy("a", F.col("node").alias("b")).agg(F.max("lead").alias("lead")), "pairs")
         if sets is None:
             nodes = buckets.select("node").distinct().join(contents.select("node", "doc_id").hint("merge"), "node")
             sets = stored(_sets_of(texts, nodes, shingle, weighted), "sets")
-        fresh = _similar(pairs, sets, threshold)
-        linked = stored(fresh if linked is None else fresh.union(linked), "links")
+        fresh = stored(_measured(pairs, sets), "measured")
+        close = fresh.where(F.col("sim") >= threshold - 1e-9).select("a", "b")
+        linked = stored(close if linked is None else close.union(linked), "links")
         comp = components(linked)
-        buckets = met.select("bucket", "node", "used")
+        led = lead.select(F.col("_b").alias("bucket"), F.col("a").alias("node"), F.lit(True).alias("_led"))
+        buckets = left.drop("comp").join(led.hint("merge"), ["bucket", "node"], "left").withColumn("used", F.col("used") | F.coalesce("_led", F.lit(False))).drop("_led")
+        if leaders == FIRST_LEADERS:
+            # each text's distance to the greatest leader that it has met; a leader is at its own place
+            own = fresh.select(F.col("a").alias("b"), "a", "lead", F.lit(1.0).alias("sim"))
+            pivots = fresh.select("b", "a", "lead", "sim").union(own).groupBy(F.col("b").alias("node")).agg(F.max(F.struct("lead", "a", "sim")).alias("_p"))
+            buckets = buckets.drop("pivot", "near").join(pivots.select("node", F.col("_p.a").alias("pivot"), F.col("_p.sim").alias("near")).hint("merge"), "node", "left")
+        buckets = stored(buckets.select("node", "n", "bucket", "o", "used", "pivot", "near"), "buckets")
+        leaders *= LEADER_GROWTH
     named = signed.select("doc_id", "node")
     if comp is not None:
         named = named.join(comp.hint("merge"), "node", "left").withColumn("node", F.coalesce("comp", "node")).drop("comp")
