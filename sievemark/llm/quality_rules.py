@@ -111,7 +111,10 @@ def measured(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
         lambda acc, x: F.struct((acc["total"] + F.least(F.lit(3), x - acc["last"])).alias("total"), x.alias("last")),
         lambda acc: acc["total"],
     )
-    return d.select(*done, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    # handed out by a generator of one row: a filter on the measurements stays above it, else it would be
+    # pushed down and carry a copy of all these expressions for each time that it names one
+    found = F.struct(*(F.col(c) for c in done[len(keep) :]), F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    return d.select(*keep, F.inline(F.array(found)))
 
 
 def failures(limits: Limits = Limits()) -> dict[str, Column]:
