@@ -39,10 +39,9 @@ def directory(spark):
 
 
 @pytest.fixture(scope="module")
-def golden(spark, directory):
-    rows = plan.build(records(spark, [c for _, c, _ in GOLDEN]), directory)["facilities_scored"]
-    yield rows
-    rows.unpersist()
+def golden(spark, directory, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("built"))
+    return plan.run(spark, records(spark, [c for _, c, _ in GOLDEN]), directory, folder)["facilities_scored"]
 
 
 def test_golden_classes(golden):
