@@ -14,6 +14,10 @@ from sievemark.llm import mixing, near_dedup, packing, quality_rules, suffix_ded
 from sievemark.llm.shared import stored
 
 
+#: Weight of each source in the mix; None: they follow from the sources' sizes.
+WEIGHTS: dict | None = None
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current policy of the rules rejects go."""
     return quality_rules.filtered(docs)
@@ -31,12 +35,13 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in an order that keeps the sources at their target weights."""
-    return mixing.mixed(docs)
+    return mixing.mixed(docs, WEIGHTS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the training sequences, with their texts."""
-    return packing.sequences(docs)
+    """The pieces of the training sequences, with their texts, dealt in the mixed order. A table
+    that is read again has no order, so the places are worked out anew: they follow from the rows."""
+    return packing.sequences(docs, places=mixing.places(docs, WEIGHTS))
 
 
 STAGES = [

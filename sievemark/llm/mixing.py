@@ -98,17 +98,21 @@ def placed(rows: DataFrame, weights: dict | None = None, block_words: int = BLOC
     )
 
 
+def places(docs: DataFrame, weights: dict | None = None, block_words: int = BLOCK_WORDS, cycle: int = CYCLE) -> DataFrame:
+    """``placed`` for documents; by (slot, rank) they stand in the mixed order, without ties."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("n_words"), F.hash("text").alias("tie"))
+    return placed(rows, weights, block_words, cycle)
+
+
 def order_of(docs: DataFrame, weights: dict | None = None, block_words: int = BLOCK_WORDS, cycle: int = CYCLE) -> DataFrame:
     """One row for each document: doc_id, source, n_words, block, slot, words_before."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("n_words"), F.hash("text").alias("tie"))
-    return placed(rows, weights, block_words, cycle).select("doc_id", "source", "n_words", "block", "slot", F.col("before").alias("words_before"))
+    return places(docs, weights, block_words, cycle).select("doc_id", "source", "n_words", "block", "slot", F.col("before").alias("words_before"))
 
 
 def mixed(docs: DataFrame, weights: dict | None = None, block_words: int = BLOCK_WORDS, cycle: int = CYCLE) -> DataFrame:
     """The documents, all columns as they were, in the mixed order over the partitions."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("n_words"), F.hash("text").alias("tie"))
-    places = placed(rows, weights, block_words, cycle).groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("tie").alias("_t")).agg(F.min("slot").alias("_slot"), F.min("rank").alias("_rank"))
-    on = docs["doc_id"].cast("long").eqNullSafe(places["_d"]) & docs["source"].eqNullSafe(places["_s"]) & (F.hash(docs["text"]) == places["_t"])
-    joined = docs.join(places.hint("merge"), on).select(*(docs[c] for c in docs.columns), places["_slot"], places["_s"], places["_rank"])
+    found = places(docs, weights, block_words, cycle).groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("tie").alias("_t")).agg(F.min("slot").alias("_slot"), F.min("rank").alias("_rank"))
+    on = docs["doc_id"].cast("long").eqNullSafe(found["_d"]) & docs["source"].eqNullSafe(found["_s"]) & (F.hash(docs["text"]) == found["_t"])
+    joined = docs.join(found.hint("merge"), on).select(*(docs[c] for c in docs.columns), found["_slot"], found["_s"], found["_rank"])
     ordered = joined.repartitionByRange(partitions(docs), "_slot", "_rank").sortWithinPartitions("_slot", "_rank")
     return ordered.drop("_slot", "_s", "_rank")

@@ -31,6 +31,25 @@ def test_run(spark):
     assert all(len(words(docs[d])) >= 50 for d in per)
 
 
+def test_packed_sequences_follow_the_mix(spark, monkeypatch):
+    # two sources of documents of one length, one source's ids all before the other's
+    data = [(i, " ".join(f"w{i}x{j}" for j in range(512)), "a" if i < 60 else "b") for i in range(120)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+
+    def packed(weights):
+        monkeypatch.setattr(corpus_pipeline, "WEIGHTS", weights)
+        out = corpus_pipeline.packing_stage(spark, corpus_pipeline.mixing_stage(spark, docs, ""), "").collect()
+        assert sorted((r["doc_id"], r["text"]) for r in out) == sorted((i, t) for i, t, _ in data)
+        return [r["source"] for r in sorted(out, key=lambda r: (r["bin_id"], r["bin_offset"]))]
+
+    even, more_b = packed({"a": 1.0, "b": 1.0}), packed({"a": 1.0, "b": 3.0})
+    assert even != more_b
+    # any stretch of the packed words stays near its sources' shares while neither has run out
+    for order, share in ((even, 0.5), (more_b, 0.75)):
+        for n in (16, 32, 48, 64):
+            assert abs(order[:n].count("b") - share * n) <= 8
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
