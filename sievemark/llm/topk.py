@@ -74,7 +74,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int):
     bound = np.abs(finite).max() if finite.size else 0
     if bound < 2**62 / (n + 1) and bound < 2**53:
         # score and place in one whole number: the order has no ties
-        key = np.where(np.isfinite(scores), scores, -(2.0**53 if bound < 1 else bound + 1)).astype("int64") * n + (n - 1 - np.arange(n))
+        key = np.where(np.isfinite(scores), scores, -(bound + 1.0)).astype("int64") * n + (n - 1 - np.arange(n))
         col = np.argpartition(key, n - k, axis=1)[:, n - k :]
     else:
         col = np.argsort(-scores, axis=1, kind="stable")[:, :k]

@@ -94,3 +94,10 @@ def test_exact_topk(spark, monkeypatch, tile_bytes):
             want += [(q, k + 1, i, int(-s)) for k, (s, i) in enumerate(best)]
     assert got == sorted(want)
     assert topk.top_k(df.where("false"), df.where("false"), 5).count() == 0
+
+
+def test_exact_topk_of_zero_vectors(spark):
+    # all products of a tile are 0, and the tile holds more vectors than 2**63 / 2**53
+    df = spark.createDataFrame([(i, [0.0, 0.0]) for i in range(1500)], "vec_id long, embedding array<double>").coalesce(1)
+    got = sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id in (3, 1499)"), 5).collect())
+    assert got == [(3, k + 1, i, 0) for k, i in enumerate([0, 1, 2, 4, 5])] + [(1499, k + 1, k, 0) for k in range(5)]
