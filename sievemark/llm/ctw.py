@@ -7,10 +7,12 @@ own estimate and the product of its children's, so the tree mixes all depths; th
 text follows from the mixture along the path of each bit.
 
 Training is counting: grams of context and byte are counted over all training texts, summed by
-Spark, and folded from the deepest contexts to the root with one grouping for each depth. For
-scoring, nodes visited by less than a 2**-NODE_SHARE part of the training bytes are left out (a
-context without a node predicts as the one above it does); so the table that every task gets has a
-size that the corpus cannot exceed. Scores are exact mixtures over that tree.
+Spark, and folded from the deepest contexts to the root with one grouping for each depth. Nodes
+visited by at least a 2**-NODE_SHARE part of the training bytes are looked up where the text lies,
+a table of a size that the corpus cannot exceed. A gram with any bit whose deepest node is not
+among them travels in bundles to the nodes of its part of the tree and back; so scores are exact
+mixtures over all nodes, and no task ever holds the tree. (A context that training never saw
+predicts as the one above it does.)
 
 The base model is a smoothed word unigram. Words that make up at least a 2**-WORD_SHARE part of all
 tokens, at most 2**WORD_SHARE words, are looked up where the text lies; the hashes of the others
@@ -176,9 +178,10 @@ class Tree:
 
     SLOTS = 1 << 20
 
-    def __init__(self, key: np.ndarray, own: np.ndarray, weight: np.ndarray):
-        """key: depth << 40 | ctx << 8 | prefix, ascending; own: probability of a 1."""
-        self.key, self.own, self.weight = key, own, weight
+    def __init__(self, key: np.ndarray, own: np.ndarray, weight: np.ndarray, complete: bool = True):
+        """key: depth << 40 | ctx << 8 | prefix, ascending; own: probability of a 1; complete: no
+        node was left out."""
+        self.key, self.own, self.weight, self.complete = key, own, weight, complete
         self.forget()
 
     def forget(self) -> None:
@@ -186,16 +189,17 @@ class Tree:
         self.slot_log = np.zeros(self.SLOTS)
 
     @classmethod
-    def of(cls, table: pd.DataFrame) -> Tree:
+    def of(cls, table: pd.DataFrame, complete: bool = True) -> Tree:
         key = (table["depth"].to_numpy("int64") << 40) | (table["ctx"].to_numpy("int64") << 8) | table["prefix"].to_numpy("int64")
         n0, n1 = table["n0"].to_numpy("float64"), table["n1"].to_numpy("float64")
         order = np.argsort(key)
-        return cls(key[order], ((n1 + 0.5) / (n0 + n1 + 1))[order], table["w"].to_numpy("float64")[order])
+        return cls(key[order], ((n1 + 0.5) / (n0 + n1 + 1))[order], table["w"].to_numpy("float64")[order], complete)
 
     def exact(self, grams: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each gram's last byte in the context of the others."""
+        """log10 of the probability of each gram's last byte in the context of the others; NaN if
+        nodes of the gram may be missing here."""
         grams = grams.astype("int64")
-        byte, total = grams & 255, np.zeros(len(grams))
+        byte, total, whole = grams & 255, np.zeros(len(grams)), np.ones(len(grams), bool)
         for j in range(8):
             prefix = (1 << j) | (byte >> (8 - j))
             p = np.full(len(grams), np.nan)
@@ -203,13 +207,16 @@ class Tree:
                 want = (depth << 40) | (((grams >> 8) & ((1 << (8 * depth)) - 1)) << 8) | prefix
                 at = np.minimum(np.searchsorted(self.key, want), max(0, len(self.key) - 1))
                 has = self.key[at] == want if len(self.key) else np.zeros(len(grams), bool)
+                if depth == DEPTH:
+                    whole &= has
                 if not has.any():
                     continue
                 own, w = self.own[at], self.weight[at]
                 p = np.where(has, np.where(np.isnan(p), own, w * own + (1 - w) * p), p)
             p = np.where(np.isnan(p), 0.5, p)
             total += np.log10(np.where((byte >> (7 - j)) & 1 == 1, p, 1 - p))
-        return total
+        # a node's ancestors are visited as often as it is, or more
+        return total if self.complete else np.where(whole, total, np.nan)
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
         slot = ((grams.astype("uint64") * np.uint64(0x9E3779B1)) >> np.uint64(12)).astype("int64") & (self.SLOTS - 1)
@@ -229,15 +236,22 @@ class Tree:
         return out
 
 
-def trained(train: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(word counts, nodes to score with, number of training tokens)."""
+def part_of(ctx, parts: int):
+    """The part of the tree where a context's nodes of depth 2 and more are: by its last two bytes,
+    so that a context and the shorter one lie together. Takes a column or an array."""
+    return (ctx & 65535) * 40503 % 65536 % parts if isinstance(ctx, np.ndarray) else ctx.bitwiseAND(65535) * 40503 % 65536 % parts
+
+
+def trained(train: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+    """(word counts, nodes, how often a node that is looked up in place is visited, number of
+    training tokens)."""
     tallied = stored(counts(train), "tallied")
     words = tallied.where(F.col("kind") == WORD).select(F.col("key").alias("word"), "n")
     grams = tallied.where(F.col("kind") == GRAM).select("key", "n")
     total = tallied.groupBy("kind").agg(F.sum("n").alias("n")).collect()  # two rows
     sums = {r["kind"]: r["n"] for r in total}
     least = max(1, sums.get(GRAM, 0) >> NODE_SHARE)
-    return words, nodes(grams).where(F.col("n0") + F.col("n1") >= least), sums.get(WORD, 0)
+    return words, nodes(grams), least, sums.get(WORD, 0)
 
 
 def scores(docs: DataFrame, held: Column | None = None) -> DataFrame:
@@ -246,13 +260,14 @@ def scores(docs: DataFrame, held: Column | None = None) -> DataFrame:
     spark = docs.sparkSession
     held = held_out(F.col("doc_id")) if held is None else held
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    words, tree_nodes, n_train = trained(texts.where(~F.col("held_out")))
+    words, tree_nodes, least, n_train = trained(texts.where(~F.col("held_out")))
     n_vocabulary = words.count()
     frequent = words.where(F.col("n") >= max(1, -(-n_train >> WORD_SHARE))).toPandas().sort_values("word")  # at most 2**WORD_SHARE words
-    given = spark.sparkContext.broadcast((tree_nodes.toPandas(), frequent["word"].to_numpy("int64"), frequent["n"].to_numpy("float64")))
+    often = tree_nodes.where(F.col("n0") + F.col("n1") >= least)
+    given = spark.sparkContext.broadcast((often.toPandas(), frequent["word"].to_numpy("int64"), frequent["n"].to_numpy("float64")))
     denominator = n_train + 0.5 * (n_vocabulary + 1)
     buckets = 4 * partitions(docs)
-    schema = "chunk long, bucket int, ids binary, held binary, tokens binary, known binary, base binary, score binary, bytes binary, doc binary, word binary"
+    schema = "chunk long, bucket int, ids binary, held binary, tokens binary, known binary, base binary, score binary, bytes binary, doc binary, word binary, gram binary"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def scan(batches):
@@ -260,13 +275,16 @@ def scores(docs: DataFrame, held: Column | None = None) -> DataFrame:
 
         part, made = TaskContext.get().partitionId(), 0
         table, hot, hot_n = given.value
-        tree = Tree.of(table)
+        tree = Tree.of(table, least == 1)
         value = np.log10((hot_n + 0.5) / denominator) if len(hot) else np.zeros(0)
         for b in batches:
             for lo, hi, data, offsets in text_chunks(b.column(2), CHUNK):
                 low = LOWER[data]
                 grams, begin = _grams(low, offsets)
-                score = np.add.reduceat(tree.log10(grams), begin[:-1])
+                log = tree.log10(grams)
+                afar = np.flatnonzero(np.isnan(log))
+                log[afar] = 0
+                score = np.add.reduceat(log, begin[:-1])
                 words = Words(low, offsets)
                 n = hi - lo
                 doc = np.concatenate([words.text_of(), np.arange(n)])
@@ -290,19 +308,23 @@ def scores(docs: DataFrame, held: Column | None = None) -> DataFrame:
                     held=b.column(1).slice(lo, n).to_numpy(zero_copy_only=False).astype("uint8"), tokens=words.counts().astype("int64") + 1,
                     known=np.bincount(doc[known], minlength=n).astype("int64"), base=base, score=score, bytes=np.diff(offsets) + 1,
                 )
-                # the other words, bundled by part of the vocabulary
-                doc, token = doc[~known].astype("uint32"), token[~known]
-                bucket = (token.view("uint64") % np.uint64(buckets)).astype("int64")
-                order = np.argsort(bucket, kind="stable")
-                doc, token, bucket = doc[order], token[order], bucket[order]
-                new = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
-                for s, e in zip(new, np.append(new[1:], len(bucket)) if len(bucket) else []):
-                    put(chunk=chunk, bucket=int(bucket[s]), doc=doc[s:e], word=token[s:e])
+
+                def bundle(field, doc, value, bucket):
+                    order = np.argsort(bucket, kind="stable")
+                    doc, value, bucket = doc[order].astype("uint32"), value[order], bucket[order]
+                    new = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
+                    for s, e in zip(new, np.append(new[1:], len(bucket)) if len(bucket) else []):
+                        put(chunk=chunk, bucket=int(bucket[s]), doc=doc[s:e], **{field: value[s:e]})
+
+                # the other words, bundled by part of the vocabulary, and the other grams, by part of the tree
+                doc, token = doc[~known], token[~known]
+                bundle("word", doc, token, (token.view("uint64") % np.uint64(buckets)).astype("int64"))
+                bundle("gram", np.searchsorted(begin, afar, side="right") - 1, grams[afar], part_of(grams[afar].astype("int64") >> 8, buckets))
                 types = {"chunk": pa.int64(), "bucket": pa.int32()}
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, types.get(k, pa.binary())) for k, v in rows.items()})
 
     scanned = stored(texts.mapInArrow(scan, schema), "scanned")
-    asked = scanned.where("bucket >= 0").select("bucket", "chunk", "doc", "word")
+    asked = scanned.where("word is not null").select("bucket", "chunk", "doc", "word")
     # word hashes are spread evenly, and frequent words are not among those asked
     parts = words.where(F.col("n") < max(1, -(-n_train >> WORD_SHARE))).select(F.pmod(F.col("word"), F.lit(buckets)).cast("int").alias("bucket"), "word", "n")
     # pmod of the signed number and the remainder of the unsigned one differ: 2**64 mod buckets is taken off
@@ -325,17 +347,41 @@ def scores(docs: DataFrame, held: Column | None = None) -> DataFrame:
 
     answered = asked.groupBy("bucket").cogroup(parts.groupBy("bucket")).applyInArrow(look_up, "chunk long, doc binary, n binary")
 
+    # the two upper levels have a fixed size, at most 257 contexts of 255 nodes
+    upper = spark.sparkContext.broadcast(tree_nodes.where("depth < 2").toPandas() if least > 1 else None)
+
+    def score_grams(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = {"chunk": left["chunk"].to_pylist(), "doc": left["doc"].to_pylist(), "log": []}
+        grams = [np.frombuffer(g, "uint32") for g in left["gram"].to_pylist()]
+        if grams:
+            tree = Tree.of(pd.concat([upper.value, right.select(upper.value.columns.to_list()).to_pandas()]))
+            found = np.unique(np.concatenate(grams))
+            log = np.concatenate([tree.exact(found[i : i + (1 << 18)]) for i in range(0, len(found), 1 << 18)])
+            out["log"] = [log[np.searchsorted(found, g)].tobytes() for g in grams]
+        return pa.table({"chunk": pa.array(out["chunk"], pa.int64()), "doc": pa.array(out["doc"], pa.binary()), "log": pa.array(out["log"], pa.binary())})
+
+    answered = answered.withColumn("log", F.lit(None).cast("binary"))
+    if least > 1:
+        far = scanned.where("gram is not null").select("bucket", "chunk", "doc", "gram")
+        deep = tree_nodes.where("depth >= 2").withColumn("bucket", part_of(F.col("ctx"), buckets).cast("int"))
+        scored = far.groupBy("bucket").cogroup(deep.groupBy("bucket")).applyInArrow(score_grams, "chunk long, doc binary, log binary")
+        answered = answered.unionByName(scored.withColumn("n", F.lit(None).cast("binary")))
+
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
         row = {k: left[k][0].as_py() for k in ("ids", "held", "tokens", "known", "base", "score", "bytes")}
         both = np.frombuffer(row["ids"], "int64")
         n = len(both) // 2
         base, known = np.frombuffer(row["base"], "float64").copy(), np.frombuffer(row["known"], "int64").copy()
-        for doc, c in zip(right["doc"].to_pylist(), right["n"].to_pylist()):
+        score = np.frombuffer(row["score"], "float64").copy()
+        for doc, c, log in zip(right["doc"].to_pylist(), right["n"].to_pylist(), right["log"].to_pylist()):
             doc = np.frombuffer(doc, "uint32")
+            if log is not None:
+                score += np.bincount(doc, np.frombuffer(log, "float64"), n)
+                continue
             c = np.frombuffer(c, "uint32" if len(c) == 4 * len(doc) else "uint64").astype("float64")
             base += np.bincount(doc, np.log10((c + 0.5) / denominator), n)
             known += np.bincount(doc[c > 0], minlength=n)
-        score, size = np.frombuffer(row["score"], "float64"), np.frombuffer(row["bytes"], "int64")
+        size = np.frombuffer(row["bytes"], "int64")
         return pa.table(
             {
                 "doc_id": pa.array(both[:n], mask=both[n:] > 0),

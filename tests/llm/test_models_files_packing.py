@@ -142,6 +142,28 @@ def test_rare_words_are_looked_up_in_their_part(corpus, monkeypatch):
     assert {(str(r["doc_id"]), r["n_tokens"]): round(r["base_score"], 6) for r in ctw.scores(corpus).collect()} == want
 
 
+def test_rare_nodes_count_in_scores(spark, monkeypatch):
+    # over 2**19 training bytes, and beside one hot source rare contexts that are seen once or twice
+    rng = np.random.default_rng(8)
+    hot = " ".join(rng.choice(["the", "hot", "source", "says", "this"], 3000))
+    rare = ["".join(chr(x) for x in rng.integers(0x3B1, 0x3C9, 200)) for _ in range(20)]
+    data = [(i, hot) for i in range(60)] + [(100 + i, t) for i, t in enumerate(rare * 2)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    assert sum(len(t.encode()) for _, t in data) > 1.5 * 2**19
+    got = {r["doc_id"]: r["score"] for r in ctw.scores(docs).collect()}
+    monkeypatch.setattr(ctw, "NODE_SHARE", 40)  # all nodes are looked up in place
+    want = {r["doc_id"]: r["score"] for r in ctw.scores(docs).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_grams_are_scored_in_their_part_of_the_tree(corpus, monkeypatch):
+    want = sorted((str(r["doc_id"]), r["n_bytes"], round(r["score"], 5)) for r in ctw.scores(corpus).collect())
+    monkeypatch.setattr(ctw, "NODE_SHARE", 6)  # most grams travel
+    got = sorted((str(r["doc_id"]), r["n_bytes"], round(r["score"], 5)) for r in ctw.scores(corpus).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=1e-4)
+
+
 def test_schedule_stays_within_a_block():
     cycle, slots = mixing.slots_for({"a": 5, "b": 3, "c": 1, "d": 0.01}, 64)
     plan = mixing.schedule(slots, cycle)
