@@ -28,9 +28,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sievemark.llm.shared import stored
 from sievemark.llm.wordscan import Runs, U, Words, mix, text_chunks
@@ -110,11 +109,11 @@ def shingle_sets(words: Words, shingle: int, weighted: bool = False) -> tuple[np
 
 
 def _signed(docs: DataFrame, shingle: int, weighted: bool, bands: int, rows: int) -> DataFrame:
-    """doc_id, node (the content: null without words) and the hashes of its bands."""
+    """doc_id, fp, node (the content: null without words) and the hashes of its bands."""
 
     def run(batches):
         for b in batches:
-            for lo, hi, data, offsets in text_chunks(b.column(1), 1 << 17):
+            for lo, hi, data, offsets in text_chunks(b.column(2), 1 << 17):
                 words = Words(data, offsets)
                 columns, size, whole = shingle_sets(words, shingle, weighted)
                 # texts of the same words have the same darts: thrown once
@@ -129,14 +128,15 @@ def _signed(docs: DataFrame, shingle: int, weighted: bool, bands: int, rows: int
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(lo, hi - lo),
+                        b.column(1).slice(lo, hi - lo),
                         pa.array(whole.view("int64"), mask=none),
                         pa.array(size),
                         pa.ListArray.from_arrays(np.arange(0, len(none) * bands + 1, bands, dtype="int32"), pa.array(band.ravel().view("int64"))),
                     ],
-                    names=["doc_id", "node", "n_shingles", "bands"],
+                    names=["doc_id", "fp", "node", "n_shingles", "bands"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, node long, n_shingles long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, fp long, node long, n_shingles long, bands array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, shingle: int, weighted: bool) -> DataFrame:
-    """The region hashes of the contents in ``nodes`` (node, doc_id of one document with it)."""
+    """The region hashes of the contents in ``nodes`` (node, doc_id and fp of one document with it)."""
 
     def run(batches):
         for b in batches:
@@ -191,17 +191,23 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, shingle: int, weighted: bool) ->
                     names=["node", "found", "regions"],
                 )
 
-    nodes = nodes.withColumnRenamed("doc_id", "_d")
-    texts = docs.join(nodes.hint("merge"), docs["doc_id"].eqNullSafe(nodes["_d"])).select("node", "text")
-    # one document for each content; where an id has several texts, only the right one counts
+    nodes = nodes.withColumnsRenamed({"doc_id": "_d", "fp": "_f"})
+    texts = docs.join(nodes.hint("merge"), docs["doc_id"].eqNullSafe(nodes["_d"]) & (docs["fp"] == nodes["_f"])).select("node", "text")
+    # one document for each content, however often its row is repeated
     return texts.mapInArrow(run, "node long, found long, regions binary").where("node = found").drop("found").dropDuplicates(["node"])
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, weighted: bool = False, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row for each document: doc_id, class_id, class_size."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def _content(text: Column) -> Column:
+    return F.coalesce(text.cast("string"), F.lit(""))
+
+
+def _classed(docs: DataFrame, threshold: float, shingle: int, weighted: bool, bands: int, rows: int) -> DataFrame:
+    """One row for each document: doc_id, fp (hash of the text) and node, the least content of its
+    class; null without words."""
+    text = _content(F.col("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("fp"), text.alias("text"))
     signed = stored(_signed(texts, shingle, weighted, bands, rows), "signed")
-    contents = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands"))
+    contents = signed.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "fp")).alias("_w"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands")).select("node", "_w.doc_id", "_w.fp", "n", "bands")
     members = contents.select("node", "n", F.explode("bands").alias("bucket"))
     full = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "full")
     shared = stored(members.join(full.hint("merge"), "bucket"), "shared")
@@ -228,7 +234,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGL
         met = left.where("not used").join(lead.hint("merge"), (F.col("bucket") == F.col("_b")) & (F.col("comp") != F.col("_lc")) & alike & ~apart)
         pairs = stored(met.groupBy("a", F.col("node").alias("b")).agg(F.max("lead").alias("lead")), "pairs")
         if sets is None:
-            nodes = buckets.select("node").distinct().join(contents.select("node", "doc_id").hint("merge"), "node")
+            nodes = buckets.select("node").distinct().join(contents.select("node", "doc_id", "fp").hint("merge"), "node")
             sets = stored(_sets_of(texts, nodes, shingle, weighted), "sets")
         fresh = stored(_measured(pairs, sets), "measured")
         close = fresh.where(F.col("sim") >= threshold - 1e-9).select("a", "b")
@@ -243,23 +249,32 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGL
             buckets = buckets.drop("pivot", "near").join(pivots.select("node", F.col("_p.a").alias("pivot"), F.col("_p.sim").alias("near")).hint("merge"), "node", "left")
         buckets = stored(buckets.select("node", "n", "bucket", "o", "used", "pivot", "near"), "buckets")
         leaders *= LEADER_GROWTH
-    named = signed.select("doc_id", "node")
+    named = signed.select("doc_id", "fp", "node")
     if comp is not None:
         named = named.join(comp.hint("merge"), "node", "left").withColumn("node", F.coalesce("comp", "node")).drop("comp")
+    return named.select("doc_id", "fp", "node")
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, weighted: bool = False, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row for each document: doc_id, class_id, class_size."""
+    named = _classed(docs, threshold, shingle, weighted, bands, rows).drop("fp")
     least = named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return named.join(least.hint("merge"), "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
-    """The documents with one of each class: the one of the least doc_id, and of rows that repeat
-    that id, the first by text. All columns as they were."""
-    found = classes(docs, threshold, shingle)
-    keep = found.where("doc_id <=> class_id").select(F.col("class_id").alias("_c")).distinct()
-    out = docs.join(keep.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(keep["_c"]), "left_semi")
-    twice = stored(out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_d")), "repeated-ids")
+    """The documents with one of each class: the one of the least doc_id (a null id only where the
+    class has no other), and of rows that share that id, the one of the least hash of its text. Of
+    rows that repeat id and text one stays. All columns as they were."""
+    found = stored(_classed(docs, threshold, shingle, False, BANDS, ROWS), "classed")
+    # the row that stays of each class; rows without words are classes of their own
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("gone"), "doc_id", "fp")).alias("_w")
+    keep = found.where("node is not null").groupBy("node").agg(first).select("_w.doc_id", "_w.fp")
+    keep = keep.union(found.where("node is null").select("doc_id", "fp").distinct()).toDF("_d", "_f")
+    text = _content(docs["text"])
+    out = docs.join(keep.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(keep["_d"]) & (F.xxhash64(text) == keep["_f"]), "left_semi")
+    twice = found.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     if not twice.limit(1).count():
         return out
-    # several rows of one id: those of another class than their like stay, repeats go
     columns = out.columns
-    w = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text")
-    return out.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*columns)
+    return out.withColumn("_f", F.xxhash64(_content(F.col("text")))).dropDuplicates(["doc_id", "_f"]).select(*columns)

@@ -98,6 +98,20 @@ def test_near_dedup_keeps_one_of_each_class(corpus, empty):
     assert near_dedup.deduplicated(empty).count() == 0
 
 
+def test_near_dedup_judges_rows_not_ids(spark, corpus):
+    # row 14 that copies document 0 goes, though another row 14 stays
+    assert near_dedup.deduplicated(corpus).where("doc_id = 14").count() == 1
+    rng = np.random.default_rng(11)
+    lexicon = [f"w{i}" for i in range(500)]
+    a, b, c, d = (list(rng.choice(lexicon, 150)) for _ in range(4))
+    near = lambda w: " ".join([*w[:-1], "changed"])
+    data = [(None, " ".join(a)), (None, near(a)), (None, " ".join(b)), (1, near(b)), (2, " ".join(c)), (2, near(c)), (2, " ".join(d)), (2, " ".join(d)), (3, near(d)), (None, None), (None, None), (4, "")]
+    out = near_dedup.deduplicated(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
+    family = {**{" ".join(w): k for k, w in zip("abcd", (a, b, c, d))}, **{near(w): k for k, w in zip("abcd", (a, b, c, d))}}
+    got = sorted((family.get(r["text"], "none"), str(r["doc_id"])) for r in out)
+    assert got == [("a", "None"), ("b", "1"), ("c", "2"), ("d", "2"), ("none", "4"), ("none", "None")]
+
+
 def test_weighted_signatures_estimate_similarity():
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 2**63, 3000).astype("uint64")
