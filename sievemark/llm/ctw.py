@@ -356,7 +356,7 @@ def scores(docs: DataFrame, held: Column | None = None) -> DataFrame:
         if grams:
             tree = Tree.of(pd.concat([upper.value, right.select(upper.value.columns.to_list()).to_pandas()]))
             found = np.unique(np.concatenate(grams))
-            log = np.concatenate([tree.exact(found[i : i + (1 << 18)]) for i in range(0, len(found), 1 << 18)])
+            log = np.concatenate([tree.exact(found[i : i + (1 << 16)]) for i in range(0, len(found), 1 << 16)])
             out["log"] = [log[np.searchsorted(found, g)].tobytes() for g in grams]
         return pa.table({"chunk": pa.array(out["chunk"], pa.int64()), "doc": pa.array(out["doc"], pa.binary()), "log": pa.array(out["log"], pa.binary())})
 
