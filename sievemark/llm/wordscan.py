@@ -8,15 +8,19 @@ single texts; one text is never cut.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+LEFT, RIGHT = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 SPACE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
+#: For the words of up to so many bytes the hash is taken in steps of eight; longer ones go one by one.
+STEPPED = 64
+#: The first k bytes of eight.
+FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
 
 
 def byte_class(separators: bytes) -> np.ndarray:
@@ -36,33 +40,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(32))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, U)
-    out[0] = 1
-    have = 1
-    b = U(base)
-    step = b
-    with np.errstate(over="ignore"):
-        while have < n:
-            more = min(have, n - have)
-            out[have : have + more] = out[:more] * step
-            have += more
-            step = step * step
-    return out
-
-
-@lru_cache(maxsize=4)
-def _tables(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(base, size), _powers(pow(base, -1, 1 << 64), size)
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of ``base`` and of its inverse modulo 2**64."""
-    size = 1 << max(16, (n - 1).bit_length())
-    a, b = _tables(base, size)
-    return a[:n], b[:n]
-
-
 def text_chunks(column: pa.Array, max_bytes: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of whole texts; null counts as empty."""
     if column.null_count:
@@ -117,32 +94,64 @@ class Words:
         return np.repeat(self.first[1:], self.counts())
 
     def hashes(self) -> np.ndarray:
-        p, inv = powers(BYTE_BASE, len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, U)
-        np.cumsum((self.data.astype(U) + U(1)) * p[: len(self.data)], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * inv[self.start] + (self.end - self.start).astype(U))
+        """A hash of each word, mixed after every eight bytes: no product or sum of parts, so that
+        words built from the same parts don't meet by their structure."""
+        size = self.end - self.start
+        eight = np.ndarray(len(self.data) + 1, "<u8", np.append(self.data, np.zeros(9, "uint8")), strides=(1,))
+        out = mix((eight[self.start] & FIRST_BYTES[np.minimum(size, 8)]) + size.astype(U) * LEFT)
+        at, done = np.flatnonzero(size > 8), 8
+        while len(at) and done < STEPPED:
+            block = eight[self.start[at] + done] & FIRST_BYTES[np.minimum(size[at] - done, 8)]
+            out[at] = mix(out[at] * RIGHT + block)
+            done += 8
+            at = at[size[at] > done]
+        for i in at.tolist():
+            out[i] = xxhash.xxh3_64_intdigest(self.data[self.start[i] : self.end[i]])
+        return out
+
+    def whole(self, hashes: np.ndarray) -> np.ndarray:
+        """A hash of all words of each text, from the words' hashes and places."""
+        place = np.arange(self.n) - np.repeat(self.first[:-1], self.counts())
+        total = np.append(U(0), np.cumsum(mix(hashes + mix(place.astype(U) + LEFT))))
+        return mix(total[self.first[1:]] - total[self.first[:-1]] + self.counts().astype(U))
 
     def string(self, i: int) -> str:
         return self.data[self.start[i] : self.end[i]].tobytes().decode("utf-8", "replace")
 
 
 class Runs:
-    """Hashes of any runs of words, from the hashes of the words."""
+    """Hashes of any runs of words, from the hashes of the words: that of twice as many words is
+    mixed from those of both halves, that of any other number from those of two runs that lap."""
 
     def __init__(self, hashes: np.ndarray):
         self.n = len(hashes)
-        p, self.inv = powers(WORD_BASE, self.n + 1)
-        self.total = np.zeros(self.n + 1, U)
-        np.cumsum(hashes * p[: self.n], out=self.total[1:])
+        self.doubled = [hashes]
+
+    def _double(self, k: int) -> np.ndarray:
+        """Of every run of 2**k words."""
+        while len(self.doubled) <= k:
+            h, step = self.doubled[-1], 1 << (len(self.doubled) - 1)
+            self.doubled.append(mix(h[:-step] * LEFT + h[step:] * RIGHT) if len(h) > step else h[:0])
+        return self.doubled[k]
 
     def all(self, length: int) -> np.ndarray:
         """Of every run of ``length`` words, whether or not within one text."""
         if self.n < length:
             return np.zeros(0, U)
-        return mix((self.total[length:] - self.total[:-length]) * self.inv[: self.n - length + 1])
+        n, k = self.n - length + 1, length.bit_length() - 1
+        h = self._double(k)
+        return mix(h[:n] * LEFT + h[length - (1 << k) :][:n] * RIGHT + U(length))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.total[end] - self.total[start]) * self.inv[start] + (end - start).astype(U))
+        """Of the runs of one word or more from ``start`` to ``end``."""
+        size = end - start
+        out = np.zeros(len(size), U)
+        power = np.frexp(size.astype("float64"))[1] - 1
+        for k in np.unique(power).tolist():
+            at = np.flatnonzero(power == k)
+            h = self._double(k)
+            out[at] = mix(h[start[at]] * LEFT + h[end[at] - (1 << k)] * RIGHT + size[at].astype(U))
+        return out
 
 
 def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
