@@ -4,21 +4,26 @@ The shingles of a text (five words; with ``weighted``, as often as they occur) a
 one or of their weight. Hashed darts fall into them as a Poisson process along a rank axis, slice
 by slice; each dart names a coordinate, and the earliest dart of each coordinate is the signature.
 Slices go on only while a text has an empty coordinate, so a long text needs few darts a shingle.
-Texts that agree in a band of coordinates are candidates; their Jaccard similarity is then taken
-exactly from the shingle sets, and the classes are the connected components of the pairs at or
-above the threshold.
-
-Within a band's bucket not all pairs are listed: a few members lead and are compared with the others
-of other components; more lead, eight times as many each round, only while the bucket still spans
-several components and has members that have not led, so that no link between them is missed. Who
-shares most buckets leads first, and the exact distances to it rule out, by the triangle
-inequality, most of the pairs that are left. Texts of the same words are one node throughout. Nothing is gathered on the driver;
+Texts that agree in a band of coordinates are candidates.
+
+Among those that share a band with any other text, pairs are met by rare shingles: all shingles of
+these texts are put in one order, rarest first, and two texts of similarity t or more must share a
+shingle that stands early in both, as at most ``n - o`` of n shingles may come before it (o: the
+number that both must have in common). A text with changes of its own begins with shingles that no
+other has; so in a group of thousands of copies, each changed in its own way, only those meet that
+can be near, where a band's bucket would list all pairs. Of a shingle's texts a few lead and are
+compared with the others of other components; more lead, 512 times as many each round, only while
+its texts span several components and some have not led; so no link is missed, and a group of alike
+texts costs a few comparisons each. Every pair is measured once: its exact Jaccard similarity from
+the sets, if it shares a band. The classes are the connected components of the pairs at or above
+the threshold. Texts of the same words are one node throughout. Nothing is gathered on the driver;
 components come from joins over written tables.
 
 Defined results: texts without words (null, empty) are classes of their own; texts shorter than a
-shingle have one shingle, all their words; repeated rows share a class with their likes; rows that
-share an id are judged each by its text; the class id is the least doc_id of the class; an empty
-table gives an empty result; other columns are not read, and ``deduplicated`` keeps them as they are.
+shingle have one shingle, all their words; very long texts are taken whole; ties in rarity go by the
+shingle's hash; repeated rows share a class with their likes; rows that share an id are judged each
+by its text; the class id is the least doc_id of the class; an empty table gives an empty result;
+other columns are not read, and ``deduplicated`` keeps them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,12 +36,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.llm.shared import stored
+from sievemark.llm.shared import sized, stored
 from sievemark.llm.wordscan import Runs, U, Words, mix, text_chunks
 
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS, ROWS = 28, 5
-FIRST_LEADERS, LEADER_GROWTH = 2, 8
+BANDS, ROWS = 20, 4
+FIRST_LEADERS, LEADER_GROWTH = 2, 512
 FIRST_SLICE = -8  # the first slice of the rank axis ends at 2**-8, each later one at twice the last
 
 
@@ -87,9 +92,8 @@ def signatures(columns: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
 
 def shingle_sets(words: Words, shingle: int, weighted: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sorted region hashes of each text laid end to end, their numbers, hash of all words of each text)."""
-    runs = Runs(words.hashes())
-    whole = runs.of(words.first[:-1], words.first[1:])
-    grams = runs.all(shingle)
+    hashes = words.hashes()
+    whole, grams = words.whole(hashes), Runs(hashes).all(shingle)
     parts, size = [], np.zeros(len(whole), "int64")
     for i, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
         if b == a:
@@ -130,52 +134,38 @@ def _signed(docs: DataFrame, shingle: int, weighted: bool, bands: int, rows: int
                         b.column(0).slice(lo, hi - lo),
                         b.column(1).slice(lo, hi - lo),
                         pa.array(whole.view("int64"), mask=none),
-                        pa.array(size),
                         pa.ListArray.from_arrays(np.arange(0, len(none) * bands + 1, bands, dtype="int32"), pa.array(band.ravel().view("int64"))),
                     ],
-                    names=["doc_id", "fp", "node", "n_shingles", "bands"],
+                    names=["doc_id", "fp", "node", "bands"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, fp long, node long, n_shingles long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, fp long, node long, bands array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for the nodes of (a, b) edges: comp is the least node that edges reach.
 
-    Each round takes the least label among the neighbours and then the label of one's label, so
-    that long chains halve; every round is written, and rounds end when no label changes.
+    Each round takes the least label among a node and its neighbours and then the label of one's
+    label, so that long chains halve; every round is written. Labels only fall, so rounds end when
+    their sum stays.
     """
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")), "labels")
+    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b")))
+    both = stored(edges.select(ends.alias("e")).select("e.a", "e.b").distinct(), "edges")
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp")), "labels")
+    total = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("_c")).hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("_c").alias("_m"))
-        least = stored(labels.join(near.hint("merge"), "node").select("node", F.least("comp", "_m").alias("comp"), F.col("comp").alias("old")), "labels")
-        up = least.select(F.col("node").alias("comp"), F.col("comp").alias("_up"))
-        jumped = stored(least.join(up.hint("merge"), "comp", "left").select("node", F.least("comp", F.coalesce("_up", "comp")).alias("comp"), "old"), "labels")
-        labels = jumped.select("node", "comp")
-        if not jumped.where("comp <> old").limit(1).count():
+        up = sized(labels).select(F.col("node").alias("comp"), F.col("comp").alias("_up"))
+        labels = stored(labels.join(up, "comp").select("node", F.col("_up").alias("comp")), "labels")
+        now = labels.agg(F.sum(F.col("comp").cast("decimal(38,0)"))).first()[0]
+        if now == total:
             return labels
-
-
-def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Adds ``sim``, the Jaccard similarity of the sets, to (a, b, lead) rows."""
-
-    def run(batches):
-        for b in batches:
-            sim = np.zeros(b.num_rows)
-            for i in range(b.num_rows):
-                x, y = (np.frombuffer(b.column(j)[i].as_buffer(), "uint64") for j in (3, 4))
-                both = np.sort(np.concatenate([x, y]))
-                common = int((both[1:] == both[:-1]).sum())
-                sim[i] = common / (len(x) + len(y) - common)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sim)], names=["a", "b", "lead", "sim"])
-
-    x, y = (sets.select(F.col("node").alias(n), F.col("regions").alias(r)) for n, r in (("a", "x"), ("b", "y")))
-    return pairs.join(y.hint("merge"), "b").join(x.hint("merge"), "a").select("a", "b", "lead", "x", "y").mapInArrow(run, "a long, b long, lead long, sim double")
+        total = now
+        near = both.join(sized(labels).withColumnRenamed("node", "b"), "b")
+        labels = stored(near.groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("comp")), "labels")
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, shingle: int, weighted: bool) -> DataFrame:
-    """The region hashes of the contents in ``nodes`` (node, doc_id and fp of one document with it)."""
+    """The region hashes of the contents in ``nodes`` (node, bands, doc_id and fp of one document with it)."""
 
     def run(batches):
         for b in batches:
@@ -186,69 +176,113 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, shingle: int, weighted: bool) ->
                     [
                         b.column(0).slice(lo, hi - lo),
                         pa.array(whole.view("int64")),
+                        b.column(2).slice(lo, hi - lo),
                         pa.array([columns[s : s + n].tobytes() for s, n in zip(begin.tolist(), size.tolist())], pa.binary()),
                     ],
-                    names=["node", "found", "regions"],
+                    names=["node", "found", "bands", "regions"],
                 )
 
     nodes = nodes.withColumnsRenamed({"doc_id": "_d", "fp": "_f"})
-    texts = docs.join(nodes.hint("merge"), docs["doc_id"].eqNullSafe(nodes["_d"]) & (docs["fp"] == nodes["_f"])).select("node", "text")
+    texts = docs.join(nodes.hint("merge"), docs["doc_id"].eqNullSafe(nodes["_d"]) & (docs["fp"] == nodes["_f"])).select("node", "text", "bands")
     # one document for each content, however often its row is repeated
-    return texts.mapInArrow(run, "node long, found long, regions binary").where("node = found").drop("found").dropDuplicates(["node"])
+    return texts.mapInArrow(run, "node long, found long, bands array<long>, regions binary").where("node = found").drop("found").dropDuplicates(["node"])
+
+
+def _rare_first(sets: DataFrame, threshold: float) -> DataFrame:
+    """(shingle, node, n, o, pos): of each set of n shingles those, but for what no other set has, that
+    stand so early in the common order that a similar set could share them first."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                shingles = np.frombuffer(b.column(1)[i].as_buffer(), "int64")
+                n = len(shingles)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, b.column(0)[i].as_py())), pa.array(np.full(n, n, "int32")), pa.array(shingles)], names=["node", "n", "shingle"])
+
+    tokens = sets.select("node", "regions").mapInArrow(run, "node long, n int, shingle long")
+    often = tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    known = tokens.join(often.hint("merge"), "shingle").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("_s"))
+    # what only one set has comes first and is not listed
+    alone = F.col("n") - F.size("_s")
+    last = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9)
+    early = known.select("node", "n", alone.alias("_u"), F.slice("_s", F.lit(1), F.greatest(F.lit(0), last - alone + 1).cast("int")).alias("_s"))
+    rank = F.size("_s").cast("long") * (1 << 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))
+    places = early.select("node", "n", rank.alias("o"), "_u", F.posexplode("_s").alias("_i", "_x"))
+    return places.select(F.col("_x.shingle").alias("shingle"), "node", "n", "o", (F.col("_u") + F.col("_i")).cast("int").alias("pos"))
+
+
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Adds ``sim`` to (a, b) rows: the Jaccard similarity of the sets, 0 where they share no band."""
+
+    def run(batches):
+        for b in batches:
+            x_bands, y_bands = (np.asarray(b.column(j).flatten()).reshape(b.num_rows, -1) for j in (3, 5))
+            banded = (x_bands == y_bands).any(axis=1) if b.num_rows else []
+            sim = np.zeros(b.num_rows)
+            for i in np.flatnonzero(banded):
+                x, y = (np.frombuffer(b.column(j)[i].as_buffer(), "uint64") for j in (2, 4))
+                both = np.sort(np.concatenate([x, y]))
+                common = int((both[1:] == both[:-1]).sum())
+                sim[i] = common / (len(x) + len(y) - common)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sim)], names=["a", "b", "sim"])
+
+    # of the sets only those that are asked move
+    x = sets.join(sized(pairs).withColumnRenamed("a", "node"), "node").select(F.col("node").alias("a"), "b", F.col("regions").alias("a_set"), F.col("bands").alias("a_bands"))
+    y = sets.join(sized(stored(pairs.select(F.col("b").alias("node")).distinct(), "ends")), "node").select(F.col("node").alias("b"), F.col("regions").alias("b_set"), F.col("bands").alias("b_bands"))
+    return x.join(y.hint("merge"), "b").select("a", "b", "a_set", "a_bands", "b_set", "b_bands").mapInArrow(run, "a long, b long, sim double")
 
 
 def _content(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
-def _classed(docs: DataFrame, threshold: float, shingle: int, weighted: bool, bands: int, rows: int) -> DataFrame:
-    """One row for each document: doc_id, fp (hash of the text) and node, the least content of its
-    class; null without words."""
-    text = _content(F.col("text"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("fp"), text.alias("text"))
-    signed = stored(_signed(texts, shingle, weighted, bands, rows), "signed")
-    contents = signed.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "fp")).alias("_w"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands")).select("node", "_w.doc_id", "_w.fp", "n", "bands")
-    members = contents.select("node", "n", F.explode("bands").alias("bucket"))
-    full = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "full")
-    shared = stored(members.join(full.hint("merge"), "bucket"), "shared")
-    # who meets most others leads first: such texts stand in the middle of their group
-    weight = shared.groupBy("node").agg((F.least(F.sum("_n"), F.lit(1 << 40)) * (1 << 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))).alias("o"))
-    buckets = stored(shared.drop("_n").join(weight.hint("merge"), "node").withColumns({"used": F.lit(False), "pivot": F.lit(None).cast("long"), "near": F.lit(None).cast("double")}), "buckets")
-    linked, comp, sets, leaders = None, None, None, FIRST_LEADERS
+def _links(sets: DataFrame, threshold: float) -> DataFrame | None:
+    """(node, comp) of the sets that are linked to another; None if there are none."""
+    state = stored(_rare_first(sets, threshold).withColumn("used", F.lit(False)), "early")
+    linked, comp, seen, leaders = None, None, None, FIRST_LEADERS
     while True:
         if comp is None:
-            state = buckets.withColumn("comp", F.col("node"))
+            state = state.withColumn("comp", F.col("node"))
         else:
-            state = buckets.join(comp.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        groups = state.where("not used").groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("_k"))
-        open_ones = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("bucket")
-        left = stored(state.join(open_ones.hint("merge"), "bucket"), "open")
+            state = state.drop("comp").join(sized(comp), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        span = state.groupBy("shingle").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min("used").alias("_all")).where("_lo < _hi and not _all").select("shingle")
+        state = stored(state.join(span.hint("merge"), "shingle"), "open")
         part = F.pmod(F.xxhash64("node"), F.lit(leaders))
-        lead = left.where("not used").groupBy("bucket", part.alias("_p")).agg(F.max(F.struct("o", "node", "comp", "n", "pivot", "near")).alias("_l"))
-        lead = stored(lead.select(F.col("bucket").alias("_b"), F.col("_l.o").alias("lead"), F.col("_l.node").alias("a"), F.col("_l.comp").alias("_lc"), F.col("_l.n").alias("_ln"), F.col("_l.pivot").alias("_lp"), F.col("_l.near").alias("_ls")), "lead")
+        lead = state.where("not used").groupBy("shingle", part.alias("_p")).agg(F.max(F.struct("o", "node", "comp", "n", "pos")).alias("_l"))
+        lead = stored(lead.select(F.col("shingle").alias("_b"), *(F.col(f"_l.{c}").alias(f"l_{c}") for c in ("node", "comp", "n", "pos"))), "lead")
         if not lead.limit(1).count():
-            break
-        alike = F.least("n", "_ln") >= threshold * F.greatest("n", "_ln") - 1e-9
-        # Jaccard distances obey the triangle inequality: what differs much in its distance to a third text isn't near
-        apart = F.coalesce((F.col("pivot") == F.col("_lp")) & (F.abs(F.col("near") - F.col("_ls")) > 1 - threshold + 1e-9), F.lit(False))
-        met = left.where("not used").join(lead.hint("merge"), (F.col("bucket") == F.col("_b")) & (F.col("comp") != F.col("_lc")) & alike & ~apart)
-        pairs = stored(met.groupBy("a", F.col("node").alias("b")).agg(F.max("lead").alias("lead")), "pairs")
-        if sets is None:
-            nodes = buckets.select("node").distinct().join(contents.select("node", "doc_id", "fp").hint("merge"), "node")
-            sets = stored(_sets_of(texts, nodes, shingle, weighted), "sets")
-        fresh = stored(_measured(pairs, sets), "measured")
+            return comp
+        # as many must be in common, and what comes before the first shared shingle isn't
+        common = F.ceil((F.col("n") + F.col("l_n")) * (threshold / (1 + threshold)) - 1e-9)
+        near = (F.col("pos") <= F.col("n") - common) & (F.col("l_pos") <= F.col("l_n") - common)
+        met = state.join(sized(lead), (F.col("shingle") == F.col("_b")) & (F.col("comp") != F.col("l_comp")) & near)
+        pairs = met.select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b")).distinct()
+        if seen is not None:
+            pairs = pairs.join(sized(seen), ["a", "b"], "left_anti")
+        fresh = stored(_measured(stored(pairs, "pairs"), sets), "measured")
+        seen = fresh.select("a", "b") if seen is None else seen.union(fresh.select("a", "b"))
         close = fresh.where(F.col("sim") >= threshold - 1e-9).select("a", "b")
-        linked = stored(close if linked is None else close.union(linked), "links")
-        comp = components(linked)
-        led = lead.select(F.col("_b").alias("bucket"), F.col("a").alias("node"), F.lit(True).alias("_led"))
-        buckets = left.drop("comp").join(led.hint("merge"), ["bucket", "node"], "left").withColumn("used", F.col("used") | F.coalesce("_led", F.lit(False))).drop("_led")
-        if leaders == FIRST_LEADERS:
-            # each text's distance to the greatest leader that it has met; a leader is at its own place
-            own = fresh.select(F.col("a").alias("b"), "a", "lead", F.lit(1.0).alias("sim"))
-            pivots = fresh.select("b", "a", "lead", "sim").union(own).groupBy(F.col("b").alias("node")).agg(F.max(F.struct("lead", "a", "sim")).alias("_p"))
-            buckets = buckets.drop("pivot", "near").join(pivots.select("node", F.col("_p.a").alias("pivot"), F.col("_p.sim").alias("near")).hint("merge"), "node", "left")
-        buckets = stored(buckets.select("node", "n", "bucket", "o", "used", "pivot", "near"), "buckets")
+        if close.limit(1).count():
+            linked = close if linked is None else close.union(linked)
+            comp = components(linked)
+        led = lead.select(F.col("_b").alias("shingle"), F.col("l_node").alias("node"), F.lit(True).alias("_led"))
+        state = state.join(sized(led), ["shingle", "node"], "left").withColumn("used", F.col("used") | F.coalesce("_led", F.lit(False))).drop("_led")
         leaders *= LEADER_GROWTH
+
+
+def _classed(docs: DataFrame, threshold: float, shingle: int, weighted: bool, bands: int, rows: int) -> DataFrame:
+    """One row for each document: doc_id, fp (hash of the text) and node, the least content of its
+    class; null without words."""
+    text = _content(F.col("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("fp"), text.alias("text"))
+    signed = stored(_signed(texts, shingle, weighted, bands, rows), "signed")
+    contents = signed.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "fp")).alias("_w"), F.min("bands").alias("bands")).select("node", "_w.doc_id", "_w.fp", "bands")
+    contents = stored(contents, "contents")
+    buckets = contents.select("node", F.explode("bands").alias("bucket"))
+    full = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("bucket")
+    candidates = stored(buckets.join(full.hint("merge"), "bucket").select("node").distinct(), "candidates")
+    nodes = contents.join(candidates.hint("merge"), "node")
+    comp = _links(stored(_sets_of(texts, nodes, shingle, weighted), "sets"), threshold)
     named = signed.select("doc_id", "fp", "node")
     if comp is not None:
         named = named.join(comp.hint("merge"), "node", "left").withColumn("node", F.coalesce("comp", "node")).drop("comp")

@@ -37,6 +37,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table of a few narrow columns is sent to all tasks up to so many rows, some megabytes.
+FEW_ROWS = 1 << 17
+
+
+def sized(table: DataFrame) -> DataFrame:
+    """A written table as the side of a join: sent to all tasks if its counted rows are few, sorted
+    and merged if they are not."""
+    return F.broadcast(table) if table.count() <= FEW_ROWS else table.hint("merge")
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

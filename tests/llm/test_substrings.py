@@ -86,7 +86,7 @@ def test_near_duplicate_classes(corpus, rows):
     for i, (d, _) in enumerate(rows):
         groups[find(i)].append(d)
     want = sorted((str(d), str(min((x for x in g if x is not None), default=None)), len(g)) for g in groups.values() for d in g)
-    got = near_dedup.classes(corpus, threshold, bands=40, rows=4)
+    got = near_dedup.classes(corpus, threshold)
     assert sorted((str(r["doc_id"]), str(r["class_id"]), r["class_size"]) for r in got.collect()) == want
 
 
