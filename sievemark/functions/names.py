@@ -17,6 +17,7 @@ CATEGORY_RULES = (
     ("diagnostics_or_lab", r"\b(diagnostics?|labs?|laborator(y|ies)|pathology|patholab|scans?|scanning|imaging|x-?rays?|radiology|mri|sonography|ultrasound)\b"),
     ("clinic_or_health_center", r"\b(clinics?|polyclinics?|dispensar(y|ies)|health cent(er|re)s?|primary health|community health|phc|chc)\b"),
 )
+# Fixed value.
 DOCTOR = r"^\s*(dr\.?|doctor)\s+"
 CATEGORIES = ("hospital_like", "clinic_or_health_center", "pharmacy", "dentist", "individual_doctor", "diagnostics_or_lab", "unknown")
 NOT_HOSPITALS = ("pharmacy", "dentist", "individual_doctor", "diagnostics_or_lab")
@@ -27,6 +28,7 @@ OUTPATIENT = "Outpatient / diagnostic context"
 UNKNOWN = "Unknown context"
 CONTEXTS = (GENERAL, SPECIALTY, OUTPATIENT, UNKNOWN)
 CONTEXT_RANK = {GENERAL: 0, SPECIALTY: 1, UNKNOWN: 2, OUTPATIENT: 3}
+# Words that tell a context.
 HOSPITAL_WORD = r"\b(hospitals?|nursing home|medical college|institute of medical|sanatorium)\b"
 SPECIALTY_MARKERS = (
     r"\b(eye|ent|opthal|ophthal|dental|tooth|skin|hair|cosmet|kidney|stone|urolog|ortho|maternity|children|child|p(?:ae|e)diatric|cancer|onco|cardiac|heart|mental|"

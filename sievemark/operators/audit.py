@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemark.functions.names import NOT_HOSPITALS, audit_category
+from sievemark.operators.scoring import substantive
 from sievemark.operators.profile import top_counts, value_counts
-from sievemark.policy import GAP, REVIEW, SUSPICIOUS, TRUSTED, UNASSIGNED, Policy
+from sievemark.policy import GAP, GENERAL_SUBTYPE, REVIEW, SUSPICIOUS, TRUSTED, UNASSIGNED, Policy
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
@@ -33,7 +34,7 @@ def combination_counts(df: DataFrame, items: Column, keys: list[str] | None = No
     combo = F.array_join(F.array_sort(items), "+")
     counts = df.groupBy(*(keys or []), combo.alias("combination")).agg(F.count(F.lit(1)).alias("n"))
     total = df.groupBy(*(keys or [])).agg(F.count(F.lit(1)).alias("_n"))
-    joined = counts.join(total, keys) if keys else counts.join(F.broadcast(total), F.lit(True))  # one row
+    joined = counts.join(total.hint("merge"), keys) if keys else counts.join(F.broadcast(total), F.lit(True))  # one row
     return joined.withColumn("pct", 100.0 * F.col("n") / F.col("_n")).drop("_n")
 
 
@@ -178,13 +179,30 @@ def boundary_population(policy: Policy = Policy()) -> Column:
 
 
 def boundary_summary(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    at = rows.where(boundary_population(policy)).withColumn("_length", F.char_length("description"))
+    """section rows on the records at the boundary: where their claim stands, what flags and kinds
+    they have, and how many a substantive description would move."""
+    claim = lambda f: f["group"] == "explicit_icu"
+    flagged = lambda name: F.exists("validation_flags", lambda f: f["name"] == name)
+    at = rows.where(boundary_population(policy)).withColumns(
+        {
+            "_length": F.char_length("description"), "_c": F.get("corroboration_categories", F.lit(0)), "_audit": audit_category(F.col("name"), F.col("organization_type")),
+            "_described": F.exists("fragments", lambda f: claim(f) & (f["field"] == "description")),
+            "_substantive": F.exists("fragments", lambda f: claim(f) & (f["field"] == "description") & substantive(f["text"], policy)),
+            "_subtype_only": (F.size("icu_subtypes") > 0) & ~F.array_contains("icu_subtypes", GENERAL_SUBTYPE),
+        }
+    )
     s = "boundary"
+    measures = {
+        "total": F.count(F.lit(1)), "claim_in_description": F.count_if("_described"), "claim_only_structured": F.count_if(~F.col("_described")), "with_directory_flag": F.count_if(flagged("directory_or_partner_content_detected")),
+        "subtype_only": F.count_if("_subtype_only"), "moves_v2a": F.count_if("_substantive"), "moves_v2b": F.count_if(F.col("description_claim").isNotNull()),
+        **{f"description_p{int(q * 100)}": F.percentile("_length", q) for q in (0.25, 0.5, 0.75)},
+    }
     return reduce(
         DataFrame.unionByName,
         [
-            _long(at.agg(F.count(F.lit(1)).alias("total"), *(F.percentile("_length", q).alias(f"description_p{int(q * 100)}") for q in (0.25, 0.5, 0.75))), s),
-            _keyed(value_counts(at.withColumn("_c", F.get("corroboration_categories", F.lit(0))), "_c"), s, "category", "_c"),
+            _long(at.agg(*(v.alias(k) for k, v in measures.items())), s),
+            _keyed(value_counts(at, "_c"), s, "category", "_c"),
+            _keyed(value_counts(at, "_audit"), s, "audit_category", "_audit"),
             _keyed(top_counts(at, "state_final", 10), s, "state", "state_final"),
         ],
     )

@@ -101,9 +101,21 @@ def comparison_summary(compared: DataFrame) -> DataFrame:
     )
 
 
-def run_summary(rows: DataFrame, errors: DataFrame) -> DataFrame:
+def subtype_distribution(results: DataFrame, column: str = "icu_subtypes") -> DataFrame:
+    """How often each subtype was found."""
+    return results.select(F.explode(column).alias("subtype")).groupBy("subtype").agg(F.count(F.lit(1)).alias("n"))
+
+
+def error_rate(results: DataFrame, errors: DataFrame) -> DataFrame:
+    """requested, errors, error_pct of a run (null without a request)."""
+    a, b = results.agg(F.count(F.lit(1)).alias("_ok")), errors.agg(F.count(F.lit(1)).alias("errors"))
+    both = a.join(F.broadcast(b), F.lit(True)).withColumn("requested", F.col("_ok") + F.col("errors"))  # one row each
+    return both.select("requested", "errors", F.round(F.try_divide(100.0 * F.col("errors"), F.col("requested")), 1).alias("error_pct"))
+
+
+def run_summary(rows: DataFrame, errors: DataFrame, quarantined: DataFrame | None = None) -> DataFrame:
     """One row about an evaluation run: counts, agreement (null without pairs), errors only where
-    labels exist, latency."""
+    labels exist, latency, and how many records were set apart."""
     human, mine, model = F.col("human_label"), F.col("classification"), F.col("model_classification")
     some = lambda c: filled(c)
     a = rows.agg(
@@ -119,5 +131,7 @@ def run_summary(rows: DataFrame, errors: DataFrame) -> DataFrame:
         F.sum("latency_ms").alias("total_latency_ms"),
     )
     b = errors.agg(F.count(F.lit(1)).alias("errors"))
+    if quarantined is not None:
+        b = b.join(F.broadcast(quarantined.agg(F.count(F.lit(1)).alias("quarantined"))), F.lit(True))  # one row each
     known = F.col("_labels").isNotNull()
     return a.join(F.broadcast(b), F.lit(True)).withColumns({"false_trusted": F.when(known, F.col("_ft")), "false_gap": F.when(known, F.col("_fg"))}).drop("_labels", "_ft", "_fg")  # one row each

@@ -38,40 +38,52 @@ def text_items(fields: tuple[str, ...] = TEXT_FIELDS, listed: bool = False) -> C
     return F.concat(*parts)
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often it stands there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def sentence_window(text: Column, pattern: str) -> Column:
     """The sentence around the first match: between full stops, semicolons and line ends. Of longer
-    ones, 300 characters from 150 before the match."""
-    around = rf"(?iU)([^.;\n]*?)(?:{pattern})[^.;\n]*"
-    found = F.regexp_extract(text, around, 0)
-    whole = stripped(found)
-    offset = F.char_length(F.regexp_extract(text, around, 1))
-    start = F.greatest(offset - WINDOW_LIMIT // 2, F.lit(0))
-    return F.when(F.char_length(whole) > WINDOW_LIMIT, stripped(F.substring(whole, start + 1, F.lit(WINDOW_LIMIT)))).otherwise(whole)
+    ones, 300 characters from 150 before the match. All searches are anchored, so the work grows
+    with the length of the text, whatever stands in it."""
+
+    def around(before: Column) -> Column:
+        left = F.reverse(F.regexp_extract(F.reverse(before), r"^[^.;\n]*", 0))
+        right = F.regexp_extract(F.substring(text, F.char_length(before) + 1, F.char_length(text)), rf"(?iU)^(?:{pattern})[^.;\n]*", 0)
+        return _once(F.struct(left.alias("left"), stripped(F.concat(left, right)).alias("whole")), cut)
 
+    def cut(x: Column) -> Column:
+        start = F.greatest(F.char_length(x["left"]) - WINDOW_LIMIT // 2, F.lit(0))
+        return F.when(F.char_length(x["whole"]) > WINDOW_LIMIT, stripped(F.substring(x["whole"], start + 1, F.lit(WINDOW_LIMIT)))).otherwise(x["whole"])
 
-def _hits(item: Column, group: str, patterns: tuple[str, ...]) -> Column:
+    return _once(F.regexp_extract(text, rf"(?iU)^([\s\S]*?)(?:{pattern})", 1), around)
+
+
+def _hits(item: Column, group: str, patterns: tuple[str, ...], windows: bool) -> Column:
     text = item["text"]
+    shown = lambda p: sentence_window(text, p) if windows else F.lit(None).cast("string")
     return F.array_compact(
         F.array(
             *(
-                F.when(text.rlike(one(p)), F.struct(item["field"].alias("field"), F.lit(group).alias("group"), F.lit(p).alias("pattern"), sentence_window(text, p).alias("text")))
+                F.when(text.rlike(one(p)), F.struct(item["field"].alias("field"), F.lit(group).alias("group"), F.lit(p).alias("pattern"), shown(p).alias("text")))
                 for p in patterns
             )
         )
     )
 
 
-def all_fragments(items: Column, keywords: Keywords) -> Column:
+def all_fragments(items: Column, keywords: Keywords, windows: bool = True) -> Column:
     """Every match of every pattern, in order of items, groups and patterns. An item that denies
-    gives its denials and nothing else."""
+    gives its denials and nothing else. Without ``windows`` the texts are null: enough to count."""
     none = F.array().cast(FRAGMENTS)
     positive = any_of([p for g in GROUPS for p in keywords.group(g)])
 
     def of(item: Column) -> Column:
         denied = item["text"].rlike(any_of(keywords.negation))
         return (
-            F.when(denied, _hits(item, "negation", keywords.negation))
-            .when(item["text"].rlike(positive), F.concat(*(_hits(item, g, keywords.group(g)) for g in GROUPS)))
+            F.when(denied, _hits(item, "negation", keywords.negation, windows))
+            .when(item["text"].rlike(positive), F.concat(*(_hits(item, g, keywords.group(g), windows) for g in GROUPS)))
             .otherwise(none)
         )
 
@@ -80,12 +92,11 @@ def all_fragments(items: Column, keywords: Keywords) -> Column:
 
 def first_of_each(fragments: Column) -> Column:
     """One fragment for each (field, group, text): the first, so the first pattern counts."""
-    same = lambda a, b: (a["field"] == b["field"]) & (a["group"] == b["group"]) & (a["text"] == b["text"])
-    return F.aggregate(
-        fragments,
-        F.array().cast(FRAGMENTS),
-        lambda kept, x: F.when(F.exists(kept, lambda y: same(x, y)), kept).otherwise(F.array_append(kept, x)),
-    )
+    key = lambda x: F.struct(x["field"], x["group"], x["text"])
+    placed = F.array_sort(F.transform(fragments, lambda f, i: F.struct(f["field"].alias("field"), f["group"].alias("group"), f["text"].alias("text"), i.alias("i"), f["pattern"].alias("pattern"))))
+    firsts = _once(placed, lambda all_: F.filter(all_, lambda x, j: (j == 0) | ~key(x).eqNullSafe(key(F.get(all_, F.greatest(j - 1, F.lit(0)))))))
+    in_order = F.array_sort(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), F.struct(x["field"].alias("field"), x["group"].alias("group"), x["pattern"].alias("pattern"), x["text"].alias("text")).alias("f"))))
+    return F.transform(in_order, lambda x: x["f"])
 
 
 def patterns_of(fragments: Column, group: str) -> Column:
@@ -179,7 +190,7 @@ def contract(df: DataFrame, fragments: DataFrame, id_column: str = "unique_id")
     lists = fragments.groupBy(F.col(id_column).alias("_id")).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("ord", "field", "group", "pattern", "text"))), lambda x: F.struct(x["field"].alias("field"), x["group"].alias("group"), x["pattern"].alias("pattern"), x["text"].alias("text"))).alias("fragments")
     )
-    return df.join(lists, F.col(id_column) == F.col("_id"), "left").drop("_id").withColumn("fragments", F.coalesce("fragments", F.array().cast(FRAGMENTS)))
+    return df.join(lists.hint("merge"), F.col(id_column) == F.col("_id"), "left").drop("_id").withColumn("fragments", F.coalesce("fragments", F.array().cast(FRAGMENTS)))
 
 
 def display_order(fragments: Column, limit: int = 5) -> Column:

@@ -49,6 +49,12 @@ def tombstones(ids: DataFrame) -> DataFrame:
     return ids.select("id", F.current_timestamp().alias("created_at"), F.lit("delete").alias("event"))
 
 
+def deletions(ids: DataFrame, log: DataFrame) -> DataFrame:
+    """The given ids with ``existed``: whether there is such a snapshot to delete."""
+    now = current_snapshots(log).select("id", F.lit(True).alias("_there"))
+    return ids.join(now, "id", "left").select("id", F.coalesce("_there", F.lit(False)).alias("existed"))
+
+
 def latest(log: DataFrame, keys: list[str], order: list[Column], deleted: Column) -> DataFrame:
     """The last event of each key, unless it is a deletion."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -3,6 +3,8 @@ found in the source text."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +14,7 @@ from sievemark.operators.clean import duplicate_keys
 from sievemark.operators.evidence import FRAGMENTS, anchored_number, demoted_tags, finished, text_items
 from sievemark.operators.scoring import judged
 from sievemark.policy import GROUPS, TEXT_FIELDS, Policy
+from sievemark.sources.tables import shared_folder
 
 ID_PATTERN = r"^[A-Za-z0-9][A-Za-z0-9_-]{5,63}$"
 PROPOSAL = (
@@ -34,16 +37,21 @@ def split_by(df: DataFrame, cond: Column) -> tuple[DataFrame, DataFrame]:
     return df.where(ok), df.where(~ok)
 
 
-def batches(df: DataFrame, id_column: str, size: int) -> DataFrame:
+def batches(df: DataFrame, id_column: str, size: int, folder: str | None = None) -> DataFrame:
     """Adds ``batch_id``: consecutive runs of ``size`` rows in id order. Ids are ranked in ranges: each
-    task numbers its own, after the counts of the tasks before it (one number a task)."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(n, id_column).sortWithinPartitions(id_column).withColumn("_at", F.monotonically_increasing_id())
-    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    placed = ordered.withColumns({"_p": part, "_w": within}).join(F.broadcast(before), F.col("_p") == F.col("_part"))
-    return placed.withColumn("batch_id", F.floor((F.col("_before") + F.col("_w")) / size)).select(*df.columns, "batch_id")
+    task numbers its own, after the counts of the tasks before it (one number a task). The split of
+    ids among tasks comes from a sample, so it is drawn once and written in ``folder`` (else in the
+    shared folder of the session), and counts and rows are read from there."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(n, id_column).sortWithinPartitions(id_column).withColumns({"_part": F.spark_partition_id(), "_w": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    path = f"{folder or shared_folder(spark)}/batches-{uuid.uuid4().hex}"
+    ordered.write.parquet(path)
+    placed = spark.read.parquet(path)
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    numbered = placed.join(F.broadcast(before), F.col("_p") == F.col("_part"))  # a row for each task
+    return numbered.withColumn("batch_id", F.floor((F.col("_before") + F.col("_w")) / size)).select(*df.columns, "batch_id")
 
 
 def batch_inputs(df: DataFrame, id_column: str, size: int, fields: tuple[str, ...] = TEXT_FIELDS) -> DataFrame:
@@ -127,7 +135,7 @@ def verified(records: DataFrame, proposals: DataFrame, policy: Policy = Policy()
     sources = items.select(F.col("unique_id").alias("_id"), F.posexplode("items").alias("_ord", "_item")).select("_id", "_ord", F.col("_item.field").alias("_field"), F.col("_item.text").alias("_source"))
     quotes = proposals.select("unique_id", F.posexplode("fragments").alias("ord", "f")).select("unique_id", "ord", F.col("f.field").alias("field"), F.col("f.group").alias("group"), F.coalesce("f.quote", F.lit("")).alias("quote"))
     known = quotes.withColumn("_known", F.col("group").isin(*PROPOSED_GROUPS) & F.col("field").isin(*TEXT_FIELDS))
-    met = known.join(sources, (F.col("unique_id") == F.col("_id")) & (F.col("field") == F.col("_field")) & F.col("_known"), "left").withColumn("_text", located("quote", "_source"))
+    met = known.join(sources.hint("merge"), (F.col("unique_id") == F.col("_id")) & (F.col("field") == F.col("_field")) & F.col("_known"), "left").withColumn("_text", located("quote", "_source"))
     # the first item that holds the quote
     first = met.groupBy("unique_id", "ord", "field", "group").agg(F.min(F.when(F.col("_text").isNotNull(), F.struct("_ord", "_text")))["_text"].alias("text"))
     state = F.when(F.col("text").isNull(), "dropped").when(~informative(F.col("text"), policy), "low").otherwise("kept")
@@ -139,7 +147,7 @@ def verified(records: DataFrame, proposals: DataFrame, policy: Policy = Policy()
     )
     plain = F.transform("_kept", lambda x: F.struct(x["field"].alias("field"), x["group"].alias("group"), x["pattern"].alias("pattern"), x["text"].alias("text")))
     p = proposals.select(F.col("unique_id").alias("_pid"), F.col("explicit_icu_claim").alias("_claim"), F.col("icu_bed_count").alias("_beds"), F.col("icu_subtypes").alias("proposed_subtypes"), F.slice("unclear_claims", 1, 10).alias("unclear_claims"), F.nullif("explanation", F.lit("")).alias("explanation"))
-    joined = items.join(p, F.col("unique_id") == F.col("_pid")).join(lists, F.col("unique_id") == F.col("_id"), "left").withColumns(
+    joined = items.join(p, F.col("unique_id") == F.col("_pid")).join(lists.hint("merge"), F.col("unique_id") == F.col("_id"), "left").withColumns(
         {"fragments": F.coalesce(plain, F.array().cast(FRAGMENTS)), "n_dropped": F.coalesce("n_dropped", F.lit(0)), "n_low": F.coalesce("n_low", F.lit(0))}
     )
     texts = lambda g: F.transform(F.filter("fragments", lambda f: f["group"] == g), lambda f: F.substring(f["text"], 1, 80))

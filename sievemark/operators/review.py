@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievemark.functions.names import CONTEXT_RANK, class_label, context, context_rank, looked_up, subtype_label
+from sievemark.functions.names import CONTEXT_RANK, class_label, context, context_rank, looked_up, scope_key, subtype_label
 from sievemark.functions.text import humanized, list_items
-from sievemark.policy import CLASSES, GAP, GENERAL_SUBTYPE, INSUFFICIENT, REGION_GAP, REVIEW, SUSPICIOUS, TRUSTED, Policy
+from sievemark.policy import CLASSES, GAP, GENERAL_SUBTYPE, INSUFFICIENT, REGION_DESERT, REGION_GAP, REGION_TRUSTED, REVIEW, SUSPICIOUS, TRUSTED, Policy
 
 REASONS = {
     "near_trusted": "Strong evidence, one corroboration category short - verify first",
@@ -75,12 +75,23 @@ def labelled_candidates(rows: DataFrame, labels: dict[str, Column], order: list[
     return tagged.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_label)
 
 
-def candidates(rows: DataFrame, per_label: int = 3) -> DataFrame:
-    """Records that show each kind: trusted general, review, and one subtype only."""
+def candidates(rows: DataFrame, per_label: int = 3, districts: DataFrame | None = None) -> DataFrame:
+    """Records that show each kind: trusted general, review, and one subtype only. With ``districts``
+    (their summary) also the largest districts of three kinds, as ``state/district`` in the id column:
+    too little to judge, a planning gap, and trust that hangs on one record."""
     c = F.col("classification")
     labels = {"trusted_general": (c == TRUSTED) & F.array_contains("icu_subtypes", GENERAL_SUBTYPE), "review": c == REVIEW}
     labels |= {f"only_{s}": (F.size("icu_subtypes") == 1) & F.array_contains("icu_subtypes", s) for s in ("neonatal_icu", "pediatric_icu", "cardiac_icu", "medical_icu", "surgical_icu")}
-    return labelled_candidates(rows, labels, [F.desc("capability_evidence_score"), F.desc("data_completeness_score"), F.col("unique_id")], per_label)
+    found = labelled_candidates(rows, labels, [F.desc("capability_evidence_score"), F.col("unique_id")], per_label)
+    if districts is None:
+        return found
+    status = F.col("region_status")
+    kinds = {
+        "data_desert_district": (status == REGION_DESERT) & (F.col("facility_count") > 0), "planning_gap_district": status == REGION_GAP,
+        "single_trusted_district": (status == REGION_TRUSTED) & (F.col("trusted_icu_count") == 1),
+    }
+    places = labelled_candidates(districts.withColumn("unique_id", scope_key(F.col("state"), F.col("district"))), kinds, [F.desc("facility_count"), F.col("unique_id")], per_label)
+    return found.unionByName(places.select("label", "rank", "unique_id"), allowMissingColumns=True)
 
 
 def operational_data(rows: DataFrame) -> DataFrame:
@@ -136,12 +147,28 @@ def trust_gates(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
     return rows.withColumns({"trust_gates": gates, "corroboration_line": line})
 
 
+#: What a reader is told beside the label; other classes than the four are named as unknown.
+HEADLINES = {
+    TRUSTED: "Settled: trusted evidence", GAP: "Settled: nothing found in a record that can be judged",
+    REVIEW: "Open: a person has to look", INSUFFICIENT: "Open: too little data",
+}
+HELP = {
+    TRUSTED: "The record meets every requirement for trust. It says what was recorded, not what runs today.",
+    GAP: "The record is full enough to judge and holds no credible evidence. That is no proof of absence.",
+    REVIEW: "The rules could not settle this record; the reason and the flags say why.",
+    INSUFFICIENT: "The record holds too little to find evidence or its absence.",
+}
+
+
 def assessment(rows: DataFrame) -> DataFrame:
-    """Whether the class settles the record, its label, and the first flag in words."""
+    """Whether the class settles the record, its label, headline and help, and the first flag in words."""
+    c = F.col("classification")
     return rows.withColumns(
         {
-            "assessment": looked_up(F.col("classification"), RESOLVED, F.lit("unresolved")),
-            "status_label": class_label(F.col("classification")),
+            "assessment": looked_up(c, RESOLVED, F.lit("unresolved")),
+            "status_label": class_label(c),
+            "headline": looked_up(c, HEADLINES, F.concat(F.lit("Open: unknown class "), F.coalesce(c, F.lit("(none)")))),
+            "help": looked_up(c, HELP, F.lit("The class is none of the four.")),
             "first_flag": humanized(F.get("validation_flags", F.lit(0))["name"]),
         }
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from sievemark.plans.record_oracle import RECORD_SQL
+
 NULL_LIKE = "('', 'null', 'none', 'na', 'n/a', 'nan', '-', '--', '[]', '{}', 'unknown', '\"\"', '''''')"
 TRUSTED, GAP, INSUFFICIENT, REVIEW = "Trusted ICU Coverage", "Likely Medical Gap", "Insufficient Data", "Needs Human Review"
 DESERT, FOUND, VERIFY, PLANNING = "Insufficient data to assess", "Trusted ICU evidence found", "Needs facility verification", "Potential planning gap"
@@ -104,6 +106,7 @@ RULES = (
 NAMES = "concat_ws(' ', CASE WHEN p_partkey % 5 = 0 THEN 'Dr.' WHEN p_partkey % 5 = 1 THEN 'City hospital' WHEN p_partkey % 5 = 2 THEN 'Lab' WHEN p_partkey % 7 = 3 THEN 'Dental hospital' END, p_name)"
 
 ORACLE_SQL = {
+    **RECORD_SQL,
     "q_null_profile": " UNION ALL ".join((_profile("documents", ["text", "lang", "source"]), _profile("pages", ["url", "html"]), _profile("events", ["event_type", "props"]))),
     "q_shape_check": " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS n_rows, (SELECT count(*) FROM (DESCRIBE {t})) AS n_columns, {n}::BIGINT AS expected_columns, (SELECT count(*) FROM (DESCRIBE {t})) = {n} AS as_expected" for t, n in SHAPES.items()
@@ -125,16 +128,7 @@ WITH e AS (SELECT event_id, event_type, json_extract_string(props, '$.k') AS k F
 SELECT item, count(*) AS n FROM (
   SELECT k AS item FROM e WHERE event_id % 3 = 0 UNION ALL SELECT event_type FROM e WHERE event_id % 3 = 0
   UNION ALL SELECT '["' || k FROM e WHERE event_id % 3 = 1) GROUP BY 1""",
-    "q_value_status": """
-SELECT 'customer' AS table_name, c_nationkey AS nation_key, CASE WHEN c_acctbal IS NULL THEN 'missing' WHEN c_acctbal NOT BETWEEN 0 AND 9000 THEN 'out_of_range' ELSE 'ok' END AS status, count(*) AS n FROM customer GROUP BY 2, 3
-UNION ALL
-SELECT 'supplier', s_nationkey, CASE WHEN s_acctbal IS NULL THEN 'missing' WHEN s_acctbal NOT BETWEEN 0 AND 9000 THEN 'out_of_range' ELSE 'ok' END, count(*) FROM supplier GROUP BY 2, 3""",
     "q_title_case": f"SELECT {_title('c_mktsegment')} AS name FROM customer UNION SELECT {_title("p_name || '-' || lower(p_type)")} FROM part",
-    "q_modal_rollup": """
-WITH m AS (SELECT l_partkey, l_returnflag, row_number() OVER (PARTITION BY l_partkey ORDER BY count(*) DESC, l_returnflag) AS r FROM lineitem GROUP BY 1, 2)
-SELECT l.l_partkey, m.l_returnflag AS modal_flag, round(sum(round(l_discount * 100)::BIGINT) FILTER (l_discount > 0.02) / nullif(count(*) FILTER (l_discount > 0.02), 0), 6)::DOUBLE AS mean_valid_discount, count(*) AS n_rows,
-       count(*) FILTER (l_discount > 0.02) AS n_valid, count(DISTINCT l_suppkey) AS n_suppliers
-FROM lineitem l JOIN m ON l.l_partkey = m.l_partkey AND m.r = 1 GROUP BY 1, 2""",
     "q_lookup_fallback": """
 WITH j AS (
   SELECT CASE WHEN o_custkey % 7 <> 0 THEN n_name END AS p, CASE WHEN o_orderkey % 3 <> 0 THEN r_name END AS f
@@ -150,19 +144,14 @@ FROM (SELECT lang, regexp_matches(coalesce(text, ''), '(?i){DENIAL}') AS d, rege
 SELECT doc_id, max(x::BIGINT) AS largest FROM (
   SELECT doc_id, unnest(list_concat(regexp_extract_all(text, '(?i)version\\s+(\\d{1,4})', 1), regexp_extract_all(text, '(\\d{1,4})\\.\\d', 1))) AS x FROM documents WHERE text IS NOT NULL) GROUP BY 1""",
     "q_score_components": f"WITH {SCORED} SELECT doc_id, e::BIGINT AS evidence, c::BIGINT AS completeness, n_e::BIGINT AS n_evidence, n_c::BIGINT AS n_completeness FROM scored",
-    "q_validator_flags": f"""
-WITH {SCORED}
-SELECT 'toxic' AS name, 'contradiction' AS severity, count(*) AS n FROM scored WHERE toxic_flag HAVING count(*) > 0
-UNION ALL SELECT 'licence_text', 'suspicious', count(*) FROM scored WHERE licence HAVING count(*) > 0
-UNION ALL SELECT 'weak_kinds_only', 'data_quality', count(*) FROM scored WHERE explicit AND k > 0 AND NOT number HAVING count(*) > 0
-UNION ALL SELECT 'sparse', 'data_quality', count(*) FROM scored WHERE k < 1 HAVING count(*) > 0
-UNION ALL SELECT 'unlabelled', 'data_quality', count(*) FROM scored WHERE quality IS NULL HAVING count(*) > 0""",
     "q_classify": f"""
 WITH {SCORED}
-SELECT class AS classification, left(CASE WHEN toxic_flag THEN 'Record contradicts itself about ICU capability.' WHEN c < 45 THEN 'Data completeness ' || c || ' is below the judgeability threshold'
-  WHEN e >= 45 AND licence THEN 'Evidence is strong but at least one claim' WHEN e >= 45 AND NOT explicit THEN 'ICU-adjacent signals without an explicit'
-  WHEN e >= 45 AND (k >= 2 OR (described AND k >= 1)) THEN 'Evidence score ' || e || ' meets the trust threshold' WHEN e >= 45 THEN 'Strong ICU evidence - additional corroboration'
-  WHEN e <= 15 THEN 'This judgeable record (completeness ' || c || ')' ELSE 'Evidence score ' || e || ' is ambiguous (between' END, 30) AS reason, count(*) AS n
+SELECT class AS classification, CASE WHEN toxic_flag THEN 'The record both claims and denies the capability.' WHEN c < 45 THEN 'With completeness ' || c || ' (judgeable from 45) nothing can be concluded, not even absence.'
+  WHEN e >= 45 AND licence THEN 'Strong evidence, but a claim in it looks doubtful: check first.' WHEN e >= 45 AND NOT explicit THEN 'Strong signs around the capability, yet it is nowhere claimed: ask on site.'
+  WHEN e >= 45 AND k >= 2 THEN 'Evidence ' || e || ' (trusted from 45), judgeable data, and ' || k || ' kinds of evidence in the record.'
+  WHEN e >= 45 AND described AND k >= 1 THEN 'Evidence ' || e || ' (trusted from 45); policy v2 takes the description''s own statement with ' || k || ' categor' || CASE WHEN k = 1 THEN 'y' ELSE 'ies' END || ' of operation as corroboration.'
+  WHEN e >= 45 THEN 'Strong, but only ' || k || ' categor' || CASE WHEN k = 1 THEN 'y' ELSE 'ies' END || ' of evidence stand beside the claim (2 are needed, or one and a statement in the description): no phrase may back itself.'
+  WHEN e <= 15 THEN 'Full enough to judge (completeness ' || c || '), and no credible evidence in it; whether that is a gap is asked for the region.' ELSE 'Evidence ' || e || ' lies between 15 and 45: someone should read the fragments.' END AS reason, count(*) AS n
 FROM scored GROUP BY 1, 2""",
     "q_policy_whatif": f"""
 WITH {SCORED}
@@ -232,17 +221,7 @@ WITH {SCORED}, c AS (
   SELECT lang, array_to_string([x FOR x IN [CASE WHEN len < 20000 THEN 'capacity' END, CASE WHEN len >= 300 THEN 'description' END, CASE WHEN quality IS NOT NULL THEN 'equipment' END, CASE WHEN lang IS NOT NULL THEN 'geography' END,
     CASE WHEN lines THEN 'procedure' END, CASE WHEN source IS NOT NULL THEN 'source_url' END, CASE WHEN lang = 'en' THEN 'staffing' END] IF x IS NOT NULL], '+') AS combination FROM scored)
 SELECT lang, combination, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY lang), 4)::DOUBLE AS pct FROM c GROUP BY 1, 2""",
-    "q_gap_audit": f"SELECT CASE {' '.join(f"WHEN regexp_matches({NAMES}, '(?i){p}') THEN '{n}'" for n, p in RULES)} WHEN regexp_matches({NAMES}, '(?i)^\\s*(dr\\.?|doctor)\\s+') THEN 'individual_doctor' ELSE 'unknown' END AS category, count(*) AS n, round(avg(p_size), 4)::DOUBLE AS mean_size FROM part GROUP BY 1",
-    "q_trusted_audit": f"""
-WITH {SCORED}, t AS (SELECT *, [x FOR x IN [CASE WHEN long THEN 'long' END, CASE WHEN mail THEN 'mail' END, CASE WHEN number THEN 'number' END] IF x IS NOT NULL] AS kinds FROM scored WHERE class = '{TRUSTED}')
-SELECT 'kind' AS metric, key, count(*) AS n FROM (SELECT unnest(CASE WHEN len(kinds) > 0 THEN kinds ELSE ['(none)'] END) AS key FROM t) GROUP BY 2
-UNION ALL SELECT 'combination', array_to_string(kinds, '+'), count(*) FROM t GROUP BY 2
-UNION ALL SELECT 'barely', 'all', count(*) FROM t WHERE e <= 50 OR k <= 2""",
     "q_dominance": "SELECT s_nationkey, count(*) AS n, round(avg((s_acctbal < 5000)::INT), 4)::DOUBLE AS share FROM supplier GROUP BY 1 HAVING avg((s_acctbal < 5000)::INT) >= 0.5 ORDER BY avg((s_acctbal < 5000)::INT) DESC, 2 DESC, 1 LIMIT 20",
-    "q_boundary": f"""
-WITH {SCORED}
-SELECT lang, count(*) AS n, round(quantile_cont(len, 0.25), 3)::DOUBLE AS p25, round(quantile_cont(len, 0.5), 3)::DOUBLE AS p50, round(quantile_cont(len, 0.75), 3)::DOUBLE AS p75
-FROM scored WHERE class = '{REVIEW}' AND e >= 45 AND explicit AND k = 1 AND c >= 45 AND NOT toxic_flag AND NOT licence GROUP BY 1""",
     "q_confusion": "SELECT quality AS human, toxic AS predicted, count(*) AS n FROM labels GROUP BY 1, 2",
     "q_per_class_metrics": f"""
 WITH {PREDICTED}, k AS (SELECT * FROM pred WHERE human IS NOT NULL), c AS (SELECT human AS label FROM k UNION SELECT rule_a FROM k)
@@ -254,8 +233,8 @@ WITH {PREDICTED}, x AS (SELECT 'a' AS extractor, lang, human, rule_a AS p FROM p
 SELECT extractor, lang, count(*) AS n_rows, round(100.0 * avg((p = human)::INT), 1)::DOUBLE AS agreement_pct, count(*) FILTER (p = '{TRUSTED}' AND human <> '{TRUSTED}') AS false_trusted, count(*) FILTER (p = '{GAP}' AND human <> '{GAP}') AS false_gap
 FROM x GROUP BY 1, 2""",
     "q_extractor_compare": f"""
-WITH {PREDICTED}, x AS (SELECT a.rule_b AS c, length(a.rule_b) AS s, b.rule_a AS bc, length(b.rule_a) AS bs FROM pred a LEFT JOIN pred b ON a.doc_id = b.doc_id AND b.doc_id % 5 <> 0 WHERE a.rule_b IS NOT NULL)
-SELECT count(*) AS n_rows, count(bc) AS pairs, round(100.0 * avg((c = bc)::INT), 1)::DOUBLE AS agreement_pct, round(avg(abs(s - bs)), 4)::DOUBLE AS mean_difference FROM x""",
+WITH {PREDICTED} SELECT count(*) AS n_rows, count(human) AS pairs, round(100.0 * avg((rule_a = human)::INT), 1)::DOUBLE AS agreement_pct, round(avg(abs(length(rule_a) - length(human))), 2)::DOUBLE AS mean_difference,
+  sum(length(rule_a))::BIGINT AS verified, sum(len)::BIGINT AS dropped, count(rule_b) AS second FROM pred""",
     "q_progress": f"WITH {PREDICTED} SELECT count(*) AS rows_total, count(human) AS rows_labelled, count(*) - count(human) AS rows_pending FROM pred",
     "q_disagreements": f"WITH {PREDICTED} SELECT doc_id, human, rule_a FROM pred WHERE human <> rule_a",
     "q_semi_anti": """
@@ -269,17 +248,19 @@ p AS (
   UNION ALL SELECT doc_id, 2 FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM d WHERE source IS NOT NULL) WHERE r <= 2)
 SELECT d.doc_id, d.lang, d.source, q.part::BIGINT AS part FROM (SELECT doc_id, min(part) AS part FROM p GROUP BY 1) q JOIN d ON d.doc_id = q.doc_id ORDER BY d.doc_id LIMIT 65""",
     "q_merge_preserving": """
-SELECT doc_id, lang, 'kept' AS note FROM documents WHERE doc_id % 2 = 0
-UNION ALL SELECT doc_id, 'new', '' FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 <> 0""",
+SELECT doc_id, 'labelled' AS lang, 'kept' AS note FROM labels
+UNION ALL SELECT doc_id, lang, '' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
     "q_batches": "SELECT b AS batch_id, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM (SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 25)::BIGINT AS b FROM documents) GROUP BY 1",
-    "q_disagreeing_ids": "SELECT doc_id, lang AS left_value, 'xx' AS right_value FROM documents WHERE doc_id % 3 <> 1 AND doc_id % 5 = 0 AND lang IS DISTINCT FROM 'xx'",
+    "q_disagreeing_ids": """
+SELECT d.doc_id, CASE WHEN length(d.text) >= 800 THEN '1' ELSE '0' END AS left_value, l.quality::VARCHAR AS right_value
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE (length(d.text) >= 800) IS DISTINCT FROM (l.quality = 1)""",
     "q_id_accounting": """
-WITH a AS (SELECT o_orderkey AS id, (o_orderkey // 1000)::BIGINT AS b, count(*) AS n FROM orders WHERE o_orderkey % 10 <> 0 GROUP BY 1, 2),
+WITH a AS (SELECT o_orderkey AS id, (o_orderkey // 1000)::BIGINT AS b, count(*) AS n FROM orders GROUP BY 1, 2),
 g AS (SELECT l_orderkey AS id, (l_orderkey // 1000)::BIGINT AS b, count(*) AS n FROM lineitem GROUP BY 1, 2)
 SELECT coalesce(a.b, g.b) AS batch_id, CASE WHEN a.n IS NULL THEN 'unknown' WHEN g.n IS NULL THEN 'missing' WHEN g.n > 1 THEN 'duplicate' ELSE 'none' END AS problem, count(*) AS n
 FROM a FULL JOIN g ON a.id = g.id AND a.b = g.b GROUP BY 1, 2""",
     "q_quote_verify": """
-WITH q AS (SELECT item_id, array_to_string(regexp_extract_all(text, '[^ \\t-\\r]+')[1:8], ' ') AS quote FROM benchmark WHERE len(regexp_extract_all(text, '[^ \\t-\\r]+')) >= 8),
+WITH q AS (SELECT item_id, array_to_string(regexp_extract_all(text, '[^ \\t-\\r]+'), ' ') AS quote FROM benchmark WHERE len(regexp_extract_all(text, '[^ \\t-\\r]+')) > 0),
 d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(text, '[^ \\t-\\r]+'), ' ') || ' ' AS words FROM documents WHERE text IS NOT NULL)
 SELECT item_id, doc_id, quote FROM q JOIN d ON contains(words, ' ' || quote || ' ')""",
     "q_turn_checks": """
@@ -295,16 +276,6 @@ FROM events GROUP BY 1, 2""",
     "q_spend": """
 SELECT n AS records, round(c, 6)::DOUBLE AS cost_usd, c > 0.01 AS over_limit
 FROM (SELECT count(*) AS n, sum(length(text) * CASE WHEN role = 'assistant' THEN 0.60::DOUBLE ELSE 0.15::DOUBLE END) / 1e6 AS c FROM conversations)""",
-    "q_priority_worklist": """
-WITH t AS (
-  SELECT c_nationkey, o_orderkey, o_totalprice, CASE WHEN o_orderpriority = '1-URGENT' THEN 1 WHEN o_orderpriority = '2-HIGH' AND o_orderstatus = 'O' THEN 2 WHEN o_orderpriority = '3-MEDIUM' AND c_acctbal > 5000 THEN 3 END AS tier
-  FROM orders JOIN customer ON o_custkey = c_custkey)
-SELECT c_nationkey, priority, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY tier, o_totalprice DESC, o_orderkey) AS priority FROM t WHERE tier IS NOT NULL) WHERE priority <= 5""",
-    "q_candidates": """
-WITH l AS (
-  SELECT 'urgent' AS label, o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT 'open', o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O'
-  UNION ALL SELECT 'large', o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 400000)
-SELECT label, rank, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM l) WHERE rank <= 3""",
     "q_display_order": f"""
 WITH {_fragments()}, r AS (
   SELECT signal, row_number() OVER (PARTITION BY doc_id ORDER BY CASE signal WHEN 'negation' THEN 0 WHEN 'explicit_icu' THEN 1 WHEN 'equipment' THEN 2 WHEN 'procedure' THEN 3 WHEN 'staffing' THEN 4 ELSE 5 END, ord) - 1 AS rank FROM frag)

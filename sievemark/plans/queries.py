@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark.functions import text as txt
+from sievemark.plans import record_queries
 from sievemark.operators import audit, clean, evaluate, evidence, geography, ledger, profile, proposals, regions, review, sampling, scoring
+from sievemark.sources.tables import shared_folder
 from sievemark.policy import CLASSES, GAP, REVIEW, TRUSTED, EvidenceWeights, Keywords, Policy, Thresholds
 
-QUERIES: dict = {}
+QUERIES: dict = dict(record_queries.QUERIES)
 LICENCE, MAIL, NUMBER = "(?i)licen[sc]e", "@", "[0-9]{3}"
 #: Keyword groups for the driver's documents, in place of the facility vocabulary.
 DOC_KEYWORDS = Keywords(
@@ -141,16 +143,6 @@ def q_json_list(spark, sf):
     return items.groupBy("item").agg(big(F.count(F.lit(1))).alias("n"))
 
 
-@query
-def q_value_status(spark, sf):
-    parts = []
-    for t, c, nation in (("customer", "c_acctbal", "c_nationkey"), ("supplier", "s_acctbal", "s_nationkey")):
-        v = F.col(c)
-        status = F.when(v.isNull(), "missing").when(~v.between(0, 9000), "out_of_range").otherwise("ok")
-        parts.append(table(spark, sf, t).groupBy(F.lit(t).alias("table_name"), F.col(nation).alias("nation_key"), status.alias("status")).agg(big(F.count(F.lit(1))).alias("n")))
-    return union(parts)
-
-
 @query
 def q_title_case(spark, sf):
     a = table(spark, sf, "customer").select(txt.title_case(F.col("c_mktsegment")).alias("name"))
@@ -158,16 +150,6 @@ def q_title_case(spark, sf):
     return a.union(b).distinct()
 
 
-@query
-def q_modal_rollup(spark, sf):
-    ok = F.col("l_discount") > 0.02
-    hundredths = F.round(F.col("l_discount") * 100).cast("bigint")  # whole numbers: the sum has one order only
-    return table(spark, sf, "lineitem").groupBy("l_partkey").agg(
-        F.mode("l_returnflag", True).alias("modal_flag"), F.round(F.try_divide(F.sum(F.when(ok, hundredths)), F.count_if(ok)), 6).alias("mean_valid_discount"), big(F.count(F.lit(1))).alias("n_rows"),
-        big(F.count_if(ok)).alias("n_valid"), big(F.count_distinct("l_suppkey")).alias("n_suppliers"),
-    )
-
-
 @query
 def q_lookup_fallback(spark, sf):
     n, r = table(spark, sf, "nation"), table(spark, sf, "region")
@@ -182,15 +164,15 @@ def q_lookup_fallback(spark, sf):
 # -- evidence ------------------------------------------------------------------------------------
 
 
-def _doc_fragments(spark, sf) -> DataFrame:
+def _doc_fragments(spark, sf, windows: bool = True) -> DataFrame:
     d = table(spark, sf, "documents").where(F.col("text").isNotNull())
     items = F.array(F.struct(F.lit("description").alias("field"), F.col("text").alias("text")))
-    return d.select("doc_id", "lang", evidence.all_fragments(items, DOC_KEYWORDS).alias("found"))
+    return d.select("doc_id", "lang", evidence.all_fragments(items, DOC_KEYWORDS, windows).alias("found"))
 
 
 @query
 def q_keyword_scan(spark, sf):
-    f = _doc_fragments(spark, sf).select("doc_id", "lang", F.explode("found").alias("f"))
+    f = _doc_fragments(spark, sf, windows=False).select("doc_id", "lang", F.explode("found").alias("f"))
     return f.groupBy("lang", F.col("f.group").alias("signal"), F.col("f.pattern").alias("pattern")).agg(big(F.count(F.lit(1))).alias("n"))
 
 
@@ -227,23 +209,9 @@ def q_score_components(spark, sf):
     return s.select("doc_id", big(F.col("capability_evidence_score")).alias("evidence"), big(F.col("data_completeness_score")).alias("completeness"), big(F.size("evidence_components")).alias("n_evidence"), big(F.size("completeness_components")).alias("n_completeness"))
 
 
-@query
-def q_validator_flags(spark, sf):
-    s = scored_docs(spark, sf)
-    flag = lambda cond, name, severity: F.when(cond, F.struct(F.lit(name).alias("name"), F.lit(severity).alias("severity")))
-    only = F.size(F.array_except("categories", F.array(F.lit("long"), F.lit("mail")))) == 0
-    flags = F.array_compact(
-        F.array(
-            flag(F.col("toxic_flag"), "toxic", "contradiction"), flag(F.col("licence"), "licence_text", "suspicious"), flag(F.col("explicit") & (F.size("categories") > 0) & only, "weak_kinds_only", "data_quality"),
-            flag(F.size("categories") < 1, "sparse", "data_quality"), flag(F.col("quality").isNull(), "unlabelled", "data_quality"),
-        )
-    )
-    return s.select(F.explode(flags).alias("f")).groupBy(F.col("f.name").alias("name"), F.col("f.severity").alias("severity")).agg(big(F.count(F.lit(1))).alias("n"))
-
-
 @query
 def q_classify(spark, sf):
-    return scored_docs(spark, sf).groupBy("classification", F.substring("classification_reason", 1, 30).alias("reason")).agg(big(F.count(F.lit(1))).alias("n"))
+    return scored_docs(spark, sf).groupBy("classification", F.col("classification_reason").alias("reason")).agg(big(F.count(F.lit(1))).alias("n"))
 
 
 @query
@@ -344,10 +312,14 @@ def q_example_regions(spark, sf):
 
 @query
 def q_region_slice(spark, sf):
-    s = _regions(spark, sf)
+    """Five slices in one pass: each record is counted in those that hold it."""
     parts = [(None, None), ("en", None), ("(unassigned)", None), ("fr", "(unassigned)"), ("de", "src3")]
-    rows = [regions.summary(regions.sliced(s, a, b, "lang", "source"), DOC_POLICY).withColumn("slice", F.lit(f"{a or 'all'}/{b or 'all'}")) for a, b in parts]
-    return union(rows).select("slice", *(big(F.col(c)).alias(c) for c in REGION_COLUMNS), "trust_weighted_icu_coverage", "region_status")
+    held = F.array_compact(F.array(*(F.when(regions.in_slice(a, b, "lang", "source"), F.lit(f"{a or 'all'}/{b or 'all'}")) for a, b in parts)))
+    out = regions.finished(_regions(spark, sf).withColumn("slice", F.explode(held)).groupBy("slice").agg(*regions.measures(DOC_POLICY)), DOC_POLICY)
+    # a slice that no record is in can't be assessed: it has a row all the same
+    names = spark.createDataFrame([(f"{a or 'all'}/{b or 'all'}",) for a, b in parts], "slice string")
+    full = names.join(out.hint("merge"), "slice", "left").fillna(0, list(REGION_COLUMNS)).fillna({"trust_weighted_icu_coverage": 0.0, "region_status": "Insufficient data to assess"})
+    return full.select("slice", *(big(F.col(c)).alias(c) for c in REGION_COLUMNS), "trust_weighted_icu_coverage", "region_status")
 
 
 # -- audit ---------------------------------------------------------------------------------------
@@ -365,39 +337,12 @@ def q_combo_counts(spark, sf):
     return audit.combination_counts(s, F.map_keys("completeness_components"), ["lang"]).select("lang", "combination", big(F.col("n")).alias("n"), F.round("pct", 4).alias("pct"))
 
 
-@query
-def q_gap_audit(spark, sf):
-    from sievemark.functions.names import audit_category
-
-    names = F.concat_ws(" ", F.when(F.col("p_partkey") % 5 == 0, "Dr.").when(F.col("p_partkey") % 5 == 1, "City hospital").when(F.col("p_partkey") % 5 == 2, "Lab").when(F.col("p_partkey") % 7 == 3, "Dental hospital"), "p_name")
-    p = table(spark, sf, "part").select(audit_category(names, F.lit("facility")).alias("category"), "p_size")
-    a = p.groupBy("category").agg(big(F.count(F.lit(1))).alias("n"), F.round(F.avg("p_size"), 4).alias("mean_size"))
-    return a
-
-
-@query
-def q_trusted_audit(spark, sf):
-    t = scored_docs(spark, sf).where(F.col("classification") == TRUSTED)
-    kinds = t.select(F.explode(F.when(F.size("categories") > 0, F.col("categories")).otherwise(F.array(F.lit("(none)")))).alias("k"))
-    a = profile.value_counts(kinds, "k").select(F.lit("kind").alias("metric"), F.col("k").alias("key"), big(F.col("n")).alias("n"))
-    b = audit.combination_counts(t, F.col("categories")).select(F.lit("combination").alias("metric"), F.col("combination").alias("key"), big(F.col("n")).alias("n"))
-    near = t.where((F.col("capability_evidence_score") <= 50) | (F.col("n_categories") <= 2)).agg(F.lit("barely").alias("metric"), F.lit("all").alias("key"), big(F.count(F.lit(1))).alias("n"))
-    return union([a, b, near])
-
-
 @query
 def q_dominance(spark, sf):
     s = table(spark, sf, "supplier")
     return audit.dominance(s, ["s_nationkey"], F.col("s_acctbal") < 5000, 0.5, 20).select("s_nationkey", big(F.col("n")).alias("n"), F.round("share", 4).alias("share"))
 
 
-@query
-def q_boundary(spark, sf):
-    s = scored_docs(spark, sf)
-    at = (F.col("classification") == REVIEW) & (F.col("capability_evidence_score") >= 45) & F.col("explicit") & (F.col("n_categories") == 1) & (F.col("data_completeness_score") >= 45) & ~F.col("toxic_flag") & ~F.col("licence")
-    return s.where(at).groupBy("lang").agg(big(F.count(F.lit(1))).alias("n"), *(F.round(F.percentile("length", q), 3).alias(f"p{int(100 * q)}") for q in (0.25, 0.5, 0.75)))
-
-
 # -- evaluation ----------------------------------------------------------------------------------
 
 
@@ -430,11 +375,11 @@ def q_agreement(spark, sf):
 @query
 def q_extractor_compare(spark, sf):
     p = _predicted(spark, sf)
-    a = p.select(F.col("doc_id").alias("unique_id"), F.col("rule_b").alias("classification"), F.length("rule_b").alias("capability_evidence_score")).where("classification is not null")
-    b = p.select(F.col("doc_id").alias("unique_id"), F.col("rule_a").alias("classification"), F.length("rule_a").alias("capability_evidence_score")).where("unique_id % 5 <> 0")
-    x = evaluate.comparison(a, b)
-    gap = F.abs(F.col("capability_evidence_score") - F.col("baseline_capability_evidence_score"))
-    return x.agg(big(F.count(F.lit(1))).alias("n_rows"), big(F.count("baseline_classification")).alias("pairs"), evaluate.percent(F.when(F.col("baseline_classification").isNotNull(), F.col("classification") == F.col("baseline_classification"))).alias("agreement_pct"), F.round(F.avg(gap), 4).alias("mean_difference"))
+    given = lambda c: p.select(F.col("doc_id").alias("unique_id"), F.col(c).alias("classification"), F.length(c).alias("capability_evidence_score"), F.length(c).alias("verified_fragments"), F.col("length").alias("dropped_fragments"), F.lit(0).alias("low_information_fragments"))
+    x = evaluate.comparison(given("rule_a"), given("human").where("classification is not null"), given("rule_b"))
+    s = evaluate.comparison_summary(x)
+    second = x.agg(big(F.count("other_classification")).alias("second"))
+    return s.join(F.broadcast(second), F.lit(True)).select(big(F.col("rows")).alias("n_rows"), big(F.col("pairs")).alias("pairs"), "agreement_pct", F.col("mean_score_difference").alias("mean_difference"), big(F.col("verified_fragments")).alias("verified"), big(F.col("dropped_fragments")).alias("dropped"), "second")  # one row each
 
 
 @query
@@ -465,9 +410,8 @@ def q_stratified_sample(spark, sf):
 
 @query
 def q_merge_preserving(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "lang")
-    old = d.where("doc_id % 2 = 0").withColumn("note", F.lit("kept"))
-    new = d.where("doc_id % 3 = 0").withColumn("lang", F.lit("new"))
+    old = table(spark, sf, "labels").select("doc_id").withColumns({"lang": F.lit("labelled"), "note": F.lit("kept")})
+    new = table(spark, sf, "documents").select("doc_id", "lang")
     return sampling.merge_preserving(old, new, "doc_id").select("doc_id", "lang", "note")
 
 
@@ -479,9 +423,9 @@ def q_batches(spark, sf):
 
 @query
 def q_disagreeing_ids(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "lang")
-    other = d.where("doc_id % 3 <> 1").withColumn("lang", F.when(F.col("doc_id") % 5 == 0, "xx").otherwise(F.col("lang")))
-    return sampling.disagreements(d, other, "doc_id", "lang")
+    d, lab = table(spark, sf, "documents"), table(spark, sf, "labels")
+    said = d.select("doc_id", F.when(F.char_length("text") >= 800, "1").otherwise("0").alias("good"))
+    return sampling.disagreements(said, lab.select("doc_id", F.col("quality").cast("string").alias("good")), "doc_id", "good")
 
 
 # -- proposals -----------------------------------------------------------------------------------
@@ -489,7 +433,7 @@ def q_disagreeing_ids(spark, sf):
 
 @query
 def q_id_accounting(spark, sf):
-    asked = table(spark, sf, "orders").where("o_orderkey % 10 <> 0").select(F.col("o_orderkey").alias("unique_id"), big(F.floor(F.col("o_orderkey") / 1000)).alias("batch_id"))
+    asked = table(spark, sf, "orders").select(F.col("o_orderkey").alias("unique_id"), big(F.floor(F.col("o_orderkey") / 1000)).alias("batch_id"))
     given = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("unique_id"), big(F.floor(F.col("l_orderkey") / 1000)).alias("batch_id"))
     x = proposals.accounted(asked, given)
     return x.groupBy("batch_id", F.coalesce("problem", F.lit("none")).alias("problem")).agg(big(F.count(F.lit(1))).alias("n"))
@@ -497,14 +441,21 @@ def q_id_accounting(spark, sf):
 
 @query
 def q_quote_verify(spark, sf):
-    """Passages of the benchmark that stand in documents, whatever the white space: the passages' first
-    eight words as quotes, met with the documents by the hash of any eight words in a row."""
-    b = table(spark, sf, "benchmark").select("item_id", F.slice(F.regexp_extract_all("text", F.lit(r"([^ \t-\r]+)"), F.lit(1)), 1, 8).alias("w")).where(F.size("w") == 8)
-    quotes = b.select("item_id", F.array_join("w", " ").alias("quote"))
-    d = table(spark, sf, "documents").where(F.col("text").isNotNull()).select("doc_id", F.col("text").alias("body"), F.regexp_extract_all("text", F.lit(r"([^ \t-\r]+)"), F.lit(1)).alias("w"))
-    keys = d.where(F.size("w") >= 8).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 8), " "))))).alias("k"))
-    hit = keys.join(quotes.withColumn("k", F.xxhash64("quote")).hint("merge"), "k").select("doc_id", "item_id", "quote")
-    met = hit.join(d.select("doc_id", "body").hint("merge"), "doc_id")
+    """Passages of the benchmark that stand in documents as a whole, whatever the white space. They
+    meet the documents by their first words (eight, or all they have), and are then verified whole.
+    A filter of the quotes' keys, of a fixed size, drops the other windows before any shuffle."""
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"([^ \t-\r]+)"), F.lit(1))
+    b = table(spark, sf, "benchmark").select("item_id", words("text").alias("w")).where(F.size("w") > 0)
+    quotes = b.select("item_id", F.array_join("w", " ").alias("quote"), F.least(F.size("w"), F.lit(8)).alias("n"), F.xxhash64(F.array_join(F.slice("w", 1, 8), " ")).alias("k"))
+    lengths = sorted(r["n"] for r in quotes.select("n").distinct().collect())  # eight at most
+    d = table(spark, sf, "documents").where(F.col("text").isNotNull()).select("doc_id", F.col("text").alias("body"))
+    listed = d.select("doc_id", words("body").alias("w"))
+    starts = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " ")))).otherwise(F.array().cast("array<bigint>"))
+    keys = listed.select("doc_id", F.explode(F.array_distinct(F.concat(*(starts(n) for n in lengths)) if lengths else F.array().cast("array<bigint>"))).alias("k"))
+    # at most 2**20 marks, however many quotes there are
+    marks = quotes.select(F.pmod("k", F.lit(1 << 20)).alias("_m")).distinct()
+    hit = keys.withColumn("_m", F.pmod("k", F.lit(1 << 20))).join(F.broadcast(marks), "_m", "left_semi").join(quotes.hint("merge"), "k").select("doc_id", "item_id", "quote")
+    met = hit.join(d.hint("merge"), "doc_id")
     found = met.withColumn("at", proposals.located("quote", "body")).where("at is not null")
     return found.select("item_id", "doc_id", F.col("quote"))
 
@@ -550,23 +501,6 @@ def q_spend(spark, sf):
 # -- review --------------------------------------------------------------------------------------
 
 
-@query
-def q_priority_worklist(spark, sf):
-    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    o = table(spark, sf, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
-    tier = F.when(F.col("o_orderpriority") == "1-URGENT", 1).when((F.col("o_orderpriority") == "2-HIGH") & (F.col("o_orderstatus") == "O"), 2).when((F.col("o_orderpriority") == "3-MEDIUM") & (F.col("c_acctbal") > 5000), 3)
-    out = review.ranked_worklist(o, ["c_nationkey"], tier, [F.desc("o_totalprice")], "o_orderkey", 5)
-    return out.select("c_nationkey", big(F.col("priority")).alias("priority"), "o_orderkey", "o_totalprice")
-
-
-@query
-def q_candidates(spark, sf):
-    o = table(spark, sf, "orders")
-    labels = {"urgent": F.col("o_orderpriority") == "1-URGENT", "open": F.col("o_orderstatus") == "O", "large": F.col("o_totalprice") > 400000}
-    out = review.labelled_candidates(o, labels, [F.desc("o_totalprice"), F.col("o_orderkey")], 3)
-    return out.select("label", big(F.col("rank")).alias("rank"), "o_orderkey")
-
-
 @query
 def q_display_order(spark, sf):
     f = _doc_fragments(spark, sf).select("doc_id", F.posexplode(evidence.display_order(F.col("found"), 5)).alias("rank", "f"))
@@ -617,12 +551,7 @@ def q_incremental(spark, sf):
 
     from sievemark.streaming.incremental import file_stream, scored_stream
 
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-        base = "/tmp/spark-incremental"
-    base = f"{base}/incremental-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/incremental-{uuid.uuid4().hex}"
     events = table(spark, sf, "events")
 
     def score(df: DataFrame) -> DataFrame:

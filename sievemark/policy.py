@@ -107,6 +107,8 @@ class Keywords:
 
 @dataclass(frozen=True)
 class EvidenceWeights:
+    """Fixed values."""
+
     explicit_claim: int = 35
     equipment: int = 20
     procedure: int = 15
@@ -120,6 +122,8 @@ class EvidenceWeights:
 
 @dataclass(frozen=True)
 class CompletenessWeights:
+    """Fixed values."""
+
     description: int = 20
     procedure: int = 15
     equipment: int = 15
@@ -131,6 +135,8 @@ class CompletenessWeights:
 
 @dataclass(frozen=True)
 class Thresholds:
+    """Fixed values."""
+
     sufficient_completeness: int = 45
     high_evidence: int = 45
     low_evidence: int = 15

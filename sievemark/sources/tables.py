@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +72,18 @@ def source(spark: SparkSession, mode: str, place: str | dict[str, str]):
     raise ValueError(f"unknown source mode {mode!r}")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, named in spark.checkpoint.dir. A local session
+    may lack one; it gets a folder of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
@@ -84,6 +97,17 @@ def register_tables(tables: dict[str, DataFrame], names: dict[str, str]) -> None
         df.write.mode("overwrite").saveAsTable(names[dataset])
 
 
+def register_raw(spark: SparkSession, files: dict[str, str], names: dict[str, str]) -> None:
+    """Creates or replaces catalog tables straight from raw files, every column as text."""
+    register_tables({dataset: raw_csv(spark, path) for dataset, path in files.items()}, names)
+
+
+def file_hash(spark: SparkSession, path: str, digits: int = 16) -> str:
+    """SHA-256 over the sorted hashes of the files at ``path``, wherever Spark can read them."""
+    each = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("h"))
+    return each.agg(F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256), 1, digits)).first()[0]
+
+
 def create_if_missing(spark: SparkSession, name: str, schema: T.StructType) -> DataFrame:
     if not NAME.match(name):
         raise ValueError(f"not a table name: {name!r}")
