@@ -6,16 +6,16 @@ their ids' ends and a payload of blocks. Every block is coded by itself, with it
 scratch, and carries the number of its ids and the CRC-32 of them, checked when it is read; so a
 damaged block is noticed and costs no other.
 
-The coder. For each id, the ids that last followed the two ids before it (order 2) and the one
-before it (order 1) are predicted, each with a confidence from its recent hits. A first symbol
-says which prediction is right, if any; its probabilities are learnt for each pair of confidences,
-which is how the orders are mixed. An id that none predicts is coded by the order-0 model: its
-highest eight bits in nibbles with adaptive frequencies, the others evenly. All symbols go through one
-range coder of 48 bits with carries.
+The coder. The ids that last followed the two ids before (order 2) and the one before (order 1) are
+predicted, each with a confidence from its recent hits; order 0 is an adaptive distribution over
+all ids: those that the block had lately, by how often, and all others by their length in bits and
+the four bits after the first. What is coded is one mixture of
+the three: the weights of the predictions are learnt for each pair of confidences, the rest is order
+0's. One step of a range coder of 48 bits with carries codes an id.
 
-All blocks of a segment, and of several segments at once, are coded side by side: position by
-position, one array operation for all blocks. Tokenizing looks each distinct word up once a task:
-the tokenizer sees no further than white space, so a text's ids are its words' ids.
+All blocks of several segments are coded side by side: position by position, one array operation
+for all blocks. Tokenizing looks each distinct word up once while there is room: the tokenizer sees
+no further than white space, so a text's ids are its words' ids.
 
 Defined results: a null or empty text is its end id alone; very long texts make longer segments;
 repeated rows and ties are written each for itself, ordered by doc_id, then text; a null doc_id
@@ -35,62 +35,108 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.llm.shared import partitions, running_totals
-from sievemark.llm.wordscan import Words, text_chunks
+from sievemark.llm.shared import partitions, running_totals, sized, stored
+from sievemark.llm.wordscan import WORD_BYTES, Words, text_chunks
 
-BLOCK, SEGMENT = 2048, 1 << 19
-MAGIC = 0x53544F4B
+BLOCK, SEGMENT = 4096, 1 << 19
+MAGIC = 0x53544F4C
 HEAD = struct.Struct("<IHHIII")  # magic, bits of an id, 0, ids, crc32 of the ids, bytes of code
 FULL, WORD16 = np.int64(1) << np.int64(48), np.int64(1) << np.int64(32)
-TOP = 15
-RATE = 5
+TOP, LOWEST = 16, 13  # bits of the mixed distribution, and of the part of an id below it
+SPAN = 13
+TOTAL = 1 << SPAN  # of the order-0 frequencies
+RECENT, BINS = 512, 256  # order 0: ids of the block by their last bits, and bins for all others
+FRESH = 128  # after so many ids they are counted anew, and sooner in the beginning
 SLOTS1, SLOTS2 = 512, 1024
+#: An id outside the recent ones counts so many times as much as a bin at the start; the bins together as many ids of the block.
+SEEN, OUTSIDE = 10, 200
 
-#: For each nibble just seen, where the starts of all nibbles move to; no step falls below 2**RATE,
-#: so every nibble keeps a frequency of 1 at least.
-TARGET = np.array([[(s << RATE) if s <= seen else (1 << TOP) - ((16 - s) << RATE) for s in range(16)] for seen in range(16)], "int32")
+
+def binned(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids that are new to a block are seen as their length in bits and the four bits after the first:
+    (bin, how many bits are left below, those bits)."""
+    ids = ids.astype("int64")
+    left = np.maximum(np.frexp(ids.astype("float64"))[1] - 5, 0).astype("int64")
+    return np.where(ids < 16, ids, (left + 1) * 16 + ((ids >> left) & 15)).astype("int16"), left.astype("int8"), (ids & ((1 << left) - 1)).astype("int16")
+
+
+#: Of each bin: the bits below, and its first id.
+LEFT_OF = np.maximum(np.arange(BINS) // 16 - 1, 0)
+BASE_OF = np.where(np.arange(BINS) < 16, np.arange(BINS), (16 + np.arange(BINS) % 16) << LEFT_OF)
 
 
 class Models:
-    """The state of all blocks side by side, the same for the coder and the decoder."""
+    """The state of all blocks side by side, the same for the coder and the decoder.
+
+    Order 1 and order 2 each predict one id with a confidence (0 to 3); order 0 is a distribution over
+    all ids. Their mixture is what is coded: the weights of the two predictions are learnt for each
+    pair of confidences, the rest is order 0's. An id and its confidence stand in one number.
+    """
 
     def __init__(self, lanes: int):
         self.lane = np.arange(lanes, dtype="int64")
-        self.id1, self.sure1 = np.full(lanes * SLOTS1, -1, "int32"), np.zeros(lanes * SLOTS1, "int8")
-        self.id2, self.sure2 = np.full(lanes * SLOTS2, -1, "int32"), np.zeros(lanes * SLOTS2, "int8")
-        self.hit1, self.hit2 = np.full(lanes * 16, 1 << 14, "int32"), np.full(lanes * 16, 1 << 15, "int32")
-        # order 0: the first high nibble, and the second after each first
-        self.starts = np.tile(np.arange(16, dtype="int32") << (TOP - 4), (lanes * 17, 1))
+        self.table1, self.table2 = np.full(lanes * SLOTS1, -4, "int32"), np.full(lanes * SLOTS2, -4, "int32")
+        self.hit1, self.hit2 = np.full(lanes * 16, 1 << 13, "int32"), np.full(lanes * 16, 1 << 14, "int32")
         self.last, self.before = np.zeros(lanes, "int64"), np.zeros(lanes, "int64")
+        self.recent, self.recent_n = np.full(lanes * RECENT, -1, "int32"), np.zeros((lanes, RECENT), "int32")
+        self.bin_n = np.ones((lanes, BINS), "int32")
+        self.seen: list[tuple[np.ndarray, ...]] = []
+        self.count()
+
+    def count(self) -> None:
+        """The order-0 frequencies, from the literals since the last time. Of ids with the same last
+        bits the latest is the recent one; every bin keeps a frequency of one at least."""
+        lanes = len(self.lane)
+        if self.seen:
+            lane, ids, bins, known = (np.concatenate(x) for x in zip(*self.seen))
+            self.seen = []
+            key = lane * RECENT + (ids & (RECENT - 1))
+            before = self.recent.copy()
+            self.recent[key] = ids
+            self.recent_n[(self.recent != before).reshape(lanes, RECENT)] = 0
+            self.recent_n += np.bincount(key[self.recent[key] == ids], minlength=lanes * RECENT).astype("int32").reshape(lanes, RECENT)
+            out = ~known
+            self.bin_n += SEEN * np.bincount(lane[out] * BINS + bins[out], minlength=lanes * BINS).astype("int32").reshape(lanes, BINS)
+        freq = np.empty((lanes, RECENT + BINS), "int32")
+        seen = self.recent_n.sum(axis=1, keepdims=True, dtype="int32")
+        freq[:, :RECENT] = self.recent_n * ((TOTAL - BINS) * 64 // (seen + OUTSIDE)) >> 6
+        rest = TOTAL - BINS - freq[:, :RECENT].sum(axis=1, keepdims=True, dtype="int32")
+        freq[:, RECENT:] = 1 + (self.bin_n * (rest * 256 // self.bin_n.sum(axis=1, keepdims=True, dtype="int32")) >> 8)
+        freq[np.arange(lanes), RECENT + freq[:, RECENT:].argmax(axis=1)] += TOTAL - freq.sum(axis=1)
+        self.starts = np.zeros((lanes, RECENT + BINS + 1), "int32")
+        np.cumsum(freq, axis=1, out=self.starts[:, 1:])
+        self.starts = self.starts.ravel()
+
+    def row(self, n: int) -> np.ndarray:
+        return self.lane[:n] * (RECENT + BINS + 1)
 
     def predict(self, n: int) -> tuple[np.ndarray, ...]:
-        """For the first n blocks: both predictions, and the bounds of the first symbol's three parts."""
+        """For the first n blocks: both predictions, and where the mixture's second and third part begin."""
         h = self.last[:n] * 40503
         self.at1 = self.lane[:n] * SLOTS1 + ((h >> 7) & (SLOTS1 - 1))
         self.at2 = self.lane[:n] * SLOTS2 + (((h + self.before[:n] * 60493) >> 9) & (SLOTS2 - 1))
-        p1, p2 = self.id1[self.at1], self.id2[self.at2]
-        self.s1, self.s2 = self.sure1[self.at1], self.sure2[self.at2]
-        self.mixed = self.lane[:n] * 16 + self.s2 * 4 + self.s1
-        w2, w1 = self.hit2[self.mixed], self.hit1[self.mixed]
-        q2 = 1 + ((w2 * ((1 << TOP) - 3)) >> 16)
-        rest = (1 << TOP) - q2
-        q1 = 1 + (((rest - 2) * w1) >> 16)
-        self.w1, self.w2 = w1, w2
-        return p1, p2, q2, q2 + q1
-
-    def learn(self, n: int, ids: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> None:
-        ok2, ok1 = p2 == ids, p1 == ids
-        self.hit2[self.mixed] = self.w2 + np.where(ok2, (65535 - self.w2) >> 4, -(self.w2 >> 4))
-        self.hit1[self.mixed] = self.w1 + np.where(ok2, 0, np.where(ok1, (65535 - self.w1) >> 4, -(self.w1 >> 4)))
-        for table, sure, at, s, ok in ((self.id1, self.sure1, self.at1, self.s1, ok1), (self.id2, self.sure2, self.at2, self.s2, ok2)):
-            change = ~ok & (s < 2)
-            table[at[change]] = ids[change]
-            sure[at] = np.where(ok, np.minimum(s + 1, 3), np.where(change, 0, s - 1))
+        self.e1, self.e2 = self.table1.take(self.at1), self.table2.take(self.at2)
+        self.mixed = self.lane[:n] * 16 + ((self.e2 & 3) << 2) + (self.e1 & 3)
+        self.w2, self.w1 = self.hit2.take(self.mixed), self.hit1.take(self.mixed)
+        # weights of 2**16; what is left for order 0 never falls below its total
+        q2 = 1 + ((self.w2 * 13) >> 4)
+        q1 = 1 + (((((1 << TOP) - TOTAL - 2 - q2) * self.w1.astype("int64")) >> 16))
+        return self.e1 >> 2, self.e2 >> 2, q2, q2 + np.maximum(q1, 1)
+
+    def learn(self, n: int, ids: np.ndarray, ok1: np.ndarray, ok2: np.ndarray) -> None:
+        """ok1: order 1 was right, whether or not order 2 was too."""
+        self.hit2[self.mixed] = self.w2 + ((np.where(ok2, 62000, 0) - self.w2) >> 4)
+        self.hit1[self.mixed] = self.w1 + np.where(ok2, 0, (np.where(ok1, 65535, 0) - self.w1) >> 4)
+        fresh = (ids << 2).astype("int32")
+        for table, at, e, ok in ((self.table1, self.at1, self.e1, ok1), (self.table2, self.at2, self.e2, ok2)):
+            sure = e & 3
+            table[at] = np.where(ok, e + (sure < 3), np.where(sure < 2, fresh, e - 1))
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
 
-    def adapt(self, row: np.ndarray, starts: np.ndarray, nibble: np.ndarray) -> None:
-        self.starts[row] = starts + ((TARGET[nibble] - starts) >> RATE)
+
+def _fresh(t: int) -> bool:
+    return (t > 0 and t % FRESH == 0) or t in (16, 32, 64)
 
 
 def _lanes(lengths: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -101,65 +147,65 @@ def _lanes(lengths: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 def encode_blocks(ids: np.ndarray, lengths: np.ndarray, bits: int = 16) -> list[bytes]:
     """The blocks, laid end to end, each as header and code."""
-    half = bits - 8
     n = len(lengths)
     order = np.argsort(-lengths, kind="stable")
     begin = (np.cumsum(lengths) - lengths)[order]
+    bins, left, below = binned(ids)
     models = Models(n)
     low, width = np.zeros(n, "int64"), np.full(n, int(FULL) - 1, "int64")
     out = np.zeros((n, int(lengths.max()) + 64 if n else 64), "int32")
     cap, flat = out.shape[1], out.ravel()
     used = np.zeros(n, "int64")
 
-    def put(lanes, start, freq):
-        """One symbol of the given lanes: its part of 2**TOP."""
-        r = width[lanes] >> TOP
-        lo = low[lanes] + r * start
-        w = r * freq
-        over = np.flatnonzero(lo >= FULL)
-        if len(over):
-            lo[over] -= FULL
-            at = np.asarray(lanes)[over] * cap + used[lanes][over] - 1
-            flat[at] += 1
-            while len(at := at[flat[at] > 0xFFFF]):
-                flat[at] = 0
-                at = at - 1
-                flat[at] += 1
-        small = np.flatnonzero(w < WORD16)
-        if len(small):
-            who = np.asarray(lanes)[small]
-            flat[who * cap + used[who]] = lo[small] >> 32
-            used[who] += 1
-            lo[small] = (lo[small] & 0xFFFFFFFF) << 16
-            w[small] <<= 16
-        low[lanes], width[lanes] = lo, w
+    def shift(who, lo, w):
+        """Sixteen bits leave the blocks ``who``; returns what is left of lo and w."""
+        flat[who * cap + used[who]] = lo >> 32
+        used[who] += 1
+        return (lo & 0xFFFFFFFF) << 16, w << 16
 
     for t, active in enumerate(_lanes(lengths, order)):
-        if t % 8 == 0 and int(used.max()) + 48 > cap:  # eight ids make 32 words at most
+        if _fresh(t):
+            models.count()
+        if t % 8 == 0 and int(used.max()) + 32 > cap:  # eight ids make 24 words at most
             out = np.concatenate([out, np.zeros((n, cap // 2), "int32")], axis=1)
             cap, flat = out.shape[1], out.ravel()
-        now = ids[begin[:active] + t].astype("int64")
+        at = begin[:active] + t
+        now = ids.take(at).astype("int64")
         p1, p2, b2, b1 = models.predict(active)
-        ok2 = p2 == now
-        ok1 = ~ok2 & (p1 == now)
-        start = np.where(ok2, 0, np.where(ok1, b2, b1))
-        put(models.lane[:active], start, np.where(ok2, b2, np.where(ok1, b1 - b2, (1 << TOP) - b1)))
-        lit = np.flatnonzero(~(ok1 | ok2))
-        if len(lit):
-            value = now[lit]
-            high = value >> half
-            row = lit * 17
-            for nibble in (high >> 4, high & 15):
-                s = models.starts[row]
-                a = s[np.arange(len(lit)), nibble]
-                b = np.where(nibble == 15, 1 << TOP, s[np.arange(len(lit)), np.minimum(nibble + 1, 15)])
-                put(lit, a, b - a)
-                models.adapt(row, s, nibble)
-                row = lit * 17 + 1 + nibble
-            put(lit, (value & ((1 << half) - 1)) << (TOP - half), 1 << (TOP - half))
-        models.learn(active, now, p1, p2)
-    for shift in (32, 16, 0):
-        flat[np.arange(n) * cap + used] = (low >> shift) & 0xFFFF
+        ok2, ok1 = p2 == now, p1 == now
+        bin0, slot = bins.take(at), now & (RECENT - 1)
+        row = models.row(active)
+        known = (models.recent.take(models.lane[:active] * RECENT + slot) == now) & (models.starts.take(row + slot + 1) > models.starts.take(row + slot))
+        row += np.where(known, slot, RECENT + bin0)
+        bits0 = np.where(known, 0, left.take(at))
+        rest = (1 << TOP) - b1
+        start0 = b1 + ((models.starts.take(row) * rest) >> SPAN)
+        freq0 = b1 + ((models.starts.take(row + 1) * rest) >> SPAN) - start0
+        one0 = (freq0 << LOWEST) >> bits0
+        below0 = np.where(known, 0, below.take(at))
+        start = np.where(ok2, 0, np.where(ok1, b2 << LOWEST, (start0 << LOWEST) + one0 * below0))
+        freq = np.where(ok2, b2 << LOWEST, np.where(ok1, (b1 - b2) << LOWEST, one0))
+        r = width[:active] >> (TOP + LOWEST)
+        lo, w = low[:active] + r * start, r * freq
+        over = np.flatnonzero(lo >= FULL)
+        if len(over):
+            lo[over] -= FULL
+            place = over * cap + used[over] - 1
+            flat[place] += 1
+            while len(place := place[flat[place] > 0xFFFF]):
+                flat[place] = 0
+                place = place - 1
+                flat[place] += 1
+        small = np.flatnonzero(w < WORD16)
+        while len(small):
+            lo[small], w[small] = shift(small, lo[small], w[small])
+            small = small[w[small] < WORD16]
+        low[:active], width[:active] = lo, w
+        literal = np.flatnonzero(~(ok1 | ok2))
+        models.seen.append((literal, now[literal], bin0[literal], known[literal]))
+        models.learn(active, now, ok1, ok2)
+    for bits_down in (32, 16, 0):
+        flat[np.arange(n) * cap + used] = (low >> bits_down) & 0xFFFF
         used += 1
     done: list[bytes] = [b""] * n
     for k, i in enumerate(order.tolist()):
@@ -183,7 +229,6 @@ def split_payload(payload: bytes) -> list[tuple[int, int, bytes, int]]:
 
 def decode_blocks(blocks: list[tuple[int, int, bytes, int]]) -> np.ndarray:
     """The ids of the blocks, laid end to end; raises ValueError if a checksum is wrong."""
-    half = (blocks[0][3] if blocks else 16) - 8
     n = len(blocks)
     lengths = np.array([b[0] for b in blocks], "int64")
     order = np.argsort(-lengths, kind="stable")
@@ -200,46 +245,48 @@ def decode_blocks(blocks: list[tuple[int, int, bytes, int]]) -> np.ndarray:
     base = np.arange(n) * cap
     value = (flat[base].astype("int64") << 32) | (flat[base + 1].astype("int64") << 16) | flat[base + 2]
     used = np.full(n, 3, "int64")
-
-    def take(lanes, r, start, freq):
-        v = value[lanes] - r * start
-        w = r * freq
-        small = np.flatnonzero(w < WORD16)
-        if len(small):
-            who = np.asarray(lanes)[small]
-            v[small] = (v[small] << 16) | flat[base[who] + np.minimum(used[who], cap - 1)]
-            used[who] += 1
-            w[small] <<= 16
-        value[lanes], width[lanes] = v, w
-
     for t, active in enumerate(_lanes(lengths, order)):
+        if _fresh(t):
+            models.count()
         p1, p2, b2, b1 = models.predict(active)
-        lanes = models.lane[:active]
-        r = width[:active] >> TOP
-        seen = np.minimum(value[:active] // r, (1 << TOP) - 1)
-        ok2 = seen < b2
-        ok1 = ~ok2 & (seen < b1)
-        take(lanes, r, np.where(ok2, 0, np.where(ok1, b2, b1)), np.where(ok2, b2, np.where(ok1, b1 - b2, (1 << TOP) - b1)))
-        now = np.where(ok2, p2, p1).astype("int64")
-        lit = np.flatnonzero(~(ok1 | ok2))
-        if len(lit):
-            row, high = lit * 17, np.zeros(len(lit), "int64")
-            for _ in range(2):
-                s = models.starts[row]
-                r = width[lit] >> TOP
-                seen = np.minimum(value[lit] // r, (1 << TOP) - 1)
-                nibble = (s <= seen[:, None]).sum(axis=1) - 1
-                a = s[np.arange(len(lit)), nibble]
-                b = np.where(nibble == 15, 1 << TOP, s[np.arange(len(lit)), np.minimum(nibble + 1, 15)])
-                take(lit, r, a, b - a)
-                models.adapt(row, s, nibble)
-                row = lit * 17 + 1 + nibble
-                high = (high << 4) | nibble
-            r = width[lit] >> TOP
-            lowest = np.minimum(value[lit] // r, (1 << TOP) - 1) >> (TOP - half)
-            take(lit, r, lowest << (TOP - half), 1 << (TOP - half))
-            now[lit] = (high << half) | lowest
-        models.learn(active, now, p1, p2)
+        r = width[:active] >> (TOP + LOWEST)
+        seen = np.minimum(value[:active] // r, (1 << (TOP + LOWEST)) - 1)
+        top = seen >> LOWEST
+        ok2 = top < b2
+        first1 = ~ok2 & (top < b1)
+        rest = (1 << TOP) - b1
+        # the symbol whose part holds the point: the last one that begins at it or before
+        point = np.maximum(top - b1, 0)
+        first = models.row(active)
+        row, step = first.copy(), 512
+        while step:
+            ahead = np.minimum(row + step, first + RECENT + BINS - 1)
+            row = np.where((models.starts.take(ahead) * rest) >> SPAN <= point, ahead, row)
+            step >>= 1
+        symbol = row - first
+        known = symbol < RECENT
+        bin0 = np.maximum(symbol - RECENT, 0)
+        start0 = b1 + ((models.starts.take(row) * rest) >> SPAN)
+        freq0 = b1 + ((models.starts.take(row + 1) * rest) >> SPAN) - start0
+        bits0 = np.where(known, 0, LEFT_OF.take(bin0))
+        one0 = (freq0 << LOWEST) >> bits0
+        below = np.minimum(np.maximum(seen - (start0 << LOWEST), 0) // one0, (1 << bits0) - 1)
+        literal_id = np.where(known, models.recent.take(models.lane[:active] * RECENT + np.minimum(symbol, RECENT - 1)), BASE_OF.take(bin0) + below)
+        now = np.where(ok2, p2, np.where(first1, p1, literal_id)).astype("int64")
+        start = np.where(ok2, 0, np.where(first1, b2 << LOWEST, (start0 << LOWEST) + one0 * below))
+        v = value[:active] - r * start
+        w = r * np.where(ok2, b2 << LOWEST, np.where(first1, (b1 - b2) << LOWEST, one0))
+        small = np.flatnonzero(w < WORD16)
+        while len(small):
+            v[small] = (v[small] << 16) | flat[base[small] + np.minimum(used[small], cap - 1)]
+            used[small] += 1
+            w[small] <<= 16
+            small = small[w[small] < WORD16]
+        value[:active], width[:active] = v, w
+        ok1 = p1 == now
+        literal = np.flatnonzero(~(ok1 | ok2))
+        models.seen.append((literal, now[literal], bin0[literal], known[literal]))
+        models.learn(active, now, ok1, ok2)
         out[begin[:active] + t] = now
     at = np.cumsum(lengths) - lengths
     for i, (size, crc, *_) in enumerate(blocks):
@@ -249,9 +296,11 @@ def decode_blocks(blocks: list[tuple[int, int, bytes, int]]) -> np.ndarray:
 
 
 class WordIds:
-    """Ids of words, each distinct one tokenized once while there is room."""
+    """Ids of words, each distinct one tokenized once while there is room. Words are known by their
+    bytes, not by a hash of them. When the room is full, the words seen since the last time make up
+    the older half, from which those that come again are taken over; the rest is forgotten."""
 
-    LIMIT = 1 << 21
+    LIMIT = 1 << 26  # bytes of words and ids in each half
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -259,52 +308,70 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.bits = max(16, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
-        self.forget()
-
-    def forget(self) -> None:
-        self.key, self.begin, self.size = np.zeros(0, "uint64"), np.zeros(0, "int64"), np.zeros(0, "int64")
-        self.ids: list[np.ndarray] = []
-        self.flat, self.n = np.zeros(1 << 16, "uint32"), 0
-
-    def _learn(self, words: Words, key: np.ndarray, some: np.ndarray) -> None:
-        """Tokenizes the given words as one text; the places of its ids tell whose they are."""
-        raw = [words.data[words.start[i] : words.end[i]].tobytes() for i in some]
-        text = b" ".join(raw).decode("utf-8", "replace")
-        found = self.tokenizer.encode(text, add_special_tokens=False)
-        ids = np.array(found.ids, "uint32")
-        ends = np.cumsum([len(x.decode("utf-8", "replace")) + 1 for x in raw])
-        owner = np.searchsorted(ends, np.array([o[0] for o in found.offsets], "int64"), side="right")
-        size = np.bincount(owner, minlength=len(raw)) if len(ids) else np.zeros(len(raw), "int64")
+        self.start()
+        self.older: tuple = ({}, self.begin, self.size, self.flat)
+
+    def start(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.begin, self.size = np.zeros(1 << 12, "int64"), np.zeros(1 << 12, "int64")
+        self.flat, self.n, self.held = np.zeros(1 << 16, "uint32"), 0, 0
+
+    def _tokenized(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words, as one text; the places of the ids tell whose they are."""
+        shown = [x.decode("utf-8", "replace") for x in raw]
+        found = self.tokenizer.encode(" ".join(shown), add_special_tokens=False)
+        ends = np.cumsum(np.fromiter(map(len, shown), "int64", len(shown)) + 1)
+        first = np.fromiter((o[0] for o in found.offsets), "int64", len(found))
+        return np.array(found.ids, "uint32"), np.bincount(np.searchsorted(ends, first, side="right"), minlength=len(raw))
+
+    def _add(self, raw: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
+        have = len(self.known)
         while self.n + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), "uint32")])
+        while have + len(raw) > len(self.begin):
+            self.begin, self.size = (np.concatenate([x, np.zeros(len(x), "int64")]) for x in (self.begin, self.size))
         self.flat[self.n : self.n + len(ids)] = ids
-        begin = self.n + np.cumsum(size) - size
+        self.begin[have : have + len(raw)] = self.n + np.cumsum(size) - size
+        self.size[have : have + len(raw)] = size
+        self.known.update(zip(raw, range(have, have + len(raw))))
         self.n += len(ids)
-        at = np.searchsorted(self.key, key)
-        self.key, self.begin, self.size = np.insert(self.key, at, key), np.insert(self.begin, at, begin), np.insert(self.size, at, size)
+        self.held += 4 * len(ids) + sum(map(len, raw)) + 120 * len(raw)
+
+    def _learn(self, raw: list[bytes]) -> None:
+        known, begin, size, flat = self.older
+        if old := [x for x in raw if x in known]:
+            at = np.array([known[x] for x in old])
+            each = size[at]
+            self._add(old, flat[np.arange(each.sum()) + np.repeat(begin[at] - np.cumsum(each) + each, each)], each)
+            raw = [x for x in raw if x not in known]
+        if raw:
+            self._add(raw, *self._tokenized(raw))
 
     def of(self, words: Words, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts laid end to end, each with the end id; their numbers)."""
-        h = words.hashes()
-        key, first, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.key) > self.LIMIT:
-            self.forget()
-        at = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
-        new = np.flatnonzero(self.key[at] != key) if len(self.key) else np.arange(len(key))
-        if len(new):
-            self._learn(words, key[new], first[new])
-        at = np.searchsorted(self.key, key)[back]
+        if self.held > self.LIMIT:
+            self.older = (self.known, self.begin, self.size, self.flat)
+            self.start()
+        # the words without what stands between them, as an array of strings of their own
+        bounds = np.append(0, np.cumsum(words.end - words.start)).astype("int32")
+        packed = words.data[WORD_BYTES[words.data]]
+        column = pa.Array.from_buffers(pa.binary(), words.n, [None, pa.py_buffer(bounds), pa.py_buffer(packed)]).dictionary_encode()
+        distinct = column.dictionary.to_pylist()
+        at = [self.known.get(x, -1) for x in distinct]
+        if new := [x for x, k in zip(distinct, at) if k < 0]:
+            self._learn(new)
+            at = [self.known[x] for x in distinct]
+        at = np.array(at, "int64")[column.indices.to_numpy()]
         begin, size = self.begin[at], self.size[at]
         n = len(words.first) - 1
-        per_text = np.bincount(words.text_of(), size, n).astype("int64") + 1
+        given = np.append(0, np.cumsum(size))
+        per_text = given[words.first[1:]] - given[words.first[:-1]] + 1
         total = int(per_text.sum())
-        ends = np.cumsum(per_text) - 1
         place = np.ones(total, bool)
-        place[ends] = False
+        place[np.cumsum(per_text) - 1] = False
         out = np.full(total, end_id, "uint32")
-        step = np.repeat(begin - (np.cumsum(size) - size), size)
-        out[place] = self.flat[np.arange(len(step)) + step]
-        return out, per_text
+        out[place] = self.flat[np.arange(given[-1]) + np.repeat(begin - given[:-1], size)]
+        return out, per_text if n else np.zeros(0, "int64")
 
 
 @lru_cache(maxsize=1)
@@ -357,7 +424,7 @@ def segments(docs: DataFrame, tokenizer: str, end_id: int, block: int = BLOCK, s
                 n += len(ids)
                 if n >= segment:
                     close()
-                if len(waiting) * segment >= 4096 * block:
+                if len(waiting) * segment >= 2048 * block:
                     yield from done(waiting)
                     waiting = []
         if n:
@@ -376,7 +443,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
 
 
 def read_segments(df: DataFrame):
-    """Yields (documents' ids, their null marks, their sizes, token ids) from batches of a file."""
+    """Yields (documents' ids, their null marks, their sizes, token ids, (part, segment, documents) of
+    the segments) from batches of a file."""
 
     def run(batches):
         for b in batches:
@@ -384,7 +452,7 @@ def read_segments(df: DataFrame):
             sizes = b.column(3).to_numpy()
             while lo < b.num_rows:
                 hi, total = lo, 0
-                while hi < b.num_rows and (hi == lo or total + sizes[hi] <= 4096 * BLOCK):
+                while hi < b.num_rows and (hi == lo or total + sizes[hi] <= 2048 * BLOCK):
                     total += int(sizes[hi])
                     hi += 1
                 blocks = [x for i in range(lo, hi) for x in split_payload(b.column(7)[i].as_py())]
@@ -392,7 +460,7 @@ def read_segments(df: DataFrame):
                 size = np.concatenate([np.frombuffer(b.column(6)[i].as_buffer(), "<i8") for i in range(lo, hi)])
                 doc = np.concatenate([np.frombuffer(b.column(4)[i].as_buffer(), "<i8") for i in range(lo, hi)])
                 gone = np.concatenate([np.frombuffer(b.column(5)[i].as_buffer(), "uint8") for i in range(lo, hi)])
-                yield doc, gone, size, ids
+                yield doc, gone, size, ids, [tuple(b.column(j)[i].as_py() for j in (0, 1, 2)) for i in range(lo, hi)]
                 lo = hi
 
     return run
@@ -403,7 +471,7 @@ def read_ids(df: DataFrame) -> DataFrame:
     read = read_segments(df)
 
     def run(batches):
-        for doc, gone, size, ids in read(batches):
+        for doc, gone, size, ids, _ in read(batches):
             offsets = np.append(0, np.cumsum(size)).astype("int32")
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, mask=gone > 0), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype("int32")))})
 
@@ -411,15 +479,26 @@ def read_ids(df: DataFrame) -> DataFrame:
 
 
 def digests(df: DataFrame) -> DataFrame:
-    """Of each document in a file: doc_id, start, n_tokens, ids_crc32."""
+    """Of each document in a file: doc_id, start, n_tokens, ids_crc32, in the order of the file: the
+    segments' numbers of ids give where each begins."""
     read = read_segments(df)
 
     def run(batches):
-        for doc, gone, size, ids in read(batches):
+        for doc, gone, size, ids, segments_ in read(batches):
             raw = ids.astype("<u4").tobytes()
-            end = np.cumsum(size) * 4
-            crc = [zlib.crc32(raw[e - 4 * s : e]) for s, e in zip(size.tolist(), end.tolist())]
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, mask=gone > 0), "n_tokens": pa.array(size), "ids_crc32": pa.array(crc, pa.int64())})
-
-    found = df.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long")
-    return running_totals(found, [], ["doc_id", "ids_crc32", "n_tokens"], "n_tokens").select("doc_id", F.col("before").alias("start"), "n_tokens", "ids_crc32")
+            end = np.cumsum(size)
+            crc = [zlib.crc32(raw[4 * (e - s) : 4 * e]) for s, e in zip(size.tolist(), end.tolist())]
+            docs_in = np.array([x[2] for x in segments_])
+            first = np.cumsum(docs_in) - docs_in
+            within = end - size - np.repeat((end - size)[first], docs_in)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "part": pa.array(np.repeat([x[0] for x in segments_], docs_in), pa.int32()), "segment": pa.array(np.repeat([x[1] for x in segments_], docs_in), pa.int32()),
+                    "doc_id": pa.array(doc, mask=gone > 0), "within": pa.array(within), "n_tokens": pa.array(size), "ids_crc32": pa.array(crc, pa.int64()),
+                }
+            )
+
+    found = df.mapInArrow(run, "part int, segment int, doc_id long, within long, n_tokens long, ids_crc32 long")
+    begin = stored(running_totals(df.select("part", "segment", "n_ids"), [], ["part", "segment"], "n_ids").select(F.col("part").alias("_p"), F.col("segment").alias("_s"), "before"), "segment-starts")
+    joined = found.join(sized(begin), (F.col("part") == F.col("_p")) & (F.col("segment") == F.col("_s")))
+    return joined.select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
