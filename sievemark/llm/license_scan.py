@@ -5,7 +5,8 @@ The words of a text, lower-cased (A-Z), are joined by single spaces; an automato
 runs over that, so a phrase is found wherever its words stand consecutively, whatever stands
 between them. After the identifier tag the rest of the line is parsed as an and/or/with expression.
 
-Defined results: a null or empty text has no words, no places and no labels, score 0; an expression
+Defined results: very long texts are scanned whole, in time that grows with their length; of phrases
+that begin at one word the longest counts; a null or empty text has no words, no places and no labels, score 0; an expression
 that can't be parsed adds the label ``unparsed``; repeated rows are scanned each on its own; an
 empty table gives an empty result; only the named columns are read.
 """
@@ -45,12 +46,43 @@ NOTICES = {
     "isc license": "isc",
     "boost software license": "bsl",
     "all rights reserved": "all-rights-reserved",
+    "academic free license": "afl",
+    "apache software license": "apache",
+    "artistic license": "artistic",
+    "blue oak model license": "blueoak",
+    "bsd 2 clause": "bsd",
+    "bsd 3 clause": "bsd",
+    "business source license": "busl",
+    "cecill": "cecill",
+    "common development and distribution license": "cddl",
+    "common public license": "cpl",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons zero": "cc0",
+    "european union public licence": "eupl",
+    "free documentation license": "gfdl",
+    "gnu general public licence": "gpl",
+    "mit no attribution": "mit",
+    "microsoft public license": "ms-pl",
+    "new bsd license": "bsd",
+    "open database license": "odbl",
+    "open font license": "ofl",
+    "open government licence": "ogl",
+    "open software license": "osl",
+    "proprietary and confidential": "proprietary",
+    "python software foundation license": "psf",
+    "server side public license": "sspl",
+    "simplified bsd license": "bsd",
+    "the software is provided as is without warranty of any kind": "mit",
+    "unlicense": "unlicense",
+    "zlib license": "zlib",
 }
 TAG = "spdx license identifier"
 #: How freely a text under a licence may be used, by the start of its identifier; the longest start counts.
 FREEDOM = {
     "mit": 1.0, "apache": 1.0, "bsd": 1.0, "isc": 1.0, "bsl": 1.0, "cc0": 1.0, "public-domain": 1.0, "unlicense": 1.0, "0bsd": 1.0, "zlib": 1.0,
     "cc-by": 0.9, "mpl": 0.7, "epl": 0.7, "lgpl": 0.6, "cc-by-sa": 0.6, "gpl": 0.4, "agpl": 0.3, "cc-by-nd": 0.3, "cc-by-nc": 0.2, "all-rights-reserved": 0.0, "unparsed": 0.0,
+    "afl": 1.0, "artistic": 1.0, "blueoak": 1.0, "psf": 1.0, "ofl": 0.9, "ogl": 0.9, "ms-pl": 0.8, "cddl": 0.7, "cpl": 0.7, "eupl": 0.5, "cecill": 0.5, "osl": 0.5, "odbl": 0.5, "gfdl": 0.4, "busl": 0.1, "sspl": 0.1, "proprietary": 0.0,
 }
 UNKNOWN_FREEDOM = 0.5
 
@@ -157,13 +189,14 @@ def _scan(data: np.ndarray, offsets: np.ndarray) -> dict[str, list]:
     out = {"n_words": words.counts().tolist(), "n_base": [0] * n, "first_word": [None] * n, "last_word": [None] * n, "base_labels": [""] * n, "labels": [""] * n, "score": [0.0] * n, "n_notices": [0] * n, "expressions": [""] * n}
     for doc, found in places.items():
         base = [(w - int(first[doc]), BASE_PHRASES[p]) for w, _, p in found if p in BASE_PHRASES]
-        labels, worst, expressions = {b for _, b in base}, 1.0, []
-        for w, last, p in found:
+        labels, worst, expressions, reach = {b for _, b in base}, 1.0, [], -1
+        # by start, the longest first: a notice within a longer one, which then stands before it, counts as the longer
+        for w, last, p in sorted(found, key=lambda x: (x[0], -x[1])):
             if p in NOTICES:
-                # a notice within a longer one counts as the longer
-                if not any(a <= w and last <= b and len(q) > len(p) and q in NOTICES for a, b, q in found):
+                if last > reach:
                     labels.add(NOTICES[p])
                     out["n_notices"][doc] += 1
+                    reach = last
             elif p == TAG:
                 rest = data[words.end[last] : ends[doc]].tobytes().decode("utf-8", "replace").split("\n")[0].lstrip(": \t").strip()
                 try:

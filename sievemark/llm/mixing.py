@@ -1,17 +1,23 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents, in the order of a hash of their id, are cut into blocks of about as many
-words. Weights are rounded to whole slots of a cycle. Within a cycle the i-th block of a source with
-a of A slots is released at floor((i - 1) A / a) and due at ceil(i A / a); the earliest deadline among
-the released goes first. So after any number of slots each source is less than one block from its
-share, and as all shares come out whole at the end of a cycle, one cycle's schedule, of a size fixed
-by the number of sources, serves corpora of any size: the slot of any block follows from its number.
-
-Every document is kept: where a source has run out, its slots stay empty and the others close up.
+Each source's documents, in the order of a hash of their id, are laid end to end and cut into blocks
+of as many words; a document that reaches over the end of a block goes on in the next, so a long one
+takes several. Weights are rounded to whole slots of a cycle. Within a cycle the i-th block of a
+source with a of A slots is released at floor((i - 1) A / a) and due at ceil(i A / a); the earliest
+deadline among the released goes first. So after any number of slots each source is less than one
+block from its share, and as all shares come out whole at the end of a cycle, one cycle's schedule,
+of a size fixed by the number of sources, serves corpora of any size: the slot of any block follows
+from its number. ``order_of`` gives the blocks' pieces of documents, for which the bound holds word
+by word; ``mixed`` keeps documents whole, each where its first piece stands.
+
+Every document is kept. The bound holds until the first source runs out; from there on its slots
+stay empty and the others close up, in the same proportions among themselves.
 
 Defined results: a null source is a source of its own; documents without words (null, empty) take
-the block where they stand; repeated rows are placed each for itself; ties in the hash go by doc_id,
-then text; an empty table gives an empty result; all columns are kept, whatever their names.
+the block where they stand, as one piece; repeated rows are placed each for itself; ties in the hash
+go by doc_id, then text; an empty table gives an empty result; all columns are kept, whatever their
+names. More than MOST_SOURCES sources are an error, as the schedule is made for all of them
+together: hosts or users are to be grouped first.
 """
 
 from __future__ import annotations
@@ -25,6 +31,7 @@ from pyspark.sql import functions as F
 from sievemark.llm.shared import partitions, running_totals, stored
 
 BLOCK_WORDS, CYCLE, TEMPERATURE = 4096, 1024, 0.5
+MOST_SOURCES = 1 << 14
 
 
 def word_count(text: str = "text") -> Column:
@@ -75,38 +82,67 @@ def target_weights(totals: dict, temperature: float = TEMPERATURE) -> dict:
     return {s: max(1, n) ** temperature for s, n in totals.items()}
 
 
+def _planned(rows: DataFrame, weights: dict | None, block_words: int, cycle: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """((doc_id, source, n_words, tie) rows with what stands before them in their source, the sources'
+    slots in a cycle, its length)."""
+    runs = stored(running_totals(rows.withColumn("_o", F.xxhash64("doc_id")), ["source"], ["_o", "doc_id", "tie"], "n_words"), "placed")
+    found = runs.groupBy("source").agg(F.sum("n_words").alias("n")).limit(MOST_SOURCES + 1).collect()  # one row a source
+    if len(found) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources: group them first")
+    if not found:
+        return runs, None, cycle
+    totals = {r["source"]: r["n"] for r in found}
+    wanted = target_weights(totals) if weights is None else {s: weights.get(s, min(weights.values())) for s in totals}
+    length, slots = slots_for(wanted, cycle)
+    plan = schedule(slots, length)
+    table = rows.sparkSession.createDataFrame([(s, len(p), p) for s, p in plan.items()], f"_s {runs.schema['source'].dataType.simpleString()}, _a long, _plan array<long>")
+    return runs, table, length
+
+
+def _slot(block: Column, length: int) -> Column:
+    """The plan holds one cycle: as many numbers as the cycle has slots."""
+    return (F.floor(block / F.col("_a")) * F.lit(length) + F.element_at("_plan", (block % F.col("_a")).cast("int") + 1)).cast("long")
+
+
 def placed(rows: DataFrame, weights: dict | None = None, block_words: int = BLOCK_WORDS, cycle: int = CYCLE) -> DataFrame:
-    """Adds to (doc_id, source, n_words, tie) rows: block, slot and words_before within the source.
+    """Adds to (doc_id, source, n_words, tie) rows the block and slot of their first word, and the
+    words and rows before them in their source.
 
     ``weights`` by source; sources that it leaves out share the least weight. Without it they follow
     from the sources' sizes over all documents.
     """
-    runs = stored(running_totals(rows.withColumn("_o", F.xxhash64("doc_id")), ["source"], ["_o", "doc_id", "tie"], "n_words"), "placed")
-    totals = {r["source"]: r["n"] for r in runs.groupBy("source").agg(F.sum("n_words").alias("n")).collect()}  # one row a source
-    if not totals:
+    runs, table, length = _planned(rows, weights, block_words, cycle)
+    if table is None:
         return runs.select("doc_id", "source", "n_words", "tie", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("slot"), "before", "rank")
-    wanted = target_weights(totals) if weights is None else {s: weights.get(s, min(weights.values())) for s in totals}
-    length, slots = slots_for(wanted, cycle)
-    plan = schedule(slots, length)
-    table = rows.sparkSession.createDataFrame([(s, len(p), p) for s, p in plan.items()], f"_s {runs.schema['source'].dataType.simpleString()}, _a long, _plan array<long>")
     block = F.floor(F.col("before") / F.lit(block_words)).cast("long")
-    # the plan holds one cycle: as many numbers as the cycle has slots
-    return runs.join(F.broadcast(table), runs["source"].eqNullSafe(table["_s"])).select(
-        "doc_id", "source", "n_words", "tie", block.alias("block"),
-        (F.floor(block / F.col("_a")) * F.lit(length) + F.element_at("_plan", (block % F.col("_a")).cast("int") + 1)).cast("long").alias("slot"),
-        "before", "rank",
-    )
+    return runs.join(F.broadcast(table), runs["source"].eqNullSafe(table["_s"])).select("doc_id", "source", "n_words", "tie", block.alias("block"), _slot(block, length).alias("slot"), "before", "rank")
+
+
+def _rows_of(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("n_words"), F.hash("text").alias("tie"))
 
 
 def places(docs: DataFrame, weights: dict | None = None, block_words: int = BLOCK_WORDS, cycle: int = CYCLE) -> DataFrame:
     """``placed`` for documents; by (slot, rank) they stand in the mixed order, without ties."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("n_words"), F.hash("text").alias("tie"))
-    return placed(rows, weights, block_words, cycle)
+    return placed(_rows_of(docs), weights, block_words, cycle)
 
 
 def order_of(docs: DataFrame, weights: dict | None = None, block_words: int = BLOCK_WORDS, cycle: int = CYCLE) -> DataFrame:
-    """One row for each document: doc_id, source, n_words, block, slot, words_before."""
-    return places(docs, weights, block_words, cycle).select("doc_id", "source", "n_words", "block", "slot", F.col("before").alias("words_before"))
+    """The blocks' pieces, one row or more for each document: doc_id, source, piece (from 0), start_word
+    in the document, n_words of the piece, block of the source, slot, and rank of the document in its
+    source. By (slot, rank) the pieces stand in the mixed order."""
+    runs, table, length = _planned(_rows_of(docs), weights, block_words, cycle)
+    names = ["doc_id", "source", "piece", "start_word", "n_words", "block", "slot", "rank"]
+    if table is None:
+        zero = F.lit(0).cast("long")
+        return runs.select("doc_id", "source", zero.alias("piece"), zero.alias("start_word"), "n_words", zero.alias("block"), zero.alias("slot"), "rank")
+    first, size = F.floor(F.col("before") / F.lit(block_words)).cast("long"), F.lit(block_words).cast("long")
+    last = F.greatest(first, F.floor((F.col("before") + F.col("n_words") - 1) / F.lit(block_words)).cast("long"))
+    cut = runs.withColumn("block", F.explode(F.sequence(first, last)))
+    start = F.greatest(F.col("block") * size - F.col("before"), F.lit(0).cast("long"))
+    end = F.least((F.col("block") + 1) * size - F.col("before"), F.col("n_words"))
+    joined = cut.join(F.broadcast(table), cut["source"].eqNullSafe(table["_s"]))
+    return joined.select("doc_id", "source", (F.col("block") - first).alias("piece"), start.alias("start_word"), (end - start).alias("n_words"), "block", _slot(F.col("block"), length).alias("slot"), "rank").select(*names)
 
 
 def mixed(docs: DataFrame, weights: dict | None = None, block_words: int = BLOCK_WORDS, cycle: int = CYCLE) -> DataFrame:

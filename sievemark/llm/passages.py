@@ -115,45 +115,64 @@ def covered(n: int, lo: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 def kept_bytes(words: Words, first: int, gone: np.ndarray) -> bytes:
     """The words that stay, joined by one space."""
-    text = words.data.tobytes()
-    start, end = words.start, words.end
-    return b" ".join([text[start[first + i] : end[first + i]] for i in np.flatnonzero(~gone)])
+    at = np.flatnonzero(~gone) + first
+    start, end = words.start[at].tolist(), words.end[at].tolist()
+    low = start[0] if start else 0
+    text = words.data[low : end[-1] if end else 0].tobytes()
+    return b" ".join([text[s - low : e - low] for s, e in zip(start, end)])
+
+
+def greedy_factors(a: np.ndarray, e: np.ndarray, ref_doc: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the factors of one text, from pieces found in the index: words ``a`` to ``e``
+    stand in document ``ref_doc``, ``shift`` words further on. Pieces that continue one another in
+    the same reference are one stretch; from the left, the stretch that reaches farthest is taken,
+    and the next factor begins where it ends, or at the next piece."""
+    order = np.lexsort((a, shift, ref_doc))
+    a, e, ref_doc, shift = a[order], e[order], ref_doc[order], shift[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (ref_doc[1:] != ref_doc[:-1]) | (shift[1:] != shift[:-1]) | (a[1:] > e[:-1])
+    at = np.flatnonzero(new)
+    start, end = a[at], np.maximum.reduceat(e, at)
+    by = np.argsort(start, kind="stable")
+    start, end = start[by], end[by]
+    farthest = np.maximum.accumulate(end)
+    starts, ends, here, k = [], [], -1, 0
+    while k < len(start):
+        # the stretches that begin where this factor may begin, or before
+        here = max(here, int(start[k]))
+        k = int(np.searchsorted(start, here, side="right"))
+        if (reach := int(farthest[k - 1])) > here:
+            starts.append(here)
+            ends.append(reach)
+            here = reach
+    return np.array(starts, "int64"), np.array(ends, "int64")
 
 
 def removal_digest(texts: DataFrame, length: int) -> DataFrame:
-    """For each text with its spans: how many words it has, how many the spans cover, and the
-    SHA-256 of the rest. Spans with ``ref_doc`` and ``ref_lo`` are also parsed greedily into
-    factors, the longest stretches that one reference holds."""
+    """For each text with its spans: how many words it has, how many are removed, and the SHA-256 of
+    the rest. The text is parsed greedily into factors against the index (spans with a reference,
+    ``ref_doc`` and ``ref_lo``); what its factors cover goes, and so do the windows that reach over
+    a factor's border and were found elsewhere by themselves (``ref_lo`` -1)."""
 
     def run(batches):
         for b in batches:
             size, field = _runs_of_spans(b.column(3))
             begin = np.cumsum(size) - size
-            out = {"n_words": [], "n_removed": [], "kept_sha256": [], "n_factors": [], "longest_factor": []}
+            out = {"n_words": [], "n_removed": [], "kept_sha256": []}
             for lo, hi, data, offsets in text_chunks(b.column(2)):
                 words = Words(data, offsets)
                 for i in range(lo, hi):
                     first = int(words.first[i - lo])
                     n = int(words.first[i - lo + 1]) - first
                     s = slice(begin[i], begin[i] + size[i])
-                    a = field["lo"][s]
+                    a, ref = field["lo"][s], field["ref_lo"][s]
                     e = a + field["cnt"][s] + length - 1
-                    gone = covered(n, a, e)
-                    factors = longest = 0
-                    if len(a):
-                        order = np.argsort(a, kind="stable")
-                        a, e = a[order], e[order]
-                        ref, shift = field["ref_doc"][s][order], field["ref_lo"][s][order] - a
-                        new = np.ones(len(a), bool)
-                        new[1:] = (ref[1:] != ref[:-1]) | (shift[1:] != shift[:-1]) | (a[1:] > e[:-1])
-                        at = np.flatnonzero(new)
-                        factors = len(at)
-                        longest = int((np.maximum.reduceat(e, at) - a[at]).max())
+                    piece = ref >= 0
+                    starts, ends = greedy_factors(a[piece], e[piece], field["ref_doc"][s][piece], (ref - a)[piece])
+                    gone = covered(n, np.concatenate([starts, a[~piece]]), np.concatenate([ends, e[~piece]]))
                     out["n_words"].append(n)
                     out["n_removed"].append(int(gone.sum()))
                     out["kept_sha256"].append(hashlib.sha256(kept_bytes(words, first, gone)).hexdigest())
-                    out["n_factors"].append(factors)
-                    out["longest_factor"].append(longest)
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), **{k: pa.array(v, pa.string() if k == "kept_sha256" else pa.int64()) for k, v in out.items()}})
 
-    return texts.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, n_factors long, longest_factor long")
+    return texts.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")

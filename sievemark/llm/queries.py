@@ -99,6 +99,16 @@ f AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, n_upper, n_lines, fail_bits
 FROM f""",
+    "op7_rlz_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS w FROM documents),
+s AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+t AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM s) WHERE n > 1),
+g AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM t),
+k AS (
+  SELECT x.r, count(g.p) AS n_removed, sha256(coalesce(string_agg(x.v, ' ' ORDER BY x.p) FILTER (g.p IS NULL), '')) AS kept_sha256
+  FROM (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS v FROM d) x LEFT JOIN g ON x.r = g.r AND x.p = g.p GROUP BY x.r)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, coalesce(k.kept_sha256, sha256('')) AS kept_sha256
+FROM d LEFT JOIN k ON d.r = k.r""",
     "op4_exact_topk": """
 WITH v AS (
   SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings

@@ -49,6 +49,53 @@ def test_coder_learns_and_notices_damage():
         token_files.split_payload(b"nothing like a block at all....")
 
 
+def test_coder_beats_a_stock_compressor_on_its_blocks(spark):
+    public = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+
+    from sievemark.llm.wordscan import Words, text_chunks
+
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    known = token_files.WordIds(public.path("word_bpe_49k.json"))
+    ids = np.concatenate([known.of(Words(data, offsets), 2)[0] for _, _, data, offsets in text_chunks(pa.array(texts))])
+    cuts = range(0, len(ids), token_files.BLOCK)
+    lengths = np.array([len(ids[c : c + token_files.BLOCK]) for c in cuts])
+    stock = sum(len(zlib.compress(ids[c : c + token_files.BLOCK].astype("<u2").tobytes(), 9)) for c in cuts)
+    assert sum(map(len, token_files.encode_blocks(ids, lengths))) < 0.95 * stock
+
+
+def test_words_that_a_polynomial_hash_takes_for_one(tmp_path):
+    public = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+
+    from sievemark.llm.wordscan import Words, text_chunks
+
+    flip = str.maketrans("ab", "ba")
+    a = "a"
+    for _ in range(10):
+        a += a.translate(flip)
+    b = a.translate(flip)
+    known = token_files.WordIds(public.path("word_bpe_49k.json"))
+    for text in (a, b, f"{a} {b} {a}"):
+        ((_, _, data, offsets),) = text_chunks(pa.array([text]))
+        words_ = Words(data, offsets)
+        assert known.of(words_, 2)[0].tolist() == [*known.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+        assert len(set(words_.hashes().tolist())) == len(set(text.split()))
+
+
+def test_words_come_over_from_the_older_half(monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+
+    from sievemark.llm.wordscan import Words, text_chunks
+
+    monkeypatch.setattr(token_files.WordIds, "LIMIT", 300)
+    known = token_files.WordIds(public.path("word_bpe_49k.json"))
+    for text in ("one two three", "four two five", "one six two", "seven one", "one two three four five six seven"):
+        ((_, _, data, offsets),) = text_chunks(pa.array([text]))
+        assert known.of(Words(data, offsets), 2)[0].tolist() == [*known.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+
+
 def test_token_files(spark, corpus, rows, empty, tmp_path):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
@@ -177,24 +224,44 @@ def test_schedule_stays_within_a_block():
 
 
 def test_mixing(corpus, rows, empty):
-    placed = mixing.order_of(corpus, {"s0": 2.0, "s1": 1.0, "s2": 1.0}, block_words=100, cycle=8)
-    assert placed.count() == len(rows)
-    by = defaultdict(list)
-    for r in placed.collect():
-        by[r["source"]].append((r["words_before"], r["n_words"], r["block"], r["slot"]))
-    for source, found in by.items():
-        found.sort()
-        at = 0
-        for before, n, block, _ in found:
-            assert before == at and block == at // 100
-            at += n
-        assert [s for *_, s in found] == sorted(s for *_, s in found)
+    weights, block = {"s0": 2.0, "s1": 1.0, "s2": 1.0}, 100
+    got = mixing.order_of(corpus, weights, block_words=block, cycle=8).collect()
+    of = {(str(r["doc_id"]), r["text"]) for r in corpus.collect()}
+    assert len({(str(r["doc_id"]), r["source"], r["rank"]) for r in got}) == len(rows) and of
+    total = defaultdict(int)
+    for r in got:
+        total[str(r["doc_id"])] += r["n_words"]
+    want = defaultdict(int)
+    for d, t in rows:
+        want[str(d)] += len(words(t))
+    assert total == want
+    # every block of a source is full but for its last, and stands in a slot of its own
+    fill, slot = defaultdict(int), {}
+    for r in got:
+        fill[r["source"], r["block"]] += r["n_words"]
+        assert slot.setdefault((r["source"], r["block"]), r["slot"]) == r["slot"]
+    last = {s: max(b for x, b in fill if x == s) for s, _ in fill}
+    assert all(n == block for (s, b), n in fill.items() if b < last[s])
+    # word by word, until the first source runs out, every source is less than a block from its share
+    length, slots = mixing.slots_for({s: weights.get(s, 1.0) for s in last}, 8)
+    end = min(slot[s, b] for s, b in last.items())
+    for t in range(end):
+        for s in last:
+            placed = sum(fill[x, b] for (x, b), k in slot.items() if x == s and k < t)
+            assert abs(placed - slots[s] * t * block / length) < block
     out = mixing.mixed(corpus)
     assert out.columns == corpus.columns
     assert sorted(map(str, out.collect())) == sorted(map(str, corpus.collect()))
     assert mixing.order_of(empty).count() == mixing.mixed(empty).count() == 0
 
 
+def test_too_many_sources_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 3)
+    docs = spark.createDataFrame([(i, "a b", f"s{i}") for i in range(5)], "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="sources"):
+        mixing.order_of(docs)
+
+
 def best_cost(lengths, sizes, cost):
     return sum(lengths) * min(cost(s) / s for s in sizes)
 

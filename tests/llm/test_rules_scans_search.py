@@ -101,3 +101,10 @@ def test_exact_topk_of_zero_vectors(spark):
     df = spark.createDataFrame([(i, [0.0, 0.0]) for i in range(1500)], "vec_id long, embedding array<double>").coalesce(1)
     got = sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id in (3, 1499)"), 5).collect())
     assert got == [(3, k + 1, i, 0) for k, i in enumerate([0, 1, 2, 4, 5])] + [(1499, k + 1, k, 0) for k in range(5)]
+
+
+def test_license_scan_of_a_long_text_grows_with_its_length(spark, empty):
+    text = "cc by nc " * 60_000 + "creative commons attribution sharealike"
+    row = license_scan.scanned(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["labels"] == "cc-by-nc,cc-by-sa" and row["n_notices"] == 60_001 and row["n_base"] == 0
+    assert license_scan.scanned(empty).count() == 0

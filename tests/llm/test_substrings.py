@@ -68,6 +68,14 @@ def test_suffix_dedup_keeps_rows_and_columns(corpus):
     assert out.where("text is not null and n_chars <> char_length(text)").count() == 0
 
 
+def test_greedy_factors():
+    f = lambda *p: [x.tolist() for x in rlz_dedup.greedy_factors(*(np.array(c) for c in zip(*p)))]
+    # two pieces of one reference are one factor, though another document has the first longer
+    assert f((0, 40, 1, 5), (20, 60, 1, 5), (0, 45, 2, 9)) == [[0], [60]]
+    # the farthest first, the next from where it ends
+    assert f((0, 50, 1, 0), (30, 90, 2, 7), (100, 140, 1, 0)) == [[0, 50, 100], [50, 90, 140]]
+
+
 def test_near_duplicate_classes(corpus, rows):
     threshold = 0.8
     sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else None for w in (words(t) for _, t in rows)]
