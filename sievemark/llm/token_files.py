@@ -317,12 +317,16 @@ class WordIds:
         self.flat, self.n, self.held = np.zeros(1 << 16, "uint32"), 0, 0
 
     def _tokenized(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the words, as one text; the places of the ids tell whose they are."""
+        """The ids of the words, as texts of some hundred words; the places of the ids tell whose they are."""
         shown = [x.decode("utf-8", "replace") for x in raw]
-        found = self.tokenizer.encode(" ".join(shown), add_special_tokens=False)
-        ends = np.cumsum(np.fromiter(map(len, shown), "int64", len(shown)) + 1)
-        first = np.fromiter((o[0] for o in found.offsets), "int64", len(found))
-        return np.array(found.ids, "uint32"), np.bincount(np.searchsorted(ends, first, side="right"), minlength=len(raw))
+        texts = [shown[i : i + 256] for i in range(0, len(shown), 256)]
+        ids, sizes = [], []
+        for part, found in zip(texts, self.tokenizer.encode_batch([" ".join(x) for x in texts], add_special_tokens=False)):
+            ends = np.cumsum(np.fromiter(map(len, part), "int64", len(part)) + 1)
+            first = np.fromiter((o[0] for o in found.offsets), "int64", len(found))
+            ids.append(np.array(found.ids, "uint32"))
+            sizes.append(np.bincount(np.searchsorted(ends, first, side="right"), minlength=len(part)))
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def _add(self, raw: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
         have = len(self.known)
