@@ -31,12 +31,17 @@ ALIASES = {
 
 def coordinates(lat: Column, lon: Column, policy: Policy = Policy()) -> Column:
     """struct(lat, lon, status); values out of range are kept beside their status."""
-    y, x = decimal_number(lat), decimal_number(lon)
-    missing = cleaned(lat).isNull() & cleaned(lon).isNull()
-    outside = ((y == 0) & (x == 0)) | ~y.between(*policy.latitudes) | ~x.between(*policy.longitudes)
-    status = F.when(missing, "missing").when(y.isNull() | x.isNull(), "unparseable").when(outside, "out_of_range").otherwise("ok")
-    both = y.isNotNull() & x.isNotNull()
-    return F.struct(F.when(both, y).alias("lat"), F.when(both, x).alias("lon"), status.alias("status"))
+
+    def status(v: Column) -> Column:
+        y, x = v["y"], v["x"]
+        outside = ((y == 0) & (x == 0)) | ~y.between(*policy.latitudes) | ~x.between(*policy.longitudes)
+        name = F.when(v["missing"], "missing").when(y.isNull() | x.isNull(), "unparseable").when(outside, "out_of_range").otherwise("ok")
+        both = y.isNotNull() & x.isNotNull()
+        return F.struct(F.when(both, y).alias("lat"), F.when(both, x).alias("lon"), name.alias("status"))
+
+    # each text is read once, however often its number is asked for
+    values = F.struct(decimal_number(lat).alias("y"), decimal_number(lon).alias("x"), (cleaned(lat).isNull() & cleaned(lon).isNull()).alias("missing"))
+    return F.element_at(F.transform(F.array(values), status), 1)
 
 
 def postal_code(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemark.functions.places import coordinates, postal_code, with_state
@@ -10,22 +10,37 @@ from sievemark.functions.text import cleaned, title_case
 from sievemark.policy import Policy
 
 
+def _modal(counts: Column) -> Column:
+    """The name of most rows among (name, n) pairs, the least of equals; null names don't count."""
+    known = F.filter(counts, lambda x: x["name"].isNotNull())
+    names = F.array_distinct(F.transform(known, lambda x: x["name"]))
+    of = lambda name: F.aggregate(F.filter(known, lambda x: x["name"] == name), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    return F.array_min(F.transform(names, lambda name: F.struct((-of(name)).alias("n"), name.alias("name"))))["name"]
+
+
 def postal_rollup(directory: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """One row for each postal code: modal state and district (ties to the least), mean of the valid
-    coordinates, offices, valid coordinates, states seen. Rows without a valid code are left out."""
-    rows = with_state(directory.withColumn("pincode_clean", postal_code(F.col("pincode"))).where("pincode_clean is not null"), "statename", "_state", "_method")
-    rows = rows.withColumn("_state", F.coalesce("_state", title_case(cleaned(F.col("statename"))))).withColumn("_district", title_case(cleaned(F.col("district"))))
-    rows = rows.withColumn("_p", coordinates(F.col("latitude"), F.col("longitude"), policy))
-    ok = F.col("_p.status") == "ok"
-    return rows.groupBy("pincode_clean").agg(
-        F.mode("_state", True).alias("pin_state"),
-        F.mode("_district", True).alias("pin_district"),
-        F.avg(F.when(ok, F.col("_p.lat"))).alias("pin_lat"),
-        F.avg(F.when(ok, F.col("_p.lon"))).alias("pin_lon"),
-        F.count(F.lit(1)).alias("n_offices"),
-        F.count_if(ok).alias("n_valid_coords"),
-        F.count_distinct("_state").alias("n_states_seen"),
+    coordinates, offices, valid coordinates, states seen. Rows without a valid code are left out.
+
+    Rows of the same spelling are added up first, so names and codes are read once for each spelling,
+    and a code gathers its spellings, not its rows."""
+    # by a generator of one row: what is read of a position stays one expression, not one for each sum below
+    placed = directory.select("pincode", "statename", "district", F.inline(F.array(coordinates(F.col("latitude"), F.col("longitude"), policy))))
+    ok = F.col("status") == "ok"
+    spelt = placed.groupBy("pincode", "statename", "district").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("n_ok"), F.sum(F.when(ok, F.col("lat"))).alias("lat"), F.sum(F.when(ok, F.col("lon"))).alias("lon")
     )
+    rows = with_state(spelt.withColumn("pincode_clean", postal_code(F.col("pincode"))).where("pincode_clean is not null"), "statename", "_state", "_method")
+    rows = rows.select(
+        "pincode_clean", "n", "n_ok", "lat", "lon",
+        F.struct(F.coalesce("_state", title_case(cleaned(F.col("statename")))).alias("name"), "n").alias("_s"), F.struct(title_case(cleaned(F.col("district"))).alias("name"), "n").alias("_d"),
+    )
+    sums = rows.groupBy("pincode_clean").agg(F.sum("n").alias("n_offices"), F.sum("n_ok").alias("n_valid_coords"), F.sum("lat").alias("_lat"), F.sum("lon").alias("_lon"), F.collect_list("_s").alias("_s"), F.collect_list("_d").alias("_d"))
+    return sums.select(
+        "pincode_clean", _modal(F.col("_s")).alias("pin_state"), _modal(F.col("_d")).alias("pin_district"),
+        F.try_divide("_lat", "n_valid_coords").alias("pin_lat"), F.try_divide("_lon", "n_valid_coords").alias("pin_lon"), "n_offices", "n_valid_coords",
+        F.size(F.array_distinct(F.transform(F.filter("_s", lambda x: x["name"].isNotNull()), lambda x: x["name"]))).cast("long").alias("n_states_seen"),
+    )
 
 
 #: There are 900,000 six-digit codes at most, so the rollup's two name columns stay small.
