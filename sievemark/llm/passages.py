@@ -27,9 +27,11 @@ def keyed(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> Dat
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.hash(t).alias("fp"), t.alias("text"))
 
 
-def anchor_rows(docs: DataFrame, length: int, seed: int) -> DataFrame:
+def anchor_rows(docs: DataFrame, length: int, seed: int, suffix: bool = False) -> DataFrame:
     """One row for each anchor of the keyed texts: its seed, a hash of all words of its windows
-    (``ctx``), and the first of its ``cnt`` window starts (``lo``)."""
+    (``ctx``), and the first of its ``cnt`` window starts (``lo``). With ``suffix``, also the words
+    from the anchor to the end of its last window, as a binary of 32-bit word numbers that compares
+    word by word."""
 
     def run(batches):
         for b in batches:
@@ -37,25 +39,35 @@ def anchor_rows(docs: DataFrame, length: int, seed: int) -> DataFrame:
             missing = b.column(0).is_null().to_numpy(zero_copy_only=False)
             for lo, _, data, offsets in text_chunks(b.column(2)):
                 words = Words(data, offsets)
-                runs = Runs(words.hashes())
-                _, seeds, first, last = anchors(words, runs, seed, length - seed + 1)
+                hashes = words.hashes()
+                runs = Runs(hashes)
+                at, seeds, first, last = anchors(words, runs, seed, length - seed + 1)
                 if not len(first):
                     continue
                 doc = np.searchsorted(words.first, first, side="right") - 1
                 row = lo + doc
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(seeds.view("int64")),
-                        pa.array(runs.of(first, last + length).view("int64")),
-                        pa.array(np.nan_to_num(ids[row]).astype("int64"), mask=missing[row]),
-                        pa.array(fps[row]),
-                        pa.array((first - words.first[doc]).astype("int32")),
-                        pa.array((last - first + 1).astype("int32")),
-                    ],
-                    names=["seed", "ctx", "doc_id", "fp", "lo", "cnt"],
-                )
-
-    return docs.mapInArrow(run, ANCHOR_SCHEMA)
+                columns = [
+                    pa.array(seeds.view("int64")),
+                    pa.array(runs.of(first, last + length).view("int64")),
+                    pa.array(np.nan_to_num(ids[row]).astype("int64"), mask=missing[row]),
+                    pa.array(fps[row]),
+                    pa.array((first - words.first[doc]).astype("int32")),
+                    pa.array((last - first + 1).astype("int32")),
+                ]
+                if suffix:
+                    columns.append(_word_numbers(hashes, at, last + length))
+                yield pa.RecordBatch.from_arrays(columns, names=["seed", "ctx", "doc_id", "fp", "lo", "cnt", "suffix"][: len(columns)])
+
+    return docs.mapInArrow(run, ANCHOR_SCHEMA + (", suffix binary" if suffix else ""))
+
+
+def _word_numbers(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The words from ``start`` to ``end`` of each run, each as the upper half of its hash."""
+    size = end - start
+    bounds = np.append(0, np.cumsum(size))
+    place = np.arange(bounds[-1]) + np.repeat(start - bounds[:-1], size)
+    flat = (hashes >> np.uint64(32)).astype(">u4")[place]
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((4 * bounds).astype("int32")), pa.py_buffer(flat)])
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, how: str = "left") -> DataFrame:

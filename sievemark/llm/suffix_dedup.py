@@ -1,11 +1,14 @@
 """Suffix-array dedup: a sparse suffix array over the whole corpus.
 
-Suffixes are retained at minimiser positions only. The array is sorted across the cluster by the
-first words of the suffix, then by all the words around it, then by document and place, so that a
-suffix that thousands of documents share is spread over many tasks; neighbours are compared within
-each task, and across the tasks' borders by a table of two rows for each task. A suffix whose
-neighbour agrees in all windows around it repeats that neighbour. Where neighbours share only
-their first words, matches are extended left and right window by window.
+Suffixes are retained at minimiser positions only. The array is sorted across the cluster word by
+word (words stand in the order of their numbers, the upper halves of their hashes), then by a hash
+of all the words around, then by document and place, so that a suffix that thousands of documents
+share is spread over many tasks. Neighbours are compared for the words they share. A suffix that
+agrees with its neighbour in all words, those to the left included, repeats that neighbour. Of the
+others, no suffix anywhere shares more words than a neighbour does: that is how far a match can
+reach to the right, and it leaves few windows to be extended to the left. At the borders of tasks,
+where a neighbour is not seen, the full reach is assumed, which asks for more windows and changes
+no result.
 
 Of every passage of ``length`` or more words that occurs more than once, the first copy (by doc_id,
 then place) stays, and the later ones are duplicate spans.
@@ -23,120 +26,95 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sievemark.llm.passages import KEY, _runs_of_spans, anchor_rows, covered, keyed, kept_bytes, window_rows, with_spans
 from sievemark.llm.shared import partitions, stored
 from sievemark.llm.wordscan import Words, text_chunks
 
 LENGTH, SEED = 50, 8
-ORDER = ["seed", "ctx", "doc_id", "fp", "lo"]
-ARRAY_SCHEMA = "seed long, ctx long, doc_id long, fp int, lo int, cnt int, same_seed boolean, same_ctx boolean, ref_doc long, ref_fp int, ref_lo int, part int, edge int"
-
-
-def suffix_array(rows: DataFrame) -> DataFrame:
-    """The anchor rows in suffix order, each compared with the one before; those alone with their
-    seed are left out. ``same_seed``, ``same_ctx``: agrees with the neighbour before; ``ref_*``:
-    that neighbour."""
+ORDER = ["suffix", "ctx", "doc_id", "fp", "lo"]
+ARRAY_SCHEMA = "doc_id long, fp int, lo int, cnt int, again boolean, ref_doc long, ref_fp int, ref_lo int, shared int"
+
+
+def _shared_words(suffixes: pa.Array, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words of each suffix; how many of them, from the first on, it shares with the one before)."""
+    bounds = np.frombuffer(suffixes.buffers()[1], "int32")[suffixes.offset : suffixes.offset + len(suffixes) + 1] // 4
+    flat = np.frombuffer(suffixes.buffers()[2], "uint32")
+    size = np.diff(bounds)
+    place = np.arange(most)
+    table = flat[np.minimum(bounds[:-1, None] + place, len(flat) - 1)]
+    common = np.zeros(len(size), "int64")
+    least = np.minimum(size[1:], size[:-1])
+    same = (table[1:] == table[:-1]) & (place < least[:, None])
+    common[1:] = np.where(same.all(axis=1), most, same.argmin(axis=1))
+    return size, common
+
+
+def suffix_array(rows: DataFrame, length: int) -> DataFrame:
+    """The anchor rows in suffix order, each compared with its neighbours. ``again``: it agrees with
+    the one before, ``ref_*``, in all words. The others are the first of their context: ``shared``
+    is the most words from the anchor on that a neighbour has too, and ``cnt`` is cut to the windows
+    that end within them; those with no such window are left out."""
+    names = [x.split()[0] for x in ARRAY_SCHEMA.split(", ")]
 
     def run(batches):
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        opening = True
-
-        def compared(t: pa.RecordBatch):
-            col = {n: t.column(i) for i, n in enumerate(["seed", "ctx", "doc_id", "fp", "lo", "cnt"])}
-            seed, ctx = col["seed"].to_numpy(), col["ctx"].to_numpy()
-            n = t.num_rows
-            ss, sc = np.zeros(n, bool), np.zeros(n, bool)
-            ss[1:] = seed[1:] == seed[:-1]
-            sc[1:] = ss[1:] & (ctx[1:] == ctx[:-1])
-            return n, col, ss, sc
-
-        def rows_of(t, lo, hi, first_edge, last_edge):
-            n, col, ss, sc = compared(t)
-            keep = ss.copy()
-            keep[:-1] |= ss[1:]
-            edge = np.zeros(n, "int32")
-            if first_edge is not None:
-                edge[first_edge] |= 1
-            if last_edge is not None:
-                edge[last_edge] |= 2
-            keep |= edge > 0
-            at = np.flatnonzero(keep[lo:hi]) + lo
-            before = np.maximum(at - 1, 0)
-            idx, prev = pa.array(at), pa.array(before)
+        before: pa.Table | None = None  # the last row seen
+        held: tuple | None = None  # the last context's first row, whose next neighbour is not known yet
+
+        def firsts(t: pa.RecordBatch, at: np.ndarray, size: np.ndarray, shared: np.ndarray) -> pa.RecordBatch:
+            lo, cnt = (t.column(i).to_numpy()[at].astype("int64") for i in (4, 5))
+            anchor = lo + cnt - 1 + length - size
+            cnt = np.minimum(cnt, anchor + shared - length - lo + 1)
+            keep = np.flatnonzero(cnt > 0)
+            idx, none = pa.array(at[keep]), pa.nulls(len(keep))
             return pa.RecordBatch.from_arrays(
-                [
-                    *(col[c].take(idx) for c in ("seed", "ctx", "doc_id", "fp", "lo", "cnt")),
-                    pa.array(ss[at]),
-                    pa.array(sc[at]),
-                    col["doc_id"].take(prev),
-                    col["fp"].take(prev),
-                    col["lo"].take(prev),
-                    pa.array(np.full(len(at), part, "int32")),
-                    pa.array(edge[at]),
-                ],
-                names=[x.split()[0] for x in ARRAY_SCHEMA.split(", ")],
-            )
-
-        # one row is held back at each end of a batch, as its fate hangs on the next row
-        carry: list[pa.RecordBatch] = []
+                [t.column(2).take(idx), t.column(3).take(idx), t.column(4).take(idx), pa.array(cnt[keep].astype("int32")), pa.array(np.zeros(len(keep), bool)),
+                 none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int32()), pa.array(shared[keep].astype("int32"))],
+                names=names,
+            )
+
         for b in batches:
             if not b.num_rows:
                 continue
-            t = pa.Table.from_batches([*carry, b]).combine_chunks().to_batches()[0]
-            n = t.num_rows
-            known = 0 if opening else 1  # row 0 of t is there only to be compared with
-            if n - known >= 2:
-                yield rows_of(t, known, n - 1, 0 if opening else None, None)
-                opening = False
-                carry = [t.slice(n - 2, 2)]
-            else:
-                carry = [t]
-        if carry:
-            t = carry[0]
-            n = t.num_rows
-            yield rows_of(t, 0 if opening else n - 1, n, 0 if opening else None, n - 1)
+            t = pa.Table.from_batches([b]) if before is None else pa.concat_tables([before, pa.Table.from_batches([b])])
+            t = t.combine_chunks().to_batches()[0]
+            known = 0 if before is None else 1  # row 0 is there only to be compared with
+            size, common = _shared_words(t.column(6), length)
+            ctx = t.column(1).to_numpy()
+            again = np.zeros(t.num_rows, bool)
+            again[1:] = (common[1:] >= size[1:]) & (size[1:] == size[:-1]) & (ctx[1:] == ctx[:-1])
+            at = np.flatnonzero(again)
+            if len(at):
+                idx, prev = pa.array(at), pa.array(at - 1)
+                yield pa.RecordBatch.from_arrays(
+                    [*(t.column(i).take(idx) for i in (2, 3, 4, 5)), pa.array(np.ones(len(at), bool)), *(t.column(i).take(prev) for i in (2, 3, 4)), pa.array(size[at].astype("int32"))],
+                    names=names,
+                )
+            at = np.flatnonzero(~again[known:]) + known
+            if len(at):
+                back = common[at]
+                if not known:
+                    back[0] = length
+                if held is not None:
+                    row, n, shared = held
+                    yield firsts(row, np.zeros(1, "int64"), n, np.maximum(shared, back[:1]))
+                yield firsts(t, at[:-1], size[at[:-1]], np.maximum(back[:-1], back[1:]))
+                held = pa.Table.from_batches([t.slice(int(at[-1]), 1)]).take([0]).combine_chunks().to_batches()[0], size[at[-1:]], back[-1:]
+            before = pa.Table.from_batches([t.slice(t.num_rows - 1, 1)]).take([0])
+        if held is not None:
+            yield firsts(held[0], np.zeros(1, "int64"), held[1], np.full(1, length))
 
     ordered = rows.repartitionByRange(partitions(rows), *ORDER).sortWithinPartitions(*ORDER)
-    array = stored(ordered.mapInArrow(run, ARRAY_SCHEMA), "suffixes")
-    # at the borders of tasks: the last row of the task before, and whether the first row of the next agrees
-    ends = array.where("edge > 0").select("part", "edge", "seed", "ctx", "doc_id", "fp", "lo")
-    by = Window.orderBy("part", "edge")
-    ends = ends.withColumns({"p_" + c: F.lag(c).over(by) for c in ("seed", "ctx", "doc_id", "fp", "lo")} | {"opens": F.col("edge").bitwiseAND(1) == 1})
-    fix = ends.select(
-        F.col("part").alias("_part"),
-        F.col("edge").alias("_edge"),
-        F.coalesce(F.col("opens") & (F.col("p_seed") == F.col("seed")), F.lit(False)).alias("_ss"),
-        F.coalesce(F.col("opens") & (F.col("p_seed") == F.col("seed")) & (F.col("p_ctx") == F.col("ctx")), F.lit(False)).alias("_sc"),
-        F.col("p_doc_id").alias("_rd"),
-        F.col("p_fp").alias("_rf"),
-        F.col("p_lo").alias("_rl"),
-    )
-    on = (array["edge"] > 0) & (array["part"] == fix["_part"]) & (array["edge"] == fix["_edge"])
-    joined = array.join(F.broadcast(fix), on, "left")
-    opened = F.coalesce(F.col("_ss"), F.lit(False))
-    return joined.select(
-        "seed", "ctx", *KEY, "lo", "cnt",
-        (F.col("same_seed") | opened).alias("same_seed"),
-        (F.col("same_ctx") | F.coalesce(F.col("_sc"), F.lit(False))).alias("same_ctx"),
-        F.when(opened, F.col("_rd")).otherwise(F.col("ref_doc")).alias("ref_doc"),
-        F.when(opened, F.col("_rf")).otherwise(F.col("ref_fp")).alias("ref_fp"),
-        F.when(opened, F.col("_rl")).otherwise(F.col("ref_lo")).alias("ref_lo"),
-    )
+    return stored(ordered.mapInArrow(run, ARRAY_SCHEMA), "suffixes")
 
 
 def later_copies(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """Spans of window starts that also occur earlier: doc_id, fp, lo, cnt, ref_doc, ref_lo."""
-    array = suffix_array(anchor_rows(docs, length, seed))
+    array = suffix_array(anchor_rows(docs, length, seed, suffix=True), length)
     itself = F.col("doc_id").eqNullSafe(F.col("ref_doc")) & (F.col("fp") == F.col("ref_fp")) & (F.col("lo") == F.col("ref_lo"))
-    again = array.where(F.col("same_ctx") & ~itself).select(*KEY, "lo", "cnt", "ref_doc", "ref_lo")
-    # the first suffix of each context, where others begin alike: extended window by window
-    firsts = array.where(~F.col("same_ctx")).select("seed", *KEY, "lo", "cnt")
-    several = firsts.groupBy("seed").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("seed")
-    asked = firsts.join(several.hint("merge"), "seed").select(*KEY, "lo", "cnt")
+    again = array.where(F.col("again") & ~itself).select(*KEY, "lo", "cnt", "ref_doc", "ref_lo")
+    # the first suffix of each context, where neighbours share enough words: extended window by window
+    asked = array.where(~F.col("again")).select(*KEY, "lo", "cnt")
     wins = stored(window_rows(with_spans(docs, asked, "inner"), length), "windows")
     place = F.struct("doc_id", "fp", "at")
     first = wins.groupBy("win").agg(F.min(place).alias("a"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("win", "a")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from sievemark.llm import near_dedup, rlz_dedup, suffix_dedup
+from sievemark.llm.passages import anchor_rows, keyed
 from sievemark.llm.wordscan import Runs, Words, anchors, leftmost_minima, text_chunks
 
 from .conftest import words
@@ -59,6 +60,38 @@ def test_suffix_array_finds_later_copies(spark, corpus, rows):
         assert after[d] == (t if not lost else " ".join(x for i, x in enumerate(words(t)) if i not in lost))
 
 
+@pytest.mark.parametrize(("n", "seed"), [(50, 8), (12, 3)])
+def test_suffix_array_with_repeated_and_missing_ids(spark, corpus, n, seed):
+    # beside the corpus: passages that share their beginnings, their ends and single words at many lengths
+    rng = np.random.default_rng(3)
+    base = [f"w{x}" for x in rng.integers(0, 30, 400)]
+    more = [(1000 + k % 7, " ".join([f"k{k}"] * (k % 5) + base[k * 3 : k * 3 + 40 + 5 * k] + [f"e{k}"] + base[: 45 + k])) for k in range(40)]
+    more += [(None, " ".join(base[100:180])), (None, " ".join(base[90:170])), (1001, "w1 " * 200)]
+    docs = corpus.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    texts = keyed(docs)
+    rows = {(r["doc_id"] is not None, r["doc_id"] or 0, r["fp"]): words(r["text"]) for r in texts.collect()}
+    first, want = {}, set()
+    for key in sorted(rows):
+        w = rows[key]
+        for i in range(len(w) - n + 1):
+            if first.setdefault(tuple(w[i : i + n]), (key, i)) != (key, i):
+                want.add((key, i))
+    # small batches, too: neighbours are held against each other across them
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000 if n == 50 else 3)
+    try:
+        got = suffix_dedup.later_copies(texts, n, seed).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {((r["doc_id"] is not None, r["doc_id"] or 0, r["fp"]), i) for r in got for i in range(r["lo"], r["lo"] + r["cnt"])} == want and want
+
+
+def test_suffix_array_rows(spark):
+    texts = keyed(spark.createDataFrame([(k, " ".join(f"v{(k // 2 * 7 + j) % 1000}" for j in range(300))) for k in range(60)], "doc_id long, text string"))
+    array = suffix_dedup.suffix_array(anchor_rows(texts, 50, 8, suffix=True), 50).collect()
+    assert sum(r["cnt"] for r in array if r["again"]) >= 29 * 251 and all(0 < r["shared"] <= 50 and r["cnt"] > 0 for r in array)
+    assert suffix_dedup.duplicate_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_suffix_dedup_keeps_rows_and_columns(corpus):
     out = suffix_dedup.deduplicated(corpus)
     assert out.columns == corpus.columns and out.count() == corpus.count()
