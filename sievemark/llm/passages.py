@@ -30,7 +30,7 @@ def keyed(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> Dat
 def anchor_rows(docs: DataFrame, length: int, seed: int, suffix: bool = False) -> DataFrame:
     """One row for each anchor of the keyed texts: its seed, a hash of all words of its windows
     (``ctx``), and the first of its ``cnt`` window starts (``lo``). With ``suffix``, also the words
-    from the anchor to the end of its last window, as a binary of 32-bit word numbers that compares
+    from the anchor to the end of its last window, as a binary of 16-bit word numbers that compares
     word by word."""
 
     def run(batches):
@@ -62,12 +62,12 @@ def anchor_rows(docs: DataFrame, length: int, seed: int, suffix: bool = False) -
 
 
 def _word_numbers(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
-    """The words from ``start`` to ``end`` of each run, each as the upper half of its hash."""
+    """The words from ``start`` to ``end`` of each run, each as the upper 16 bits of its hash."""
     size = end - start
     bounds = np.append(0, np.cumsum(size))
     place = np.arange(bounds[-1]) + np.repeat(start - bounds[:-1], size)
-    flat = (hashes >> np.uint64(32)).astype(">u4")[place]
-    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((4 * bounds).astype("int32")), pa.py_buffer(flat)])
+    flat = (hashes >> np.uint64(48)).astype(">u2")[place]
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((2 * bounds).astype("int32")), pa.py_buffer(flat)])
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, how: str = "left") -> DataFrame:

@@ -1,10 +1,11 @@
 """Suffix-array dedup: a sparse suffix array over the whole corpus.
 
 Suffixes are retained at minimiser positions only. The array is sorted across the cluster word by
-word (words stand in the order of their numbers, the upper halves of their hashes), then by a hash
-of all the words around, then by document and place, so that a suffix that thousands of documents
-share is spread over many tasks. Neighbours are compared for the words they share. A suffix that
-agrees with its neighbour in all words, those to the left included, repeats that neighbour. Of the
+word (in the order of 16-bit numbers, the upper bits of the words' hashes), then by a 64-bit hash of
+all the words around, then by document and place, so that a suffix that thousands of documents
+share is spread over many tasks. Neighbours are compared for the words they share; where two words have one number, they
+seem to share more, which asks for more windows and never for fewer. A suffix that agrees with its
+neighbour in all words, by the hash of those to the left as well, repeats that neighbour. Of the
 others, no suffix anywhere shares more words than a neighbour does: that is how far a match can
 reach to the right, and it leaves few windows to be extended to the left. At the borders of tasks,
 where a neighbour is not seen, the full reach is assumed, which asks for more windows and changes
@@ -38,8 +39,8 @@ ARRAY_SCHEMA = "doc_id long, fp int, lo int, cnt int, again boolean, ref_doc lon
 
 def _shared_words(suffixes: pa.Array, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(words of each suffix; how many of them, from the first on, it shares with the one before)."""
-    bounds = np.frombuffer(suffixes.buffers()[1], "int32")[suffixes.offset : suffixes.offset + len(suffixes) + 1] // 4
-    flat = np.frombuffer(suffixes.buffers()[2], "uint32")
+    bounds = np.frombuffer(suffixes.buffers()[1], "int32")[suffixes.offset : suffixes.offset + len(suffixes) + 1] // 2
+    flat = np.frombuffer(suffixes.buffers()[2], "uint16")
     size = np.diff(bounds)
     place = np.arange(most)
     table = flat[np.minimum(bounds[:-1, None] + place, len(flat) - 1)]
