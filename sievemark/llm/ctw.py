@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from sievemark.llm.shared import partitions, stored
 from sievemark.llm.wordscan import Words, text_chunks
 
-DEPTH = 3
+DEPTH = 4  # bytes of context; scores() takes up to six
 NODE_SHARE, WORD_SHARE = 18, 18
 END = 0xFF  # no byte of UTF-8
 END_TOKEN = np.int64(0)  # the end counts as a token; no word hash is 0 in practice
@@ -51,19 +51,19 @@ def held_out(doc_id: Column, fold: int = 1, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _grams(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(gram of each coded byte, where each text begins among them): every text and its end byte,
     in the context of bytes of the same text only."""
     n = len(offsets) - 1
-    pad = np.repeat(offsets[1:], DEPTH)
-    line = np.concatenate([np.full(DEPTH, END, "uint8"), np.insert(data, pad, END)]) if n else data
-    key = line[DEPTH:].astype("uint32")
-    for d in range(1, DEPTH + 1):
-        key |= line[DEPTH - d : len(line) - d].astype("uint32") << np.uint32(8 * d)
-    begin = offsets + DEPTH * np.arange(n + 1)
+    pad = np.repeat(offsets[1:], depth)
+    line = np.concatenate([np.full(depth, END, "uint8"), np.insert(data, pad, END)]) if n else data
+    key = line[depth:].astype("int64")
+    for d in range(1, depth + 1):
+        key |= line[depth - d : len(line) - d].astype("int64") << (8 * d)
+    begin = offsets + depth * np.arange(n + 1)
     # of the end bytes only the first is coded
     coded = np.ones(len(key), bool)
-    for d in range(1, DEPTH):
+    for d in range(1, depth):
         coded[begin[1:] - d] = False
     return key[coded], offsets + np.arange(n + 1)
 
@@ -104,7 +104,7 @@ class _Tally:
         return out
 
 
-def counts(train: DataFrame) -> DataFrame:
+def counts(train: DataFrame, depth: int) -> DataFrame:
     """(kind, key, n) over all texts: byte grams and word hashes."""
 
     def run(batches):
@@ -117,7 +117,7 @@ def counts(train: DataFrame) -> DataFrame:
         for b in batches:
             for lo, hi, data, offsets in text_chunks(b.column(0), CHUNK):
                 low = LOWER[data]
-                tallies[GRAM].add(_grams(low, offsets)[0])
+                tallies[GRAM].add(_grams(low, offsets, depth)[0])
                 words = Words(low, offsets)
                 tallies[WORD].add(np.concatenate([words.hashes().view("int64"), np.full(hi - lo, END_TOKEN)]))
                 for kind, t in tallies.items():
@@ -138,7 +138,7 @@ def _lgamma(x: Column) -> Column:
     return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z) - up
 
 
-def nodes(grams: DataFrame) -> DataFrame:
+def nodes(grams: DataFrame, deepest: int) -> DataFrame:
     """(depth, ctx, prefix, n0, n1, w): w is the weight of the node's own estimate against the
     mixture of its children."""
     j = F.col("j")
@@ -153,10 +153,10 @@ def nodes(grams: DataFrame) -> DataFrame:
     )
     half = math.lgamma(0.5)
     out = None
-    for depth in range(DEPTH, -1, -1):
+    for depth in range(deepest, -1, -1):
         kt = _lgamma(F.col("n0") + 0.5) + _lgamma(F.col("n1") + 0.5) - 2 * half - _lgamma(F.col("n0") + F.col("n1") + 1.0)
         level = level.withColumn("kt", kt)
-        if depth == DEPTH:
+        if depth == deepest:
             level = level.withColumns({"w": F.lit(1.0), "pw": F.col("kt")})
         else:
             below = F.col("below")
@@ -176,38 +176,37 @@ def nodes(grams: DataFrame) -> DataFrame:
 class Tree:
     """The nodes as sorted arrays, and log10 probabilities of grams with a memory of those seen."""
 
-    SLOTS = 1 << 20
+    SLOT_BITS = 22
 
-    def __init__(self, key: np.ndarray, own: np.ndarray, weight: np.ndarray, complete: bool = True):
-        """key: depth << 40 | ctx << 8 | prefix, ascending; own: probability of a 1; complete: no
+    def __init__(self, key: np.ndarray, own: np.ndarray, weight: np.ndarray, depth: int, complete: bool = True):
+        """key: (depth of the node, ctx, prefix) as one number, ascending; own: probability of a 1; complete: no
         node was left out."""
-        self.key, self.own, self.weight, self.complete = key, own, weight, complete
+        self.key, self.own, self.weight, self.depth, self.complete = key, own, weight, depth, complete
         self.forget()
 
     def forget(self) -> None:
-        self.slot_key = np.full(self.SLOTS, -1, "int64")
-        self.slot_log = np.zeros(self.SLOTS)
+        self.slot_key = np.full(1 << self.SLOT_BITS, -1, "int64")
+        self.slot_log = np.zeros(1 << self.SLOT_BITS)
 
     @classmethod
-    def of(cls, table: pd.DataFrame, complete: bool = True) -> Tree:
-        key = (table["depth"].to_numpy("int64") << 40) | (table["ctx"].to_numpy("int64") << 8) | table["prefix"].to_numpy("int64")
+    def of(cls, table: pd.DataFrame, depth: int, complete: bool = True) -> Tree:
+        key = (table["depth"].to_numpy("int64") << (8 * depth + 8)) | (table["ctx"].to_numpy("int64") << 8) | table["prefix"].to_numpy("int64")
         n0, n1 = table["n0"].to_numpy("float64"), table["n1"].to_numpy("float64")
         order = np.argsort(key)
-        return cls(key[order], ((n1 + 0.5) / (n0 + n1 + 1))[order], table["w"].to_numpy("float64")[order], complete)
+        return cls(key[order], ((n1 + 0.5) / (n0 + n1 + 1))[order], table["w"].to_numpy("float64")[order], depth, complete)
 
     def exact(self, grams: np.ndarray) -> np.ndarray:
         """log10 of the probability of each gram's last byte in the context of the others; NaN if
         nodes of the gram may be missing here."""
-        grams = grams.astype("int64")
         byte, total, whole = grams & 255, np.zeros(len(grams)), np.ones(len(grams), bool)
         for j in range(8):
             prefix = (1 << j) | (byte >> (8 - j))
             p = np.full(len(grams), np.nan)
-            for depth in range(DEPTH, -1, -1):
-                want = (depth << 40) | (((grams >> 8) & ((1 << (8 * depth)) - 1)) << 8) | prefix
+            for depth in range(self.depth, -1, -1):
+                want = (depth << (8 * self.depth + 8)) | (((grams >> 8) & ((1 << (8 * depth)) - 1)) << 8) | prefix
                 at = np.minimum(np.searchsorted(self.key, want), max(0, len(self.key) - 1))
                 has = self.key[at] == want if len(self.key) else np.zeros(len(grams), bool)
-                if depth == DEPTH:
+                if depth == self.depth:
                     whole &= has
                 if not has.any():
                     continue
@@ -218,15 +217,18 @@ class Tree:
         # a node's ancestors are visited as often as it is, or more
         return total if self.complete else np.where(whole, total, np.nan)
 
+    def _slot(self, grams: np.ndarray) -> np.ndarray:
+        return ((grams.view("uint64") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.SLOT_BITS)).astype("int64")
+
     def log10(self, grams: np.ndarray) -> np.ndarray:
-        slot = ((grams.astype("uint64") * np.uint64(0x9E3779B1)) >> np.uint64(12)).astype("int64") & (self.SLOTS - 1)
+        slot = self._slot(grams)
         out = self.slot_log[slot]
         miss = np.flatnonzero(self.slot_key[slot] != grams)
         if len(miss):
             found, back = np.unique(grams[miss], return_inverse=True)
             value = self.exact(found)
             out[miss] = value[back]
-            place = ((found.astype("uint64") * np.uint64(0x9E3779B1)) >> np.uint64(12)).astype("int64") & (self.SLOTS - 1)
+            place = self._slot(found)
             empty = self.slot_key[place] < 0  # who came first stays
             self.slot_key[place[empty]] = found[empty]
             self.slot_log[place[empty]] = value[empty]
@@ -242,25 +244,27 @@ def part_of(ctx, parts: int):
     return (ctx & 65535) * 40503 % 65536 % parts if isinstance(ctx, np.ndarray) else ctx.bitwiseAND(65535) * 40503 % 65536 % parts
 
 
-def trained(train: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+def trained(train: DataFrame, depth: int) -> tuple[DataFrame, DataFrame, int, int]:
     """(word counts, nodes, how often a node that is looked up in place is visited, number of
     training tokens)."""
-    tallied = stored(counts(train), "tallied")
+    tallied = stored(counts(train, depth), "tallied")
     words = tallied.where(F.col("kind") == WORD).select(F.col("key").alias("word"), "n")
     grams = tallied.where(F.col("kind") == GRAM).select("key", "n")
     total = tallied.groupBy("kind").agg(F.sum("n").alias("n")).collect()  # two rows
     sums = {r["kind"]: r["n"] for r in total}
     least = max(1, sums.get(GRAM, 0) >> NODE_SHARE)
-    return words, nodes(grams), least, sums.get(WORD, 0)
+    return words, nodes(grams, depth), least, sums.get(WORD, 0)
 
 
-def scores(docs: DataFrame, held: Column | None = None) -> DataFrame:
+def scores(docs: DataFrame, held: Column | None = None, depth: int = DEPTH) -> DataFrame:
     """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
-    score, n_bytes and bits_per_byte."""
+    score, n_bytes and bits_per_byte. ``depth``: bytes of context, 2 to 6 (a node is one 64-bit number)."""
+    if not 2 <= depth <= 6:
+        raise ValueError("depth must be 2 to 6")
     spark = docs.sparkSession
     held = held_out(F.col("doc_id")) if held is None else held
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    words, tree_nodes, least, n_train = trained(texts.where(~F.col("held_out")))
+    words, tree_nodes, least, n_train = trained(texts.where(~F.col("held_out")), depth)
     n_vocabulary = words.count()
     frequent = words.where(F.col("n") >= max(1, -(-n_train >> WORD_SHARE))).toPandas().sort_values("word")  # at most 2**WORD_SHARE words
     often = tree_nodes.where(F.col("n0") + F.col("n1") >= least)
@@ -275,12 +279,12 @@ def scores(docs: DataFrame, held: Column | None = None) -> DataFrame:
 
         part, made = TaskContext.get().partitionId(), 0
         table, hot, hot_n = given.value
-        tree = Tree.of(table, least == 1)
+        tree = Tree.of(table, depth, least == 1)
         value = np.log10((hot_n + 0.5) / denominator) if len(hot) else np.zeros(0)
         for b in batches:
             for lo, hi, data, offsets in text_chunks(b.column(2), CHUNK):
                 low = LOWER[data]
-                grams, begin = _grams(low, offsets)
+                grams, begin = _grams(low, offsets, depth)
                 log = tree.log10(grams)
                 afar = np.flatnonzero(np.isnan(log))
                 log[afar] = 0
@@ -319,7 +323,7 @@ def scores(docs: DataFrame, held: Column | None = None) -> DataFrame:
                 # the other words, bundled by part of the vocabulary, and the other grams, by part of the tree
                 doc, token = doc[~known], token[~known]
                 bundle("word", doc, token, (token.view("uint64") % np.uint64(buckets)).astype("int64"))
-                bundle("gram", np.searchsorted(begin, afar, side="right") - 1, grams[afar], part_of(grams[afar].astype("int64") >> 8, buckets))
+                bundle("gram", np.searchsorted(begin, afar, side="right") - 1, grams[afar], part_of(grams[afar] >> 8, buckets))
                 types = {"chunk": pa.int64(), "bucket": pa.int32()}
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, types.get(k, pa.binary())) for k, v in rows.items()})
 
@@ -352,9 +356,9 @@ def scores(docs: DataFrame, held: Column | None = None) -> DataFrame:
 
     def score_grams(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"chunk": left["chunk"].to_pylist(), "doc": left["doc"].to_pylist(), "log": []}
-        grams = [np.frombuffer(g, "uint32") for g in left["gram"].to_pylist()]
+        grams = [np.frombuffer(g, "int64") for g in left["gram"].to_pylist()]
         if grams:
-            tree = Tree.of(pd.concat([upper.value, right.select(upper.value.columns.to_list()).to_pandas()]))
+            tree = Tree.of(pd.concat([upper.value, right.select(upper.value.columns.to_list()).to_pandas()]), depth)
             found = np.unique(np.concatenate(grams))
             log = np.concatenate([tree.exact(found[i : i + (1 << 16)]) for i in range(0, len(found), 1 << 16)])
             out["log"] = [log[np.searchsorted(found, g)].tobytes() for g in grams]

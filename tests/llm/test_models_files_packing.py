@@ -121,8 +121,8 @@ def test_token_files(spark, corpus, rows, empty, tmp_path):
     assert token_files.digests(spark.read.parquet(str(tmp_path / "none"))).count() == 0
 
 
-def brute_tree(texts, least):
-    depth, n = ctw.DEPTH, defaultdict(lambda: [0, 0])
+def brute_tree(texts, least, depth):
+    n = defaultdict(lambda: [0, 0])
     for s in texts:
         for i in range(depth, len(s)):
             for j in range(8):
@@ -162,24 +162,27 @@ def brute_tree(texts, least):
     return log10
 
 
-def test_context_tree_scores(corpus, rows, empty, spark):
+@pytest.mark.parametrize("depth", [ctw.DEPTH, 6])
+def test_context_tree_scores(corpus, rows, empty, spark, depth):
     low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
-    framed = lambda t: b"\xff" * ctw.DEPTH + low(t).encode() + b"\xff"
+    framed = lambda t: b"\xff" * depth + low(t).encode() + b"\xff"
     train = [t for d, t in rows if not held(d)]
     count = Counter(w for t in train for w in [*words(low(t)), None])
     n, v = sum(count.values()), len(count)
-    log10 = brute_tree([framed(t) for t in train], 1)
+    log10 = brute_tree([framed(t) for t in train], 1, depth)
     want = []
     for d, t in rows:
         tokens = [*words(low(t)), None]
         base = sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens)
         want.append((str(d), held(d), len(tokens), sum(count[w] > 0 for w in tokens), n, round(base, 6), round(log10(framed(t)), 6)))
-    got = [(str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in ctw.scores(corpus).collect()]
+    got = [(str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in ctw.scores(corpus, depth=depth).collect()]
     for a, b in zip(sorted(got), sorted(want)):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], abs=1e-5) and a[6] == pytest.approx(b[6], abs=1e-4)
-    assert ctw.scores(empty).count() == 0
-    alone = ctw.scores(spark.createDataFrame([(5, "Ab")], "doc_id long, text string"), F.lit(True)).first()
+    assert ctw.scores(empty, depth=depth).count() == 0
+    with pytest.raises(ValueError, match="depth"):
+        ctw.scores(corpus, depth=7)
+    alone = ctw.scores(spark.createDataFrame([(5, "Ab")], "doc_id long, text string"), F.lit(True), depth).first()
     assert alone["train_tokens"] == 0 and alone["base_score"] == 0.0 and alone["score"] == pytest.approx(-24 * math.log10(2))
 
 
