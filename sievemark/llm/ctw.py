@@ -82,6 +82,23 @@ def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[new], np.diff(np.append(new, len(values)))
 
 
+def _packed(grams: np.ndarray, depth: int) -> np.ndarray:
+    """The grams as rows of depth + 1 bytes."""
+    return grams.astype("<i8").view("uint8").reshape(-1, 8)[:, : depth + 1]
+
+
+def _unpacked(raw: bytes, depth: int) -> np.ndarray:
+    narrow = np.frombuffer(raw, "uint8").reshape(-1, depth + 1)
+    wide = np.zeros((len(narrow), 8), "uint8")
+    wide[:, : depth + 1] = narrow
+    return wide.view("<i8").ravel()
+
+
+def _number_type(n: int) -> str:
+    """For the texts of a chunk by their place in it."""
+    return "uint16" if n <= 1 << 16 else "uint32"
+
+
 class _Tally:
     """Counts by key that add up within a task; handed on when they are many."""
 
@@ -176,7 +193,7 @@ def nodes(grams: DataFrame, deepest: int) -> DataFrame:
 class Tree:
     """The nodes as sorted arrays, and log10 probabilities of grams with a memory of those seen."""
 
-    SLOT_BITS = 22
+    SLOT_BITS = 21
 
     def __init__(self, key: np.ndarray, own: np.ndarray, weight: np.ndarray, depth: int, complete: bool = True):
         """key: (depth of the node, ctx, prefix) as one number, ascending; own: probability of a 1; complete: no
@@ -315,7 +332,7 @@ def scores(docs: DataFrame, held: Column | None = None, depth: int = DEPTH) -> D
 
                 def bundle(field, doc, value, bucket):
                     order = np.argsort(bucket, kind="stable")
-                    doc, value, bucket = doc[order].astype("uint32"), value[order], bucket[order]
+                    doc, value, bucket = doc[order].astype(_number_type(n)), value[order], bucket[order]
                     new = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
                     for s, e in zip(new, np.append(new[1:], len(bucket)) if len(bucket) else []):
                         put(chunk=chunk, bucket=int(bucket[s]), doc=doc[s:e], **{field: value[s:e]})
@@ -323,7 +340,7 @@ def scores(docs: DataFrame, held: Column | None = None, depth: int = DEPTH) -> D
                 # the other words, bundled by part of the vocabulary, and the other grams, by part of the tree
                 doc, token = doc[~known], token[~known]
                 bundle("word", doc, token, (token.view("uint64") % np.uint64(buckets)).astype("int64"))
-                bundle("gram", np.searchsorted(begin, afar, side="right") - 1, grams[afar], part_of(grams[afar] >> 8, buckets))
+                bundle("gram", np.searchsorted(begin, afar, side="right") - 1, _packed(grams[afar], depth), part_of(grams[afar] >> 8, buckets))
                 types = {"chunk": pa.int64(), "bucket": pa.int32()}
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, types.get(k, pa.binary())) for k, v in rows.items()})
 
@@ -355,13 +372,18 @@ def scores(docs: DataFrame, held: Column | None = None, depth: int = DEPTH) -> D
     upper = spark.sparkContext.broadcast(tree_nodes.where("depth < 2").toPandas() if least > 1 else None)
 
     def score_grams(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"chunk": left["chunk"].to_pylist(), "doc": left["doc"].to_pylist(), "log": []}
-        grams = [np.frombuffer(g, "int64") for g in left["gram"].to_pylist()]
+        out = {"chunk": left["chunk"].to_pylist(), "doc": [], "log": []}
+        grams = [_unpacked(g, depth) for g in left["gram"].to_pylist()]
         if grams:
             tree = Tree.of(pd.concat([upper.value, right.select(upper.value.columns.to_list()).to_pandas()]), depth)
             found = np.unique(np.concatenate(grams))
             log = np.concatenate([tree.exact(found[i : i + (1 << 16)]) for i in range(0, len(found), 1 << 16)])
-            out["log"] = [log[np.searchsorted(found, g)].tobytes() for g in grams]
+            # added up by text; the texts of a bundle ascend
+            for g, doc in zip(grams, left["doc"].to_pylist()):
+                doc = np.frombuffer(doc, "uint16" if len(doc) == 2 * len(g) else "uint32")
+                new = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+                out["doc"].append(doc[new].tobytes())
+                out["log"].append(np.add.reduceat(log[np.searchsorted(found, g)], new).tobytes())
         return pa.table({"chunk": pa.array(out["chunk"], pa.int64()), "doc": pa.array(out["doc"], pa.binary()), "log": pa.array(out["log"], pa.binary())})
 
     answered = answered.withColumn("log", F.lit(None).cast("binary"))
@@ -378,7 +400,7 @@ def scores(docs: DataFrame, held: Column | None = None, depth: int = DEPTH) -> D
         base, known = np.frombuffer(row["base"], "float64").copy(), np.frombuffer(row["known"], "int64").copy()
         score = np.frombuffer(row["score"], "float64").copy()
         for doc, c, log in zip(right["doc"].to_pylist(), right["n"].to_pylist(), right["log"].to_pylist()):
-            doc = np.frombuffer(doc, "uint32")
+            doc = np.frombuffer(doc, _number_type(n))
             if log is not None:
                 score += np.bincount(doc, np.frombuffer(log, "float64"), n)
                 continue
