@@ -261,8 +261,8 @@ SELECT coalesce(a.b, g.b) AS batch_id, CASE WHEN a.n IS NULL THEN 'unknown' WHEN
 FROM a FULL JOIN g ON a.id = g.id AND a.b = g.b GROUP BY 1, 2""",
     "q_quote_verify": """
 WITH q AS (SELECT item_id, array_to_string(regexp_extract_all(text, '[^ \\t-\\r]+'), ' ') AS quote FROM benchmark WHERE len(regexp_extract_all(text, '[^ \\t-\\r]+')) > 0),
-d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(text, '[^ \\t-\\r]+'), ' ') || ' ' AS words FROM documents WHERE text IS NOT NULL)
-SELECT item_id, doc_id, quote FROM q JOIN d ON contains(words, ' ' || quote || ' ')""",
+d AS (SELECT doc_id, array_to_string(regexp_extract_all(text, '[^ \\t-\\r]+'), ' ') AS words FROM documents WHERE text IS NOT NULL)
+SELECT item_id, doc_id, quote FROM q JOIN d ON contains(words, quote)""",
     "q_turn_checks": """
 SELECT CASE WHEN n > u THEN 'duplicate' WHEN l <> 0 OR m + 1 <> u THEN 'missing' ELSE 'complete' END AS state, n AS turns, count(*) AS n_conversations
 FROM (SELECT conv_id, count(*) AS n, count(DISTINCT turn) AS u, max(turn) AS m, min(turn) AS l FROM conversations GROUP BY 1) GROUP BY 1, 2""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievemark.functions import text as txt
 from sievemark.plans import record_queries
-from sievemark.operators import audit, clean, evaluate, evidence, geography, ledger, profile, proposals, regions, review, sampling, scoring
+from sievemark.operators import audit, clean, evaluate, evidence, geography, ledger, profile, proposals, quotes, regions, review, sampling, scoring
 from sievemark.sources.tables import shared_folder
 from sievemark.policy import CLASSES, GAP, REVIEW, TRUSTED, EvidenceWeights, Keywords, Policy, Thresholds
 
@@ -441,23 +441,11 @@ def q_id_accounting(spark, sf):
 
 @query
 def q_quote_verify(spark, sf):
-    """Passages of the benchmark that stand in documents as a whole, whatever the white space. They
-    meet the documents by their first words (eight, or all they have), and are then verified whole.
-    A filter of the quotes' keys, of a fixed size, drops the other windows before any shuffle."""
-    words = lambda c: F.regexp_extract_all(c, F.lit(r"([^ \t-\r]+)"), F.lit(1))
-    b = table(spark, sf, "benchmark").select("item_id", words("text").alias("w")).where(F.size("w") > 0)
-    quotes = b.select("item_id", F.array_join("w", " ").alias("quote"), F.least(F.size("w"), F.lit(8)).alias("n"), F.xxhash64(F.array_join(F.slice("w", 1, 8), " ")).alias("k"))
-    lengths = sorted(r["n"] for r in quotes.select("n").distinct().collect())  # eight at most
-    d = table(spark, sf, "documents").where(F.col("text").isNotNull()).select("doc_id", F.col("text").alias("body"))
-    listed = d.select("doc_id", words("body").alias("w"))
-    starts = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " ")))).otherwise(F.array().cast("array<bigint>"))
-    keys = listed.select("doc_id", F.explode(F.array_distinct(F.concat(*(starts(n) for n in lengths)) if lengths else F.array().cast("array<bigint>"))).alias("k"))
-    # at most 2**20 marks, however many quotes there are
-    marks = quotes.select(F.pmod("k", F.lit(1 << 20)).alias("_m")).distinct()
-    hit = keys.withColumn("_m", F.pmod("k", F.lit(1 << 20))).join(F.broadcast(marks), "_m", "left_semi").join(quotes.hint("merge"), "k").select("doc_id", "item_id", "quote")
-    met = hit.join(d.hint("merge"), "doc_id")
-    found = met.withColumn("at", proposals.located("quote", "body")).where("at is not null")
-    return found.select("item_id", "doc_id", F.col("quote"))
+    """Passages of the benchmark that stand in documents as a whole, whatever the white space and
+    wherever they begin and end."""
+    quoted = table(spark, sf, "benchmark").select("item_id", proposals.collapsed(F.col("text")).alias("quote"))
+    found = quotes.found_quotes(quoted, table(spark, sf, "documents").select("doc_id", "text"), "item_id", "quote", "doc_id", "text")
+    return found.select(F.col("quote_id").alias("item_id"), F.col("text_id").alias("doc_id"), "quote")
 
 
 @query
