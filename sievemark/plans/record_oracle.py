@@ -27,9 +27,9 @@ def window(c: str, pattern: str) -> str:
     return f"CASE WHEN length({whole}) > 300 THEN {cut} ELSE {whole} END"
 
 
-def _hits() -> str:
-    out = [f"SELECT unique_id, field, f, i, 0 AS n, 'negation' AS grp, '{DENIAL}' AS pattern, {window('text', DENIAL)} AS text FROM items WHERE denied"]
-    for n, (group, p) in enumerate(PATTERNS, 1):
+def _hits(patterns=PATTERNS, denial: str = DENIAL) -> str:
+    out = [f"SELECT unique_id, field, f, i, 0 AS n, 'negation' AS grp, '{denial}' AS pattern, {window('text', denial)} AS text FROM items WHERE denied"]
+    for n, (group, p) in enumerate(patterns, 1):
         out.append(f"SELECT unique_id, field, f, i, {n}, '{group}', '{p}', {window('text', p)} FROM items WHERE NOT denied AND regexp_matches(text, '(?i){p}')")
     return " UNION ALL ".join(out)
 
@@ -107,6 +107,20 @@ judged AS (
     CASE size % 7 WHEN 0 THEN 'Outpatient / diagnostic context' WHEN 1 THEN 'Likely general-hospital context' WHEN 2 THEN 'Outpatient / diagnostic context' WHEN 3 THEN 'Specialty or limited-scope hospital context'
       WHEN 4 THEN 'Specialty or limited-scope hospital context' ELSE 'Unknown context' END AS context
   FROM d)"""
+#: Patterns of the policy with other keyword groups.
+OTHER_PATTERNS = (
+    ("explicit_icu", "copyright"), ("explicit_icu", "public"), ("equipment", "[0-9]{3}-[0-9]{4}"), ("equipment", "https?://"), ("procedure", "https?://"), ("procedure", "version"), ("staffing", "licen[sc]e"), ("specialty_context", "apache"),
+)
+
+
+def under(name: str, patterns=PATTERNS, denial: str = DENIAL, weights: str = "[35, 20, 20, 15, 10, 10, 10, -40, -15]", high: int = 45, low: int = 15, enough: int = 45) -> str:
+    """The records as another policy judges them."""
+    own = JUDGED.replace(_hits(), _hits(patterns, denial)).replace(f"'(?i){DENIAL}') AS denied", f"'(?i){denial}') AS denied").replace("[35, 20, 20, 15, 10, 10, 10, -40, -15]", weights)
+    own = own.replace("e >= 45", f"e >= {high}").replace("e <= 15", f"e <= {low}").replace("k < 45", f"k < {enough}")
+    return f"SELECT * FROM (WITH {own} SELECT unique_id, '{name}' AS policy, e AS evidence, k AS completeness, n_cats AS n_categories, beds::BIGINT AS beds, described, class AS classification FROM judged)"
+
+
+SWEEP = " UNION ALL ".join((under("present"), under("other_weights", weights="[25, 20, 30, 10, 10, 10, 10, -15, -15]", high=40, low=10, enough=60), under("other_words", OTHER_PATTERNS, "creative")))
 MEASURES = f"""count(*) AS facility_count, count(*) FILTER (class = '{TRUSTED}') AS trusted, count(*) FILTER (class = '{REVIEW}') AS review, 100.0 * count(*) FILTER (k >= 45) / count(*) AS pct"""
 STATUS = f"CASE WHEN facility_count < 3 OR pct < 40 THEN '{DESERT}' WHEN trusted >= 1 THEN '{FOUND}' WHEN review > 0 THEN '{VERIFY}' ELSE '{PLANNING}' END AS region_status"
 DISTRICTS = f"""
@@ -234,6 +248,9 @@ SELECT CASE WHEN class IN ('{TRUSTED}', '{GAP}') THEN 'resolved' ELSE 'unresolve
     "q_policy_change": f"""{WITH}
 SELECT class AS classification, CASE WHEN denied THEN '{REVIEW}' WHEN k < 50 THEN '{INSUFFICIENT}' WHEN e >= 60 AND suspicious THEN '{REVIEW}' WHEN e >= 60 AND NOT explicit THEN '{REVIEW}' WHEN e >= 60 AND n_cats >= 2 THEN '{TRUSTED}'
   WHEN e >= 60 AND described AND n_cats >= 1 THEN '{TRUSTED}' WHEN e >= 60 THEN '{REVIEW}' WHEN e <= 20 THEN '{GAP}' ELSE '{REVIEW}' END AS other_classification, count(*) AS n FROM judged GROUP BY 1, 2""",
+    "q_policy_sweep": SWEEP,
+    "q_policy_moves": f"""WITH s AS ({SWEEP})
+SELECT o.policy, b.classification, o.classification AS other_classification, count(*) AS n FROM s b JOIN s o ON o.unique_id = b.unique_id AND b.policy = 'present' AND o.policy <> 'present' GROUP BY ALL""",
     "q_district_centroids": f"""{WIDE}
 SELECT st AS state, di AS district, facility_count, round(median(size), 3)::DOUBLE AS lat, round(median(coalesce(quality, 0)), 3)::DOUBLE AS lon, count(*) AS n_located
 FROM judged JOIN dis ON st = lang AND di = district WHERE coord_status = 'ok' GROUP BY 1, 2, 3""",

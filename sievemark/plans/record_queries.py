@@ -4,15 +4,17 @@ review lists."""
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark.functions.places import coordinates
-from sievemark.operators import audit, clean, evaluate, geography, proposals, regions, review, sampling, scoring
+from sievemark.operators import audit, clean, evaluate, geography, proposals, regions, review, sampling, scoring, signals
 from sievemark.operators.profile import directory_profile, facility_profile, indicator_profile, run_counters
-from sievemark.policy import Keywords, Policy, Thresholds
+from sievemark.policy import EvidenceWeights, Keywords, Policy, Thresholds
+from sievemark.sources.tables import written
 
 QUERIES: dict = {}
 #: Keyword groups for documents, in place of the facility vocabulary.
@@ -25,6 +27,13 @@ RECORD_POLICY = Policy(
 )
 OTHER_THRESHOLDS = Policy(thresholds=Thresholds(high_evidence=60, low_evidence=20, sufficient_completeness=50))
 
+#: The present policy, one with other weights and thresholds, and one with other keyword groups.
+POLICIES = {
+    "present": RECORD_POLICY,
+    "other_weights": replace(RECORD_POLICY, evidence_weights=EvidenceWeights(explicit_claim=25, equipment=30, procedure=10, negation_penalty=15), thresholds=Thresholds(high_evidence=40, low_evidence=10, sufficient_completeness=60)),
+    "other_words": replace(RECORD_POLICY, keywords=replace(RECORD_POLICY.keywords, explicit_icu=(r"copyright", r"public"), equipment=(r"[0-9]{3}-[0-9]{4}", r"https?://"), staffing=(r"licen[sc]e",), specialty_context=(r"apache",), negation=(r"creative",))),
+}
+
 
 def query(f):
     QUERIES[f.__name__] = f
@@ -179,6 +188,20 @@ def q_policy_change(spark, sf):
     return scoring.migrations(scoring.what_if(judged(spark, sf), OTHER_THRESHOLDS)).select("classification", "other_classification", big(F.col("n")).alias("n"))
 
 
+@query
+def q_policy_sweep(spark, sf):
+    """Every record under three whole policies, from one extraction."""
+    book = written(signals.ledger(records(spark, sf), POLICIES, listed=True), "signals")
+    out = signals.scored_under(book, POLICIES)
+    return out.select("unique_id", "policy", big(F.col("evidence")).alias("evidence"), big(F.col("completeness")).alias("completeness"), big(F.col("n_categories")).alias("n_categories"), big(F.col("icu_bed_count")).alias("beds"), "described", "classification")
+
+
+@query
+def q_policy_moves(spark, sf):
+    book = written(signals.ledger(records(spark, sf), POLICIES, listed=True), "signals")
+    return signals.moves(signals.scored_under(book, POLICIES), "present")
+
+
 @query
 def q_district_centroids(spark, sf):
     rows = judged(spark, sf)
