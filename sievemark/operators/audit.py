@@ -10,23 +10,27 @@ from pyspark.sql import functions as F
 from sievemark.functions.names import NOT_HOSPITALS, audit_category
 from sievemark.operators.scoring import substantive
 from sievemark.operators.profile import top_counts, value_counts
+from sievemark.operators.quantiles import exact_percentiles
 from sievemark.policy import GAP, GENERAL_SUBTYPE, REVIEW, SUSPICIOUS, TRUSTED, UNASSIGNED, Policy
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
-def score_stats(df: DataFrame, column: str, keys: list[str] | None = None, width: float = 10.0, bins: int = 10) -> DataFrame:
-    """Count, mean, median, interpolated percentiles and equal bins, the last closed on both sides."""
+def score_stats(df: DataFrame, column: str, keys: list[str] | None = None, width: float = 10.0, bins: int = 10, spread: bool = False) -> DataFrame:
+    """Count, mean, median, interpolated percentiles and equal bins, the last closed on both sides. A
+    task holds the distinct values of a group, as suits scores; with ``spread`` no task does."""
     c = F.col(column)
     bin_of = F.least(F.floor(c / width), F.lit(bins - 1))
-    aggregates = [
-        F.count(c).alias("n"),
-        F.avg(c).alias("mean"),
-        F.median(c).alias("median"),
-        *(F.percentile(c, q).alias(f"p{int(q * 100)}") for q in QUANTILES),
-        *(F.count_if(bin_of == i).alias(f"bin_{i}") for i in range(bins)),
-    ]
-    return df.groupBy(*(keys or [])).agg(*aggregates)
+    first = [F.count(c).alias("n"), F.avg(c).alias("mean")]
+    last = [F.count_if(bin_of == i).alias(f"bin_{i}") for i in range(bins)]
+    if not spread:
+        return df.groupBy(*(keys or [])).agg(*first, F.median(c).alias("median"), *(F.percentile(c, q).alias(f"p{int(q * 100)}") for q in QUANTILES), *last)
+    names = [f"_{k}" for k in keys or []]
+    found = exact_percentiles(df, keys or [], column, {"median": 0.5, **{f"p{int(q * 100)}": q for q in QUANTILES}}).drop("n").withColumnsRenamed(dict(zip(keys or [], names)))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys or [], names)), F.lit(True))
+    sums = df.groupBy(*(keys or [])).agg(*first, *last)
+    joined = sums.join(found.hint("merge") if keys else F.broadcast(found), same, "left")  # one row without keys
+    return joined.select(*(keys or []), "n", "mean", "median", *(f"p{int(q * 100)}" for q in QUANTILES), *(f"bin_{i}" for i in range(bins)))
 
 
 def combination_counts(df: DataFrame, items: Column, keys: list[str] | None = None) -> DataFrame:
@@ -195,12 +199,15 @@ def boundary_summary(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
     measures = {
         "total": F.count(F.lit(1)), "claim_in_description": F.count_if("_described"), "claim_only_structured": F.count_if(~F.col("_described")), "with_directory_flag": F.count_if(flagged("directory_or_partner_content_detected")),
         "subtype_only": F.count_if("_subtype_only"), "moves_v2a": F.count_if("_substantive"), "moves_v2b": F.count_if(F.col("description_claim").isNotNull()),
-        **{f"description_p{int(q * 100)}": F.percentile("_length", q) for q in (0.25, 0.5, 0.75)},
     }
+    lengths = {f"description_p{int(q * 100)}": q for q in (0.25, 0.5, 0.75)}
+    one = rows.sparkSession.range(1).select()
+    middle = one.join(F.broadcast(exact_percentiles(at, [], "_length", lengths).select(*lengths)), F.lit(True), "left")  # one row
     return reduce(
         DataFrame.unionByName,
         [
             _long(at.agg(*(v.alias(k) for k, v in measures.items())), s),
+            _long(middle, s),
             _keyed(value_counts(at, "_c"), s, "category", "_c"),
             _keyed(value_counts(at, "_audit"), s, "audit_category", "_audit"),
             _keyed(top_counts(at, "state_final", 10), s, "state", "state_final"),

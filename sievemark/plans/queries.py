@@ -327,7 +327,7 @@ def q_region_slice(spark, sf):
 
 @query
 def q_score_stats(spark, sf):
-    s = audit.score_stats(table(spark, sf, "lineitem"), "l_quantity", ["l_returnflag"], 5.0)
+    s = audit.score_stats(table(spark, sf, "lineitem"), "l_quantity", ["l_returnflag"], 5.0, spread=True)
     return s.select("l_returnflag", big(F.col("n")).alias("n"), *(F.round(c, 4).alias(c) for c in ("mean", "median", "p5", "p25", "p50", "p75", "p95")), *(big(F.col(f"bin_{i}")).alias(f"bin_{i}") for i in range(10)))
 
 

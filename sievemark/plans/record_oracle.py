@@ -175,6 +175,17 @@ BOUNDARY = " UNION ALL ".join(
         keyed("boundary", "category", "cats[1]", EDGE), keyed("boundary", "audit_category", "category", EDGE), keyed("boundary", "state", "lang", EDGE, 10),
     )
 )
+CAN = "(SELECT * FROM judged WHERE k >= 45) c"
+REPORT = " UNION ALL ".join(
+    (
+        keyed("counts", "classification", "class", "judged"), keyed("counts", "coord_status", "coord_status", "judged"), keyed("counts", "geo_source", "'pin_directory'", "judged"),
+        long("judgeability", {
+            "judgeable": "count(*)", "missing_capacity": "count(*) FILTER (capacity IS NULL)", "missing_doctors": "count(*) FILTER (quality IS NULL)", "missing_source": "count(*) FILTER (source IS NULL)", "missing_coordinates": "count(*) FILTER (coord_status <> 'ok')",
+            "missing_district": "count(*) FILTER (district IS NULL)", "no_relevant_procedure": "count(*) FILTER (NOT sig_p)", "no_relevant_equipment": "count(*) FILTER (NOT sig_e)", "no_explicit_claim": "count(*) FILTER (NOT explicit)",
+            "generic_content_only": "count(*) FILTER ((h_p OR h_e) AND NOT sig_p AND NOT sig_e AND NOT explicit)", "judgeable_by_generated_only": "count(*) FILTER (k - 15 * h_p::INT - 15 * h_e::INT < 45)"}, CAN),
+        keyed("judgeability", "components", "array_to_string(list_sort(c_parts), '+')", CAN), long("judgeability_completeness", stats("k"), CAN), GAP_AUDIT, TRUSTED_AUDIT, REGIONAL, BOUNDARY,
+    )
+)
 WITH = f"WITH {JUDGED}"
 WIDE = f"WITH {JUDGED}, {DISTRICTS}"
 RANK = "CASE WHEN denied THEN 3 WHEN e >= 45 AND suspicious THEN 1 WHEN e >= 45 AND explicit THEN 0 ELSE 2 END"
@@ -223,6 +234,7 @@ FROM judged WHERE k >= 45""",
     "q_barely_trusted": f"{WITH} SELECT unique_id, e AS evidence FROM judged WHERE class = '{TRUSTED}' AND (e <= 50 OR n_cats <= 2)",
     "q_regional_audit": f"{WIDE} {REGIONAL}",
     "q_boundary": f"{WITH} {BOUNDARY}",
+    "q_report": f"{WIDE} {REPORT}",
     "q_priority_worklist": f"""{WIDE},
 w AS (
   SELECT st AS state, di AS district, unique_id, context, CASE WHEN class = '{REVIEW}' THEN 1 WHEN class = '{TRUSTED}' AND len(flags) > 0 THEN 2 WHEN class = '{TRUSTED}' THEN 3 WHEN class = '{GAP}' AND region_status = '{PLANNING}' THEN 4 END AS tier,

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark.functions.places import coordinates
-from sievemark.operators import audit, clean, evaluate, geography, proposals, regions, review, sampling, scoring, signals
+from sievemark.operators import audit, clean, evaluate, geography, proposals, regions, report, review, sampling, scoring, signals
 from sievemark.operators.profile import directory_profile, facility_profile, indicator_profile, run_counters
 from sievemark.policy import EvidenceWeights, Keywords, Policy, Thresholds
 from sievemark.sources.tables import written
@@ -79,6 +79,11 @@ def judged(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.scored(records(spark, sf), RECORD_POLICY, listed=True)
 
 
+def judged_once(spark: SparkSession, sf: str) -> DataFrame:
+    """The scored records without their texts, written: for jobs that read them several times."""
+    return written(judged(spark, sf).drop("items", "fragments", "description", "capability", "specialties", "procedure", "equipment"), "judged")
+
+
 def _sections(df: DataFrame) -> DataFrame:
     return df.select("section", "metric", "key", F.round("value", 3).alias("value"))
 
@@ -133,18 +138,25 @@ def q_barely_trusted(spark, sf):
 
 @query
 def q_regional_audit(spark, sf):
-    rows = judged(spark, sf)
+    rows = judged_once(spark, sf)
     return _sections(audit.regional(rows, regions.rollup(rows, "state", RECORD_POLICY), _districts(rows)))
 
 
 @query
 def q_boundary(spark, sf):
-    return _sections(audit.boundary_summary(judged(spark, sf), RECORD_POLICY))
+    at = written(judged(spark, sf).where(audit.boundary_population(RECORD_POLICY)), "boundary")
+    return _sections(audit.boundary_summary(at, RECORD_POLICY))
+
+
+@query
+def q_report(spark, sf):
+    """The whole audit: records are scored once, and one grouping adds up all measures."""
+    return _sections(report.fused(written(report.facts(judged(spark, sf), RECORD_POLICY), "facts"), RECORD_POLICY))
 
 
 @query
 def q_priority_worklist(spark, sf):
-    rows = judged(spark, sf)
+    rows = judged_once(spark, sf)
     status = _districts(rows).select(F.col("state").alias("_s"), F.col("district").alias("_d"), "region_status")
     named = rows.join(status.hint("merge"), (F.coalesce("state_final", F.lit("(unassigned)")) == F.col("_s")) & (F.coalesce("district_final", F.lit("(unassigned)")) == F.col("_d")))
     out = review.priority_worklist(named, ["_s", "_d"], 5, RECORD_POLICY)
@@ -159,7 +171,7 @@ def q_facility_table(spark, sf):
 
 @query
 def q_candidates(spark, sf):
-    rows = judged(spark, sf)
+    rows = judged_once(spark, sf)
     out = review.candidates(rows, 3, districts=_districts(rows))
     return out.select("label", big(F.col("rank")).alias("rank"), "unique_id")
 
@@ -204,14 +216,14 @@ def q_policy_moves(spark, sf):
 
 @query
 def q_district_centroids(spark, sf):
-    rows = judged(spark, sf)
+    rows = judged_once(spark, sf)
     c = regions.district_centroids(rows, _districts(rows))
     return c.select("state", "district", big(F.col("facility_count")).alias("facility_count"), F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"), big(F.col("n_located")).alias("n_located"))
 
 
 @query
 def q_planning_example(spark, sf):
-    rows = review.with_context(judged(spark, sf))
+    rows = review.with_context(judged_once(spark, sf))
     return regions.example_regions(_districts(rows), rows).select("region_status", "state", "district", big(F.col("facility_count")).alias("facility_count"))
 
 
@@ -326,7 +338,7 @@ def q_duplicate_names(spark, sf):
 
 @query
 def q_run_counters(spark, sf):
-    rows = judged(spark, sf)
+    rows = judged_once(spark, sf)
     return run_counters(table(spark, sf, "documents"), rows, rows).select("metric", F.round("value", 3).alias("value"))
 
 
@@ -334,7 +346,7 @@ def q_run_counters(spark, sf):
 
 
 def _reviewed(spark: SparkSession, sf: str) -> DataFrame:
-    rows = judged(spark, sf).select("unique_id", "classification", joined(F.col("icu_subtypes")).alias("extractor_subtypes"), "number_doctors_int", F.col("organization_type").alias("audit_category"), "geo_conflict")
+    rows = judged_once(spark, sf).select("unique_id", "classification", joined(F.col("icu_subtypes")).alias("extractor_subtypes"), "number_doctors_int", F.col("organization_type").alias("audit_category"), "geo_conflict")
     human = F.when(F.col("number_doctors_int") == 1, "Trusted ICU Coverage").when(F.col("number_doctors_int") == 0, "Likely Medical Gap").otherwise("")
     subtype = F.when(F.col("geo_conflict"), "cardiac_icu").when(F.col("number_doctors_int").isNotNull(), "general")
     return rows.select("unique_id", "audit_category", "extractor_subtypes", human.alias("human_expected_classification"), F.col("classification").alias("current_classification"), subtype.alias("subtype"))
