@@ -33,7 +33,7 @@ PIECE_BYTES = ~byte_class(PIECE_ENDS)
 WORDS = byte_class(PIECE_ENDS + WORD_ENDS)
 LOWER = np.arange(256, dtype="uint8")
 LOWER[ord("A") : ord("Z") + 1] += 32
-CHUNK_BYTES = 1 << 24
+CHUNK_BYTES = 1 << 22
 #: Bits for each frequent pair, and most bits in all: 32 MB.
 BITS_EACH, LOG_MOST_BITS = 16, 28
 EXACT = "decimal(38,0)"
