@@ -280,6 +280,15 @@ FROM (SELECT count(*) AS n, sum(length(text) * CASE WHEN role = 'assistant' THEN
 WITH {_fragments()}, r AS (
   SELECT signal, row_number() OVER (PARTITION BY doc_id ORDER BY CASE signal WHEN 'negation' THEN 0 WHEN 'explicit_icu' THEN 1 WHEN 'equipment' THEN 2 WHEN 'procedure' THEN 3 WHEN 'staffing' THEN 4 ELSE 5 END, ord) - 1 AS rank FROM frag)
 SELECT rank::BIGINT AS rank, signal, count(*) AS n FROM r WHERE rank < 5 GROUP BY 1, 2""",
+    "q_incremental_regions": """
+WITH e AS (
+  SELECT event_type AS state, CASE WHEN user_id % 10 > 0 THEN 'u' || (user_id % 40) ELSE '(unassigned)' END AS district, event_id % 9 AS k, event_id % 101 AS c, least(100, greatest(0, floor(value))) AS s FROM events),
+r AS (
+  SELECT state, district, count(*) AS facility_count, count(*) FILTER (k = 0) AS trusted_icu_count, count(*) FILTER (k BETWEEN 3 AND 6) AS likely_gap_count, count(*) FILTER (k > 6) AS insufficient_data_count,
+    count(*) FILTER (k IN (1, 2)) AS needs_review_count, 100.0::DOUBLE * count(*) FILTER (c >= 45) / count(*) AS p, sum(s * c)::DOUBLE / nullif(sum(c), 0)::DOUBLE / 100.0::DOUBLE AS w FROM e GROUP BY 1, 2)
+SELECT state, district, facility_count, trusted_icu_count, likely_gap_count, insufficient_data_count, needs_review_count, round(p, 1) AS pct_sufficient_data, round(100.0::DOUBLE * trusted_icu_count / facility_count, 1) AS evidence_coverage_pct,
+  round(coalesce(w, 0), 3) AS trust_weighted_icu_coverage, CASE WHEN facility_count < 3 OR p < 40 THEN 'Insufficient data to assess' WHEN trusted_icu_count >= 1 THEN 'Trusted ICU evidence found' WHEN needs_review_count > 0 THEN 'Needs facility verification' ELSE 'Potential planning gap' END AS region_status
+FROM r""",
     "q_snapshot_latest": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'error'",
     "q_notes_scoped": "SELECT event_id AS id, event_type AS scope_type, props AS note FROM events WHERE event_type = 'purchase' AND user_id = 7",
     "q_note_checks": """

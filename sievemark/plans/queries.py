@@ -11,7 +11,7 @@ from sievemark.functions import text as txt
 from sievemark.plans import record_queries
 from sievemark.operators import audit, clean, evaluate, evidence, geography, ledger, profile, proposals, quotes, regions, review, sampling, scoring
 from sievemark.sources.tables import shared_folder
-from sievemark.policy import CLASSES, GAP, REVIEW, TRUSTED, EvidenceWeights, Keywords, Policy, Thresholds
+from sievemark.policy import CLASSES, GAP, INSUFFICIENT, REVIEW, TRUSTED, EvidenceWeights, Keywords, Policy, Thresholds
 
 QUERIES: dict = dict(record_queries.QUERIES)
 LICENCE, MAIL, NUMBER = "(?i)licen[sc]e", "@", "[0-9]{3}"
@@ -552,3 +552,33 @@ def q_incremental(spark, sf):
     events.repartition(3, F.dayofyear("ts")).write.parquet(f"{base}/in")
     scored_stream(file_stream(spark, f"{base}/in", events.schema, files_per_batch=1), score, valid, f"{base}/out", f"{base}/bad", f"{base}/state", "event_id").awaitTermination()
     return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(big(F.count(F.lit(1))).alias("n"), big(F.sum("score")).alias("total_score"))
+
+
+def _event_regions(df: DataFrame) -> DataFrame:
+    """Events as scored records of regions: type and group of users."""
+    kind = F.pmod("event_id", F.lit(9))
+    name = F.when(kind == 0, TRUSTED).when(kind < 3, REVIEW).when(kind < 7, GAP).otherwise(INSUFFICIENT)
+    return df.select(
+        "event_id", name.alias("classification"), F.pmod("event_id", F.lit(101)).cast("int").alias("data_completeness_score"), F.least(F.lit(100), F.greatest(F.lit(0), F.floor("value"))).cast("int").alias("capability_evidence_score"),
+        F.col("event_type").alias("state_final"), F.when(F.col("user_id") % 10 > 0, F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string"))).alias("district_final"),
+    )
+
+
+@query
+def q_incremental_regions(spark, sf):
+    """The regional rollup of a stream of files, some of which come twice, from the sums of its batches."""
+    import uuid
+
+    from sievemark.streaming.incremental import file_stream, id_range, scored_stream
+
+    base = f"{shared_folder(spark)}/regions-{uuid.uuid4().hex}"
+    events = table(spark, sf, "events")
+    events.repartition(4, F.floor(F.col("event_id") / 5000)).write.parquet(f"{base}/in")
+    events.where("event_id % 3 = 0").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    scored_stream(
+        file_stream(spark, f"{base}/in", events.schema, files_per_batch=2), _event_regions, lambda df: df.withColumn("valid", F.lit(True)), f"{base}/out", f"{base}/bad", f"{base}/state", "event_id",
+        slot=id_range("event_id", 1000), sums=regions.partial, partials=f"{base}/sums",
+    ).awaitTermination()
+    out = regions.merged(spark.read.parquet(f"{base}/sums"), "district")
+    counts = ("facility_count", "trusted_icu_count", "likely_gap_count", "insufficient_data_count", "needs_review_count")
+    return out.select("state", "district", *(big(F.col(c)).alias(c) for c in counts), "pct_sufficient_data", "evidence_coverage_pct", "trust_weighted_icu_coverage", "region_status")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -20,6 +20,31 @@ def _known(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+#: Ranges of ids that one batch names one by one; a batch that touches more reads the whole target.
+MOST_SLOTS = 10_000
+
+
+def id_range(id_column: str, ids: int = 1_000_000) -> Column:
+    """The range that a whole-number id lies in; each holds at most so many."""
+    return F.floor(F.col(id_column) / ids).cast("long")
+
+
+def _earlier(spark: SparkSession, target: str, ids: StructType, wanted: DataFrame, number: int) -> DataFrame:
+    """Ids that earlier batches have written to the ranges of ``wanted`` (a column ``slot``). Only the
+    folders of these ranges are listed and read, however long the history is."""
+    slots = [r["slot"] for r in wanted.select("slot").distinct().limit(MOST_SLOTS + 1).collect()]
+    if not slots:
+        return spark.createDataFrame([], ids)
+    names = ",".join("__HIVE_DEFAULT_PARTITION__" if x is None else str(x) for x in slots)
+    place = f"{target}/slot={{{names}}}/batch=*" if len(slots) <= MOST_SLOTS else f"{target}/slot=*/batch=*"
+    try:
+        return spark.read.option("basePath", target).schema(ids.add("batch", "long")).parquet(place).where(F.col("batch") != number)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], ids)
+
+
 def scored_stream(
     stream: DataFrame,
     score: Callable[[DataFrame], DataFrame],
@@ -28,6 +53,9 @@ def scored_stream(
     quarantine: str,
     checkpoint: str,
     id_column: str,
+    slot: Column | None = None,
+    sums: Callable[[DataFrame], DataFrame] | None = None,
+    partials: str | None = None,
 ) -> StreamingQuery:
     """Starts the job over what is there and stops when it is done.
 
@@ -35,6 +63,11 @@ def scored_stream(
     the target, named by its number, and is written over if it is tried again, so a batch that
     failed half-way adds nothing twice. Ids that the target holds from other batches are left out
     by an anti join, not by state that grows with the stream.
+
+    With ``slot`` (a number worked out from the id, see ``id_range``) the target is laid out by ranges
+    of ids, then batches, and a batch reads the ids of the ranges that it touches itself. With ``sums``
+    the new rows' mergeable sums go to ``partials``, a folder for each batch; whoever reads them adds
+    them up, so that totals of all batches cost no pass over the rows.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -43,12 +76,35 @@ def scored_stream(
         bad = marked.where(~F.coalesce("valid", F.lit(False)))
         bad.write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
         good = score(marked.where("valid").select(*batch.columns).dropDuplicates([id_column]))
-        done = _known(spark, target, StructType([*(f for f in good.schema if f.name == id_column)]).add("batch", "long")).where(F.col("batch") != number)
-        good.join(done.select(id_column), id_column, "left_anti").write.mode("overwrite").parquet(f"{target}/batch={number}")
+        ids = StructType([f for f in good.schema if f.name == id_column])
+        if slot is None:
+            done = _known(spark, target, StructType(ids.fields).add("batch", "long")).where(F.col("batch") != number)
+        else:
+            done = _earlier(spark, target, ids, batch.select(slot.alias("slot")), number)
+        new = good.join(done.select(id_column), id_column, "left_anti")
+        if slot is None:
+            new.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        else:
+            # folders of this batch's number alone are written over
+            laid = new.withColumns({"slot": slot, "batch": F.lit(number).cast("long")})
+            laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot", "batch").parquet(target)
+        if sums is not None:
+            own = spark.read.schema(new.schema).parquet(f"{target}/batch={number}") if slot is None else _written(spark, target, new.schema, number)
+            sums(own).write.mode("overwrite").parquet(f"{partials}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _written(spark: SparkSession, target: str, schema: StructType, number: int) -> DataFrame:
+    """The rows of one batch, from the ranges that it was laid out in."""
+    try:
+        return spark.read.option("basePath", target).schema(schema).parquet(f"{target}/slot=*/batch={number}")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def file_stream(spark: SparkSession, folder: str, schema: StructType, kind: str = "parquet", files_per_batch: int | None = None, pattern: str | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
     if files_per_batch:
