@@ -29,13 +29,18 @@ ALIASES = {
 }
 
 
+def position_status(y: Column, x: Column, missing: Column, policy: Policy = Policy()) -> Column:
+    """What is to be said of a position: missing (no text at all), unparseable, out_of_range or ok."""
+    outside = ((y == 0) & (x == 0)) | ~y.between(*policy.latitudes) | ~x.between(*policy.longitudes)
+    return F.when(missing, "missing").when(y.isNull() | x.isNull(), "unparseable").when(outside, "out_of_range").otherwise("ok")
+
+
 def coordinates(lat: Column, lon: Column, policy: Policy = Policy()) -> Column:
     """struct(lat, lon, status); values out of range are kept beside their status."""
 
     def status(v: Column) -> Column:
         y, x = v["y"], v["x"]
-        outside = ((y == 0) & (x == 0)) | ~y.between(*policy.latitudes) | ~x.between(*policy.longitudes)
-        name = F.when(v["missing"], "missing").when(y.isNull() | x.isNull(), "unparseable").when(outside, "out_of_range").otherwise("ok")
+        name = position_status(y, x, v["missing"], policy)
         both = y.isNotNull() & x.isNotNull()
         return F.struct(F.when(both, y).alias("lat"), F.when(both, x).alias("lon"), name.alias("status"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemark.functions.places import postal_code, with_state
@@ -87,16 +87,21 @@ def top_counts(df: DataFrame, column: str, k: int, width: int | None = None) ->
     return df.groupBy(name.alias(column)).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column).limit(k)
 
 
-def run_counters(before: DataFrame, after: DataFrame, scored: DataFrame) -> DataFrame:
-    """metric, value of one run of the build."""
-    a = before.agg(F.count(F.lit(1)).cast("double").alias("rows_in"))
-    b = after.agg(F.count(F.lit(1)).cast("double").alias("rows_out"))
-    c = scored.agg(
+def counters() -> list[Column]:
+    """What is counted of scored records, beside the rows that came in and went out."""
+    return [
         F.count_if("geo_conflict").cast("double").alias("geo_conflicts"),
         F.count("state_final").cast("double").alias("states_resolved"),
         F.count("district_final").cast("double").alias("districts_resolved"),
         F.round(F.avg("capability_evidence_score"), 1).alias("mean_evidence"),
         F.round(F.avg("data_completeness_score"), 1).alias("mean_completeness"),
-    )
+    ]
+
+
+def run_counters(before: DataFrame, after: DataFrame, scored: DataFrame) -> DataFrame:
+    """metric, value of one run of the build."""
+    a = before.agg(F.count(F.lit(1)).cast("double").alias("rows_in"))
+    b = after.agg(F.count(F.lit(1)).cast("double").alias("rows_out"))
+    c = scored.agg(*counters())
     long = lambda t: t.select(F.inline(F.array(*(F.struct(F.lit(x).alias("metric"), F.col(x).alias("value")) for x in t.columns))))
     return long(a).unionByName(long(b)).unionByName(long(c))
