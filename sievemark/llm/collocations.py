@@ -5,10 +5,11 @@ Only the longest windows are counted: each word with the words that follow it in
 then adds up every shorter prefix, so that phrases of each length, words and the number of all words
 come from one grouping, and no text is taken apart once for each length.
 
-Before that, two-word windows are counted by hash; a phrase can't occur ``least`` times if two of its
-neighbouring words don't, so windows are padded from the first pair on that is too rare. A bit array of
-bounded size says which pairs are frequent. It may call a rare one frequent, never the reverse, so it
-only saves work: the counts of all phrases with ``least`` occurrences or more are whole.
+Before that, windows of one, two and three words are counted by hash, one length after the other; a
+phrase can't occur ``least`` times if a run of its words doesn't, so windows are padded from the first
+such run on that is too rare. A bit array of bounded size for each length says which runs are frequent. It may call
+a rare one frequent, never the reverse, so it only saves work: the counts of all phrases with ``least``
+occurrences or more are whole.
 
 Defined results: a null text counts as empty, a null language as ``und``; rows with the same text are
 counted each. Texts of any length are taken whole: longer ones are read in parts that end where a
@@ -33,8 +34,10 @@ PIECE_BYTES = ~byte_class(PIECE_ENDS)
 WORDS = byte_class(PIECE_ENDS + WORD_ENDS)
 LOWER = np.arange(256, dtype="uint8")
 LOWER[ord("A") : ord("Z") + 1] += 32
-CHUNK_BYTES = 1 << 22
-#: Bits for each frequent pair, and most bits in all: 32 MB.
+CHUNK_BYTES = 1 << 21
+#: Windows of so many words at most are counted by hash beforehand.
+PRUNED = 3
+#: Bits for each frequent run of one length, and most bits of a length: 32 MB.
 BITS_EACH, LOG_MOST_BITS = 16, 28
 EXACT = "decimal(38,0)"
 
@@ -68,12 +71,24 @@ class Pieces:
         self.linked = np.zeros(words.n, bool)
         self.linked[:-1] = (text[1:] == text[:-1]) & (piece[1:] == piece[:-1])
 
-    def hashes(self, lang_hash: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each word in its language, and of it with the next (meaningless where there is none)."""
-        one = mix(self.words.hashes() ^ lang_hash[self.lang])
-        two = np.zeros(len(one), U)
-        two[:-1] = mix(one[:-1] * LEFT + one[1:] * RIGHT)
-        return one, two
+    def hashes(self, lang_hash: np.ndarray) -> np.ndarray:
+        """Of each word in its language."""
+        return mix(self.words.hashes() ^ lang_hash[self.lang])
+
+    def windows(self, lang_hash: np.ndarray, filters: list, longest: int):
+        """For k from 1 to ``longest``: the hashes of the windows of k words, and at which words one
+        begins that may be frequent, as far as the filters (of windows of up to so many words) tell."""
+        h = self.hashes(lang_hash)
+        on = np.ones(len(h), bool)
+        for k in range(1, longest + 1):
+            if k > 1:
+                h = np.append(mix(h[:-1] * LEFT + h[1:] * RIGHT), U(0))[: len(h)]
+                on = on & _ahead(on, 1, False)
+                if k == 2:
+                    on &= self.linked
+            if k <= len(filters):
+                on[on] = _set(*filters[k - 1], h[on])
+            yield h, on
 
     def strings(self) -> pa.Array:
         """The words, each distinct one stored once."""
@@ -94,16 +109,17 @@ def _languages(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return names, np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in names], U), coded.indices.to_numpy(zero_copy_only=False)
 
 
-def pair_hashes(docs: DataFrame, max_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Hashes of the windows of one and of two words (``h``), and how often each occurs (``n``)."""
+def run_hashes(docs: DataFrame, filters: list, max_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Hashes of the windows of one word more than the filters know (``h``), and how often each occurs
+    (``n``). Only windows whose parts may be frequent are counted."""
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches):
         for b in batches:
             _, lang_hash, lang = _languages(b.column(0))
             for lo, hi, data, offsets in parts(b.column(1), max_bytes):
-                pieces = Pieces(data, offsets, lang[lo:hi])
-                one, two = pieces.hashes(lang_hash)
-                h, n = np.unique(np.concatenate([one, two[pieces.linked]]), return_counts=True)
+                *_, (h, on) = Pieces(data, offsets, lang[lo:hi]).windows(lang_hash, shared.value, len(shared.value) + 1)
+                h, n = np.unique(h[on], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view("int64")), pa.array(n.astype("int64"))], names=["h", "n"])
 
     return docs.select("lang", "text").mapInArrow(run, "h long, n long")
@@ -117,7 +133,7 @@ def _slots(h: np.ndarray, log_bits: int) -> tuple[np.ndarray, np.ndarray]:
 def frequent_bits(counted: DataFrame, least: int, most_bits: int = LOG_MOST_BITS) -> tuple[int, np.ndarray]:
     """The bit array of the hashes that occur ``least`` times: its size as a power of two, and its bytes.
     Tasks set the bits of blocks of 32,768; only the blocks, of bounded size in all, come to the driver."""
-    often = stored(counted.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"), "pairs")
+    often = stored(counted.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"), "runs")
     log_bits = min(most_bits, max(15, (BITS_EACH * max(1, often.count()) - 1).bit_length()))
     mask = F.lit((1 << log_bits) - 1)
     slots = often.select(F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", 32).bitwiseAND(mask))).alias("slot"))
@@ -128,7 +144,7 @@ def frequent_bits(counted: DataFrame, least: int, most_bits: int = LOG_MOST_BITS
     return log_bits, out
 
 
-def _set(bits: np.ndarray, log_bits: int, h: np.ndarray) -> np.ndarray:
+def _set(log_bits: int, bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     a, b = _slots(h, log_bits)
     return ((bits[a >> U(3)] >> (a & U(7)).astype("uint8")) & (bits[b >> U(3)] >> (b & U(7)).astype("uint8")) & 1).astype(bool)
 
@@ -140,35 +156,24 @@ def _ahead(x: np.ndarray, k: int, rest) -> np.ndarray:
     return out
 
 
-def lead_windows(docs: DataFrame, longest: int, filter_: tuple[int, np.ndarray] | None = None, max_bytes: int = CHUNK_BYTES) -> DataFrame:
+def lead_windows(docs: DataFrame, longest: int, filters: list = (), max_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The longest window of every word: lang, w1 to w``longest`` (padded with empty words from the
-    end of the piece on, or from the first pair of rare words on), and how often it occurs (``n``).
+    end of the piece on, or from where the filters rule it out), and how often it occurs (``n``).
     Words that are rare themselves are windows of padding, so that all are counted."""
     columns = [f"w{k + 1}" for k in range(longest)]
-    shared = docs.sparkSession.sparkContext.broadcast(filter_) if filter_ else None
+    shared = docs.sparkSession.sparkContext.broadcast(list(filters))
 
     def run(batches):
-        log_bits, bits = shared.value if shared else (0, None)
         for b in batches:
             names, lang_hash, lang = _languages(b.column(0))
             for lo, hi, data, offsets in parts(b.column(1), max_bytes):
                 pieces = Pieces(data, offsets, lang[lo:hi])
-                n = pieces.words.n
-                if not n:
+                if not pieces.words.n:
                     continue
                 coded = pieces.strings()
                 here = coded.indices.to_numpy(zero_copy_only=False).astype("int32")
-                known, link = np.ones(n, bool), pieces.linked.copy()
-                if bits is not None:
-                    one, two = pieces.hashes(lang_hash)
-                    known = _set(bits, log_bits, one)
-                    link &= known & _ahead(known, 1, False)
-                    link[link] = _set(bits, log_bits, two[link])
                 # the lead columns: the number of the word k places on, or -1
-                lead, on = [np.where(known, here, -1)], known
-                for k in range(1, longest):
-                    on = on & _ahead(link, k - 1, False)
-                    lead.append(np.where(on, _ahead(here, k, -1), -1))
+                lead = [np.where(on, _ahead(here, k, -1), -1) for k, (_, on) in enumerate(pieces.windows(lang_hash, shared.value, longest))]
                 table = pa.table({"lang": pa.array(pieces.lang), **{c: pa.array(x) for c, x in zip(columns, lead)}})
                 counts = table.group_by(["lang", *columns]).aggregate([([], "count_all")])
                 # the last of the dictionary is the padding
@@ -185,9 +190,11 @@ def lead_windows(docs: DataFrame, longest: int, filter_: tuple[int, np.ndarray]
 
 def phrase_counts(docs: DataFrame, longest: int, least: int, max_bytes: int = CHUNK_BYTES, most_bits: int = LOG_MOST_BITS) -> DataFrame:
     """lang, words (0: all words of the language), phrase, f: phrases that occur ``least`` times or more."""
-    filter_ = frequent_bits(pair_hashes(docs, max_bytes), least, most_bits)
+    filters: list = []
+    for _ in range(min(PRUNED, longest)):
+        filters.append(frequent_bits(run_hashes(docs, filters, max_bytes), least, most_bits))
     columns = [f"w{k + 1}" for k in range(longest)]
-    summed = lead_windows(docs, longest, filter_, max_bytes).rollup("lang", *columns).agg(F.sum("n").alias("f"), F.grouping_id("lang", *columns).alias("g"))
+    summed = lead_windows(docs, longest, filters, max_bytes).rollup("lang", *columns).agg(F.sum("n").alias("f"), F.grouping_id("lang", *columns).alias("g"))
     # of ``longest`` columns the last ones are summed up: their bits are set
     words = F.lit(longest) - F.bit_count("g")
     last = F.coalesce(F.try_element_at(F.array(*columns), F.greatest(words, F.lit(1))), F.lit(""))
