@@ -2,7 +2,8 @@
 
 All within the row: the items of a record are an array, and every pattern is a literal expression
 over it, so nothing is shuffled and records of any number are scored where they lie. An item is
-scanned by a single alternation first; the patterns one by one only where that matched.
+searched for the patterns' literals first, then scanned by a single alternation; the patterns go one by
+one only where that matched.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievemark.functions.literals import folded, holds_any, required, required_by_any
 from sievemark.functions.text import any_of, cleaned, list_items, one, stripped
 from sievemark.policy import GENERAL_SUBTYPE, GROUPS, TEXT_FIELDS, Keywords, Policy
 
@@ -60,13 +62,13 @@ def sentence_window(text: Column, pattern: str) -> Column:
     return _once(F.regexp_extract(text, rf"(?iU)^([\s\S]*?)(?:{pattern})", 1), around)
 
 
-def _hits(item: Column, group: str, patterns: tuple[str, ...], windows: bool) -> Column:
+def _hits(item: Column, group: str, patterns: tuple[str, ...], windows: bool, low: Column) -> Column:
     text = item["text"]
     shown = lambda p: sentence_window(text, p) if windows else F.lit(None).cast("string")
     return F.array_compact(
         F.array(
             *(
-                F.when(text.rlike(one(p)), F.struct(item["field"].alias("field"), F.lit(group).alias("group"), F.lit(p).alias("pattern"), shown(p).alias("text")))
+                F.when(holds_any(low, required(p)) & text.rlike(one(p)), F.struct(item["field"].alias("field"), F.lit(group).alias("group"), F.lit(p).alias("pattern"), shown(p).alias("text")))
                 for p in patterns
             )
         )
@@ -75,17 +77,23 @@ def _hits(item: Column, group: str, patterns: tuple[str, ...], windows: bool) ->
 
 def all_fragments(items: Column, keywords: Keywords, windows: bool = True) -> Column:
     """Every match of every pattern, in order of items, groups and patterns. An item that denies
-    gives its denials and nothing else. Without ``windows`` the texts are null: enough to count."""
+    gives its denials and nothing else. Without ``windows`` the texts are null: enough to count.
+    Literals that the patterns can't do without are looked for first."""
     none = F.array().cast(FRAGMENTS)
-    positive = any_of([p for g in GROUPS for p in keywords.group(g)])
+    wanted = [p for g in GROUPS for p in keywords.group(g)]
 
     def of(item: Column) -> Column:
-        denied = item["text"].rlike(any_of(keywords.negation))
-        return (
-            F.when(denied, _hits(item, "negation", keywords.negation, windows))
-            .when(item["text"].rlike(positive), F.concat(*(_hits(item, g, keywords.group(g), windows) for g in GROUPS)))
-            .otherwise(none)
-        )
+        def with_low(low: Column) -> Column:
+            denied = holds_any(low, required_by_any(keywords.negation)) & item["text"].rlike(any_of(keywords.negation))
+            # the literals say enough where every pattern has one
+            some = holds_any(low, required_by_any(wanted)) & item["text"].rlike(any_of(wanted))
+            return (
+                F.when(denied, _hits(item, "negation", keywords.negation, windows, low))
+                .when(some, F.concat(*(_hits(item, g, keywords.group(g), windows, low) for g in GROUPS)))
+                .otherwise(none)
+            )
+
+        return _once(folded(item["text"]), with_low)
 
     return F.flatten(F.transform(items, of))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sievemark.plans.record_oracle import RECORD_SQL
+from sievemark import policy
 
 NULL_LIKE = "('', 'null', 'none', 'na', 'n/a', 'nan', '-', '--', '[]', '{}', 'unknown', '\"\"', '''''')"
 TRUSTED, GAP, INSUFFICIENT, REVIEW = "Trusted ICU Coverage", "Likely Medical Gap", "Insufficient Data", "Needs Human Review"
@@ -105,6 +106,29 @@ RULES = (
 )
 NAMES = "concat_ws(' ', CASE WHEN p_partkey % 5 = 0 THEN 'Dr.' WHEN p_partkey % 5 = 1 THEN 'City hospital' WHEN p_partkey % 5 = 2 THEN 'Lab' WHEN p_partkey % 7 = 3 THEN 'Dental hospital' END, p_name)"
 
+SENTENCES = (
+    "A 20 bed ICU, with ventilators and BiPAP", "Critical care team and central oxygen", "There is no intensive care here", "The NICU and PICU have a multipara monitor", "Lacks an ICU", "criticalcare, resuscitation; intubation", "Anaesthesiologist for the critical",
+    "mechanical   ventilation with CPAP, infusion pump", "a clinic", "CRITICAL\tCARE nurse, icu staff and an intensivist", "syringe pump; ECMO; defibrillator; oxygen pipeline",
+)
+
+
+def _bounded(pattern: str) -> str:
+    """A pattern whose word borders are those of all letters, for a dialect that knows ASCII only."""
+    p = pattern.replace("'", "''")
+    p = ("(?:^|[^\\pL\\pN_])" + p[2:]) if p.startswith("\\b") else p
+    p = (p[:-2] + "(?:$|[^\\pL\\pN_])") if p.endswith("\\b") else p
+    return f"(?i){p}"
+
+
+def _default_scan() -> str:
+    kw = policy.Policy().keywords
+    hit = lambda g, p: f"SELECT lang, '{g}' AS signal, '{p}' AS pattern FROM d WHERE {'denied' if g == 'negation' else 'NOT denied'} AND regexp_matches(t, '{_bounded(p)}')"
+    denied = " OR ".join(f"regexp_matches(t, '{_bounded(p)}')" for p in kw.negation)
+    parts = " UNION ALL ".join(hit(g, p) for g in (*policy.GROUPS, "negation") for p in kw.group(g))
+    said = ", ".join(f"'{x}'" for x in SENTENCES)
+    return f"WITH d AS (SELECT lang, t, {denied} AS denied FROM (SELECT lang, concat_ws(chr(10), text, [{said}][coalesce(n_chars, 0) % {len(SENTENCES)} + 1]) AS t FROM documents)) SELECT lang, signal, pattern, count(*) AS n FROM ({parts}) GROUP BY ALL"
+
+
 ORACLE_SQL = {
     **RECORD_SQL,
     "q_null_profile": " UNION ALL ".join((_profile("documents", ["text", "lang", "source"]), _profile("pages", ["url", "html"]), _profile("events", ["event_type", "props"]))),
@@ -263,6 +287,7 @@ FROM a FULL JOIN g ON a.id = g.id AND a.b = g.b GROUP BY 1, 2""",
 WITH q AS (SELECT item_id, array_to_string(regexp_extract_all(text, '[^ \\t-\\r]+'), ' ') AS quote FROM benchmark WHERE len(regexp_extract_all(text, '[^ \\t-\\r]+')) > 0),
 d AS (SELECT doc_id, array_to_string(regexp_extract_all(text, '[^ \\t-\\r]+'), ' ') AS words FROM documents WHERE text IS NOT NULL)
 SELECT item_id, doc_id, quote FROM q JOIN d ON contains(words, quote)""",
+    "q_default_scan": _default_scan(),
     "q_turn_checks": """
 SELECT CASE WHEN n > u THEN 'duplicate' WHEN l <> 0 OR m + 1 <> u THEN 'missing' ELSE 'complete' END AS state, n AS turns, count(*) AS n_conversations
 FROM (SELECT conv_id, count(*) AS n, count(DISTINCT turn) AS u, max(turn) AS m, min(turn) AS l FROM conversations GROUP BY 1) GROUP BY 1, 2""",

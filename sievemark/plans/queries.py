@@ -20,6 +20,10 @@ DOC_KEYWORDS = Keywords(
     explicit_icu=(r"licen[sc]e", r"copyright"), equipment=(r"[0-9]{3}-[0-9]{4}",), procedure=(r"https?://", r"version"), staffing=(r"[a-z]+@[a-z]+",), specialty_context=(r"public",),
     negation=(r"all\s+rights\s+reserved",),
 )
+SENTENCES = (
+    "A 20 bed ICU, with ventilators and BiPAP", "Critical care team and central oxygen", "There is no intensive care here", "The NICU and PICU have a multipara monitor", "Lacks an ICU", "criticalcare, resuscitation; intubation", "Anaesthesiologist for the critical",
+    "mechanical   ventilation with CPAP, infusion pump", "a clinic", "CRITICAL\tCARE nurse, icu staff and an intensivist", "syringe pump; ECMO; defibrillator; oxygen pipeline",
+)
 DOC_POLICY = Policy(evidence_weights=EvidenceWeights(), thresholds=Thresholds())
 
 
@@ -448,6 +452,16 @@ def q_quote_verify(spark, sf):
     return found.select(F.col("quote_id").alias("item_id"), F.col("text_id").alias("doc_id"), "quote")
 
 
+@query
+def q_default_scan(spark, sf):
+    """All patterns of the default policy over the documents' whole texts, each with a sentence about
+    equipment and units behind it, as the documents speak of none."""
+    said = F.element_at(F.array(*(F.lit(x) for x in SENTENCES)), (F.pmod(F.coalesce("n_chars", F.lit(0)), F.lit(len(SENTENCES))) + 1).cast("int"))
+    items = F.array(F.struct(F.lit("description").alias("field"), F.concat_ws("\n", "text", said).alias("text")))
+    found = table(spark, sf, "documents").select("lang", F.explode(evidence.all_fragments(items, Policy().keywords, windows=False)).alias("f"))
+    return found.groupBy("lang", F.col("f.group").alias("signal"), F.col("f.pattern").alias("pattern")).agg(big(F.count(F.lit(1))).alias("n"))
+
+
 @query
 def q_turn_checks(spark, sf):
     t = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("turn").alias("u"), F.max("turn").alias("m"), F.min("turn").alias("l"))
