@@ -194,7 +194,9 @@ def phrase_counts(docs: DataFrame, longest: int, least: int, max_bytes: int = CH
     for _ in range(min(PRUNED, longest)):
         filters.append(frequent_bits(run_hashes(docs, filters, max_bytes), least, most_bits))
     columns = [f"w{k + 1}" for k in range(longest)]
-    summed = lead_windows(docs, longest, filters, max_bytes).rollup("lang", *columns).agg(F.sum("n").alias("f"), F.grouping_id("lang", *columns).alias("g"))
+    # equal windows are added up first: the rollup then makes its rows of each distinct one, not of each task's
+    windows = lead_windows(docs, longest, filters, max_bytes).groupBy("lang", *columns).agg(F.sum("n").alias("n"))
+    summed = windows.rollup("lang", *columns).agg(F.sum("n").alias("f"), F.grouping_id("lang", *columns).alias("g"))
     # of ``longest`` columns the last ones are summed up: their bits are set
     words = F.lit(longest) - F.bit_count("g")
     last = F.coalesce(F.try_element_at(F.array(*columns), F.greatest(words, F.lit(1))), F.lit(""))
