@@ -79,5 +79,31 @@ def fingerprint(df: DataFrame, column: str) -> DataFrame:
     return named.select("n_rows", F.substring(F.sha2("_t", 256), 1, 12).alias("digest"), F.concat_ws("-", F.col("n_rows").cast("string"), F.substring(F.sha2("_t", 256), 1, 12)).alias("data_snapshot_id"))
 
 
+def range_fingerprints(df: DataFrame, columns: list[str], range_of: Column) -> DataFrame:
+    """One row for each range of keys: its number of rows, and two sums over its rows of numbers cut from
+    a hash of the whole row. Neither order nor partitions matter, equal rows count each, and the sums of
+    parts of a table add up (see ``merged_fingerprints``). Null and empty text differ."""
+    cell = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~"))
+    digest = F.md5(F.concat_ws("\x1f", *(cell(c) for c in columns)))
+    # sixty bits each: a sum passes 64 bits, so it is kept as a decimal
+    number = lambda at: F.conv(F.substring("_d", at, 15), 16, 10).cast("decimal(38,0)")
+    rows = df.select(range_of.alias("key_range"), digest.alias("_d"))
+    return rows.groupBy("key_range").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(number(1)).alias("sum_a"), F.sum(number(16)).alias("sum_b"))
+
+
+def merged_fingerprints(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("key_range").agg(*(F.sum(c).alias(c) for c in ("n_rows", "sum_a", "sum_b")))
+
+
+def drifted_ranges(saved: DataFrame, current: DataFrame) -> DataFrame:
+    """key_range, n_saved, n_now, drift: ``same``, ``changed``, ``added`` or ``removed`` between two tables
+    of range fingerprints."""
+    a = saved.select(F.col("key_range").alias("_k"), F.col("n_rows").alias("n_saved"), F.struct("n_rows", "sum_a", "sum_b").alias("_saved"))
+    b = current.select("key_range", F.col("n_rows").alias("n_now"), F.struct("n_rows", "sum_a", "sum_b").alias("_now"))
+    both = a.hint("merge").join(b, F.col("_k").eqNullSafe(F.col("key_range")), "full_outer")
+    drift = F.when(F.col("_saved").isNull(), "added").when(F.col("_now").isNull(), "removed").when(F.col("_saved") == F.col("_now"), "same").otherwise("changed")
+    return both.select(F.coalesce("key_range", "_k").alias("key_range"), F.coalesce("n_saved", F.lit(0)).alias("n_saved"), F.coalesce("n_now", F.lit(0)).alias("n_now"), drift.alias("drift"))
+
+
 def row_hash(columns: list[str], digits: int = 16) -> Column:
     return F.substring(F.sha2(F.to_json(F.struct(*columns)), 256), 1, digits)

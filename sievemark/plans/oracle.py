@@ -322,6 +322,17 @@ SELECT CASE WHEN scope_type = 'planet' THEN 'unknown scope type' WHEN blank THEN
     "q_fingerprint": """
 WITH c AS (SELECT coalesce(o_orderstatus, '') AS k, count(*) AS n FROM orders GROUP BY 1), t AS (SELECT sum(n)::BIGINT AS n_rows, left(sha256(string_agg(k || '=' || n, ';' ORDER BY k)), 12) AS digest FROM c)
 SELECT n_rows, digest, n_rows || '-' || digest AS data_snapshot_id FROM t""",
-    "q_drift": "SELECT DISTINCT o_orderpriority AS id, CASE WHEN o_orderpriority LIKE '1%' THEN 'old' ELSE 'x' END AS data_snapshot_id, o_orderpriority LIKE '1%' AS stale FROM orders",
+    "q_drift": """
+WITH c AS (SELECT id, coalesce(v, '') AS k, count(*) AS n FROM (SELECT 'o_orderstatus' AS id, o_orderstatus AS v FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders) GROUP BY ALL),
+t AS (SELECT id, sum(n)::BIGINT || '-' || left(sha256(string_agg(k || '=' || n, ';' ORDER BY k)), 12) AS data_snapshot_id FROM c GROUP BY id)
+SELECT id, data_snapshot_id, data_snapshot_id <> (SELECT data_snapshot_id FROM t WHERE id = 'o_orderstatus') AS stale FROM t""",
+    "q_drift_ranges": """
+WITH a AS (SELECT (o_orderkey // 500)::BIGINT AS r, count(*) AS n, list(o_orderkey ORDER BY o_orderkey) AS l FROM orders GROUP BY 1),
+b AS (SELECT (k // 500)::BIGINT AS r, count(*) AS n, list(k ORDER BY k) AS l FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem) GROUP BY 1)
+SELECT coalesce(a.r, b.r) AS key_range, coalesce(a.n, 0) AS n_saved, coalesce(b.n, 0) AS n_now, CASE WHEN a.r IS NULL THEN 'added' WHEN b.r IS NULL THEN 'removed' WHEN a.l = b.l THEN 'same' ELSE 'changed' END AS drift FROM a FULL JOIN b ON a.r = b.r""",
+    "q_run_compatibility": """
+SELECT field, recorded, current, count(*) AS n FROM (
+  SELECT unnest([{'field': 'o_orderpriority', 'recorded': o_orderpriority, 'current': '1-URGENT'}, {'field': 'o_orderstatus', 'recorded': o_orderstatus, 'current': 'O'}, {'field': 'year', 'recorded': year(o_orderdate)::VARCHAR, 'current': '1995'}], recursive := true)
+  FROM orders WHERE o_orderkey % 50 = 7) WHERE recorded IS DISTINCT FROM current GROUP BY ALL""",
     "q_incremental": "SELECT event_type, count(*) AS n, sum(least(100, greatest(0, floor(value))))::BIGINT AS total_score FROM events WHERE event_type <> 'error' GROUP BY 1",
 }

@@ -541,9 +541,30 @@ def q_fingerprint(spark, sf):
 
 @query
 def q_drift(spark, sf):
-    saved = table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n")).select(F.col("o_orderpriority").alias("id"), F.when(F.col("o_orderpriority").startswith("1"), F.lit("old")).otherwise(F.lit("x")).alias("data_snapshot_id"))
-    now = table(spark, sf, "orders").agg(F.when(F.count(F.lit(1)) > 0, "x").alias("data_snapshot_id"))
-    return ledger.drifted(saved, now)
+    """Snapshots with the data they were saved on: one of the orders as they are, one of another column."""
+    orders = table(spark, sf, "orders")
+    saved = union([ledger.fingerprint(orders, c).select(F.lit(c).alias("id"), "data_snapshot_id") for c in ("o_orderstatus", "o_orderpriority")])
+    return ledger.drifted(saved, ledger.fingerprint(orders, "o_orderstatus"))
+
+
+@query
+def q_drift_ranges(spark, sf):
+    """Which ranges of order keys differ between the orders and the keys of their lines."""
+    wide = lambda c: F.floor(F.col(c) / 500).cast("bigint")
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k")).distinct()
+    halves = [ledger.range_fingerprints(orders.where(f"k % 2 = {i}"), ["k"], wide("k")) for i in (0, 1)]
+    out = ledger.drifted_ranges(ledger.merged_fingerprints(union(halves)), ledger.range_fingerprints(lines, ["k"], wide("k")))
+    return out.select("key_range", big(F.col("n_saved")).alias("n_saved"), big(F.col("n_now")).alias("n_now"), "drift")
+
+
+@query
+def q_run_compatibility(spark, sf):
+    """What forbids each customer's last order to go on with the settings of the newest."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", F.year("o_orderdate").cast("string").alias("year"))
+    manifest = o.where("o_orderkey % 50 = 7")
+    out = proposals.incompatibilities(manifest, {"o_orderpriority": "1-URGENT", "o_orderstatus": "O", "year": "1995"})
+    return out.groupBy("field", "recorded", "current").agg(big(F.count(F.lit(1))).alias("n"))
 
 
 @query

@@ -260,6 +260,19 @@ SELECT CASE WHEN class IN ('{TRUSTED}', '{GAP}') THEN 'resolved' ELSE 'unresolve
     "q_policy_change": f"""{WITH}
 SELECT class AS classification, CASE WHEN denied THEN '{REVIEW}' WHEN k < 50 THEN '{INSUFFICIENT}' WHEN e >= 60 AND suspicious THEN '{REVIEW}' WHEN e >= 60 AND NOT explicit THEN '{REVIEW}' WHEN e >= 60 AND n_cats >= 2 THEN '{TRUSTED}'
   WHEN e >= 60 AND described AND n_cats >= 1 THEN '{TRUSTED}' WHEN e >= 60 THEN '{REVIEW}' WHEN e <= 20 THEN '{GAP}' ELSE '{REVIEW}' END AS other_classification, count(*) AS n FROM judged GROUP BY 1, 2""",
+    "q_extractors": f"""{WITH}, w AS (SELECT unique_id, string_agg(x, '+' ORDER BY x) AS found FROM (SELECT unique_id, concat_ws(':', field, grp, pattern) AS x FROM frag) GROUP BY 1)
+SELECT x AS extractor, unique_id, e AS evidence, class AS classification, n_fragments, coalesce(found, '') AS found FROM judged LEFT JOIN w USING (unique_id), (VALUES ('keywords'), ('arrow')) v(x)""",
+    "q_run_summary": f"""{WITH}, r AS (
+  SELECT *, CASE quality WHEN 1 THEN '{TRUSTED}' WHEN 0 THEN '{GAP}' END AS h, CASE WHEN lang <> 'de' THEN CASE WHEN denied THEN '{REVIEW}' WHEN k < 50 THEN '{INSUFFICIENT}' WHEN e >= 60 AND suspicious THEN '{REVIEW}' WHEN e >= 60 AND NOT explicit THEN '{REVIEW}' WHEN e >= 60 AND n_cats >= 2 THEN '{TRUSTED}'
+    WHEN e >= 60 AND described AND n_cats >= 1 THEN '{TRUSTED}' WHEN e >= 60 THEN '{REVIEW}' WHEN e <= 20 THEN '{GAP}' ELSE '{REVIEW}' END END AS m FROM judged),
+n AS (
+  SELECT count(*) AS rows, count(m) AS model_pairs, round(100.0 * avg((class = m)::INT), 1) AS model_agreement_pct, count(h) AS human_pairs, round(100.0 * avg((class = h)::INT), 1) AS human_agreement_pct,
+    count(*) FILTER (class = '{TRUSTED}' AND h <> '{TRUSTED}') AS false_trusted, count(*) FILTER (class = '{GAP}' AND h <> '{GAP}') AS false_gap, avg(capacity) AS mean_latency_ms, sum(capacity) AS total_latency_ms,
+    count(*) FILTER (geo_conflict) AS errors, count(*) FILTER (lang = 'fr') AS quarantined FROM r),
+q AS (SELECT rows + errors AS requested, errors, round(100.0 * errors / (rows + errors), 1) AS error_pct FROM n)
+SELECT 'run' AS section, metric, round(value, 3)::DOUBLE AS value FROM (SELECT COLUMNS(*)::DOUBLE FROM n) UNPIVOT INCLUDE NULLS (value FOR metric IN (COLUMNS(*)))
+UNION ALL SELECT 'requests', metric, round(value, 3)::DOUBLE FROM (SELECT COLUMNS(*)::DOUBLE FROM q) UNPIVOT INCLUDE NULLS (value FOR metric IN (COLUMNS(*)))
+UNION ALL SELECT 'subtypes', s, count(*)::DOUBLE FROM (SELECT unnest(subtypes) AS s FROM judged) GROUP BY ALL""",
     "q_policy_sweep": SWEEP,
     "q_policy_moves": f"""WITH s AS ({SWEEP})
 SELECT o.policy, b.classification, o.classification AS other_classification, count(*) AS n FROM s b JOIN s o ON o.unique_id = b.unique_id AND b.policy = 'present' AND o.policy <> 'present' GROUP BY ALL""",

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark.functions.places import coordinates
-from sievemark.operators import audit, clean, evaluate, geography, proposals, regions, report, review, sampling, scoring, signals
+from sievemark.operators import audit, clean, evaluate, extractors, geography, proposals, regions, report, review, sampling, scoring, signals
 from sievemark.operators.profile import directory_profile, facility_profile, indicator_profile, run_counters
 from sievemark.policy import EvidenceWeights, Keywords, Policy, Thresholds
 from sievemark.sources.tables import written
@@ -214,6 +214,32 @@ def q_policy_moves(spark, sf):
     return signals.moves(signals.scored_under(book, POLICIES), "present")
 
 
+@query
+def q_extractors(spark, sf):
+    """The records by the engine's keyword scan and by a plug-in over Arrow batches."""
+    plugin = extractors.plugged(extractors.keyword_plugin(RECORD_POLICY.keywords), RECORD_POLICY, listed=True)
+    out = None
+    for name, extractor in (("keywords", None), ("arrow", plugin)):
+        s = scoring.scored(records(spark, sf), RECORD_POLICY, extractor, listed=True)
+        one = s.select(F.lit(name).alias("extractor"), "unique_id", big(F.col("capability_evidence_score")).alias("evidence"), "classification", big(F.size("fragments")).alias("n_fragments"), joined(F.array_sort(F.transform("fragments", lambda f: F.concat_ws(":", f["field"], f["group"], f["pattern"])))).alias("found"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def q_run_summary(spark, sf):
+    """An evaluation run over the records: agreement with another policy's classes and with the labels."""
+    rows = written(scoring.what_if(judged(spark, sf), OTHER_THRESHOLDS).select("unique_id", "classification", "other_classification", "number_doctors_int", "icu_subtypes", "capacity_int", "geo_conflict", "organization_type"), "run")
+    human = F.when(F.col("number_doctors_int") == 1, "Trusted ICU Coverage").when(F.col("number_doctors_int") == 0, "Likely Medical Gap").otherwise("")
+    run = rows.select("classification", F.when(F.col("organization_type") != "de", F.col("other_classification")).alias("model_classification"), human.alias("human_label"), F.col("capacity_int").cast("double").alias("latency_ms"))
+    s = evaluate.run_summary(run, rows.where("geo_conflict"), rows.where("organization_type = 'fr'"))
+    e = evaluate.error_rate(rows, rows.where("geo_conflict"))
+    numbers = ("rows", "model_pairs", "model_agreement_pct", "human_pairs", "human_agreement_pct", "false_trusted", "false_gap", "mean_latency_ms", "total_latency_ms", "errors", "quarantined")
+    cells = lambda t, section, names: t.select(F.inline(F.array(*(F.struct(F.lit(section).alias("section"), F.lit(n).alias("metric"), F.round(F.col(n).cast("double"), 3).alias("value")) for n in names))))
+    kinds = evaluate.subtype_distribution(rows).select(F.lit("subtypes").alias("section"), F.col("subtype").alias("metric"), F.col("n").cast("double").alias("value"))
+    return cells(s, "run", numbers).unionByName(cells(e, "requests", ("requested", "errors", "error_pct"))).unionByName(kinds)
+
+
 @query
 def q_district_centroids(spark, sf):
     rows = judged_once(spark, sf)
