@@ -78,9 +78,8 @@ def with_state(df: DataFrame, source: str, state: str, method: str, states: tupl
     keyed = df.withColumn("_key", state_key(F.col(source)))
     # the dimension has a few dozen rows, whatever the data
     joined = keyed.join(F.broadcast(names.withColumnsRenamed({"state_key": "_k", "state": "_s", "state_method": "_m"})), F.col("_key") == F.col("_k"), "left")
-    suffix = F.lit(None).cast("string")
-    for name in reversed(states):
-        suffix = F.when(F.col("_key").endswith(" " + _key_of(name)), F.lit(name)).otherwise(suffix)
+    ends = F.array(*(F.struct(F.lit(" " + _key_of(x)).alias("end"), F.lit(x).alias("name")) for x in states))
+    suffix = F.get(F.filter(ends, lambda x: F.endswith(F.col("_key"), x["end"])), F.lit(0))["name"]
     found = F.coalesce(F.col("_s"), suffix)
     how = F.when(F.col("_s").isNotNull(), F.col("_m")).when(suffix.isNotNull(), "suffix").otherwise("none")
     return joined.withColumns({state: found, method: how}).drop("_key", "_k", "_s", "_m")

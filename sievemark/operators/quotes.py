@@ -23,7 +23,7 @@ RUN, EDGE, MARKS = 3, 3, 1 << 18
 
 def words(c: Column) -> Column:
     """The words of a text; none of a blank or null one."""
-    return F.array_remove(F.split(F.coalesce(stripped(c), F.lit("")), r"(?U)\s+"), "")
+    return F.array_remove(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), "")
 
 
 def _run(w: Column, n: int):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sievemark.functions import text as txt
 from sievemark.plans import record_queries
 from sievemark.operators import audit, clean, evaluate, evidence, geography, ledger, profile, proposals, quotes, regions, review, sampling, scoring
-from sievemark.sources.tables import shared_folder
+from sievemark.sources.tables import shared_folder, spread
 from sievemark.policy import CLASSES, GAP, INSUFFICIENT, REVIEW, TRUSTED, EvidenceWeights, Keywords, Policy, Thresholds
 
 QUERIES: dict = dict(record_queries.QUERIES)
@@ -169,7 +169,7 @@ def q_lookup_fallback(spark, sf):
 
 
 def _doc_fragments(spark, sf, windows: bool = True) -> DataFrame:
-    d = table(spark, sf, "documents").where(F.col("text").isNotNull())
+    d = spread(table(spark, sf, "documents").select("doc_id", "lang", "text")).where(F.col("text").isNotNull())
     items = F.array(F.struct(F.lit("description").alias("field"), F.col("text").alias("text")))
     return d.select("doc_id", "lang", evidence.all_fragments(items, DOC_KEYWORDS, windows).alias("found"))
 
@@ -448,7 +448,7 @@ def q_quote_verify(spark, sf):
     """Passages of the benchmark that stand in documents as a whole, whatever the white space and
     wherever they begin and end."""
     quoted = table(spark, sf, "benchmark").select("item_id", proposals.collapsed(F.col("text")).alias("quote"))
-    found = quotes.found_quotes(quoted, table(spark, sf, "documents").select("doc_id", "text"), "item_id", "quote", "doc_id", "text")
+    found = quotes.found_quotes(quoted, spread(table(spark, sf, "documents").select("doc_id", "text")), "item_id", "quote", "doc_id", "text")
     return found.select(F.col("quote_id").alias("item_id"), F.col("text_id").alias("doc_id"), "quote")
 
 
@@ -458,7 +458,7 @@ def q_default_scan(spark, sf):
     equipment and units behind it, as the documents speak of none."""
     said = F.element_at(F.array(*(F.lit(x) for x in SENTENCES)), (F.pmod(F.coalesce("n_chars", F.lit(0)), F.lit(len(SENTENCES))) + 1).cast("int"))
     items = F.array(F.struct(F.lit("description").alias("field"), F.concat_ws("\n", "text", said).alias("text")))
-    found = table(spark, sf, "documents").select("lang", F.explode(evidence.all_fragments(items, Policy().keywords, windows=False)).alias("f"))
+    found = spread(table(spark, sf, "documents").select("lang", "text", "n_chars")).select("lang", F.explode(evidence.all_fragments(items, Policy().keywords, windows=False)).alias("f"))
     return found.groupBy("lang", F.col("f.group").alias("signal"), F.col("f.pattern").alias("pattern")).agg(big(F.count(F.lit(1))).alias("n"))
 
 

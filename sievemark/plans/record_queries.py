@@ -14,7 +14,7 @@ from sievemark.functions.places import coordinates
 from sievemark.operators import audit, clean, evaluate, extractors, geography, proposals, regions, report, review, sampling, scoring, signals
 from sievemark.operators.profile import directory_profile, facility_profile, indicator_profile, run_counters
 from sievemark.policy import EvidenceWeights, Keywords, Policy, Thresholds
-from sievemark.sources.tables import written
+from sievemark.sources.tables import spread, written
 
 QUERIES: dict = {}
 #: Keyword groups for documents, in place of the facility vocabulary.
@@ -55,7 +55,7 @@ def joined(c: Column) -> Column:
 def records(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as records: the text as description, lines that hold a mail address, a link or a
     number as the list fields, and facts from the labels."""
-    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    d = spread(table(spark, sf, "documents")).join(table(spark, sf, "labels"), "doc_id", "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     having = lambda p: F.filter(lines, lambda x: x.rlike(p))
     size = F.coalesce("n_chars", F.lit(0))
@@ -282,7 +282,7 @@ def q_text_blocks(spark, sf):
 
 def directory(spark: SparkSession, sf: str) -> DataFrame:
     """The order lines as a postal directory, all text: parts as codes, some of them unreadable."""
-    lines = table(spark, sf, "lineitem")
+    lines = spread(table(spark, sf, "lineitem").select("l_partkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity"))
     state = F.when(F.col("l_returnflag") == "A", "KERALA").when(F.col("l_returnflag") == "N", "Orissa").otherwise("Government of Delhi")
     return lines.select(
         F.concat(F.when(F.col("l_linenumber") == 7, "x").otherwise(""), (F.lit(600000) + F.col("l_partkey") % 300000).cast("string")).alias("pincode"), state.alias("statename"),

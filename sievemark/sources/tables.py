@@ -85,6 +85,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer pieces than the cluster has cores (one file of one row group, say) dealt out to
+    all of them, for work that costs more than moving the rows once. A scan of more is left as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written in the shared folder and read back: worked out once, however often it is used, and
     kept when executors are lost."""
