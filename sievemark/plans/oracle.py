@@ -322,6 +322,9 @@ SELECT CASE WHEN scope_type = 'planet' THEN 'unknown scope type' WHEN blank THEN
     "q_fingerprint": """
 WITH c AS (SELECT coalesce(o_orderstatus, '') AS k, count(*) AS n FROM orders GROUP BY 1), t AS (SELECT sum(n)::BIGINT AS n_rows, left(sha256(string_agg(k || '=' || n, ';' ORDER BY k)), 12) AS digest FROM c)
 SELECT n_rows, digest, n_rows || '-' || digest AS data_snapshot_id FROM t""",
+    "q_round_trips": """
+SELECT sink, count(*) FILTER (k = 0 OR (k = 1 AND c_custkey % 10 > 0) OR (k = 2 AND c_custkey % 10 = 0)) AS n, CASE WHEN k = 2 THEN 'skipped' ELSE 'same' END AS drift
+FROM customer, (VALUES ('parquet', 0), ('labels', 0), ('json lines', 0), ('torn lines', 1), ('torn lines, by schema', 1), ('torn', 2)) v(sink, k) GROUP BY sink, k""",
     "q_drift": """
 WITH c AS (SELECT id, coalesce(v, '') AS k, count(*) AS n FROM (SELECT 'o_orderstatus' AS id, o_orderstatus AS v FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders) GROUP BY ALL),
 t AS (SELECT id, sum(n)::BIGINT || '-' || left(sha256(string_agg(k || '=' || n, ';' ORDER BY k)), 12) AS data_snapshot_id FROM c GROUP BY id)

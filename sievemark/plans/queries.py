@@ -617,3 +617,35 @@ def q_incremental_regions(spark, sf):
     out = regions.merged(spark.read.parquet(f"{base}/sums"), "district")
     counts = ("facility_count", "trusted_icu_count", "likely_gap_count", "insufficient_data_count", "needs_review_count")
     return out.select("state", "district", *(big(F.col(c)).alias(c) for c in counts), "pct_sufficient_data", "evidence_coverage_pct", "trust_weighted_icu_coverage", "region_status")
+
+
+@query
+def q_round_trips(spark, sf):
+    """The customers through every sink and back: how many come back, and whether all rows are the same."""
+    import uuid
+
+    from sievemark.sources import tables
+
+    base = f"{shared_folder(spark)}/trips-{uuid.uuid4().hex}"
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", F.when(F.col("c_custkey") % 3 > 0, F.concat(F.lit('a "b", \\ '), "c_name")).alias("note"))
+    names = c.columns
+    text = c.select(*(F.coalesce(F.col(n).cast("string"), F.lit("")).alias(n) for n in names))
+    key = F.lit(0).cast("bigint")
+    tables.write_tables({"facilities_scored": c}, base)
+    tables.write_labels(text, f"{base}/labels")
+    tables.append_json(c.where("c_custkey % 2 = 0"), f"{base}/lines")
+    tables.append_json(c.where("c_custkey % 2 = 1"), f"{base}/lines")
+    # every tenth line is torn in the middle
+    lines = c.select(F.to_json(F.struct(*names)).alias("value"), "c_custkey")
+    lines.select(F.when(F.col("c_custkey") % 10 == 0, F.substring("value", 1, 25)).otherwise(F.col("value")).alias("value")).write.text(f"{base}/torn")
+    whole, torn = tables.split_json_lines(spark, f"{base}/torn", c.schema)
+    back = {
+        "parquet": (c, tables.source(spark, "files", base)("facilities_scored")), "labels": (text, tables.read_labels(spark, f"{base}/labels")), "json lines": (c, tables.json_lines(spark, f"{base}/lines", c.schema)),
+        "torn lines": (c.where("c_custkey % 10 > 0"), whole), "torn lines, by schema": (c.where("c_custkey % 10 > 0"), tables.json_lines(spark, f"{base}/torn", c.schema)),
+    }
+    out = []
+    for sink, (before, after) in back.items():
+        d = ledger.drifted_ranges(ledger.range_fingerprints(before, names, key), ledger.range_fingerprints(after.select(*names), names, key))
+        out.append(d.select(F.lit(sink).alias("sink"), big(F.col("n_now")).alias("n"), "drift"))
+    out.append(torn.agg(big(F.count(F.lit(1))).alias("n")).select(F.lit("torn").alias("sink"), "n", F.lit("skipped").alias("drift")))
+    return union(out)

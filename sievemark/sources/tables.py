@@ -141,6 +141,17 @@ def json_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
     return _there(lambda: spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path), path)
 
 
+def split_json_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(rows of the schema, torn or malformed lines as ``line``). Files are read by ranges of bytes, so a
+    large one is shared by many tasks, and a torn last line costs the line alone; blank lines are passed
+    over. Fields may be missing, as in ``json_lines``."""
+    kept = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    marked = T.StructType([*kept.fields, T.StructField("_torn", T.StringType())])
+    lines = _there(lambda: spark.read.text(path), path).where(F.trim("value") != "")
+    read = lines.select(F.from_json("value", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_torn"}).alias("r"))
+    return read.where(F.col("r._torn").isNull()).select("r.*").drop("_torn"), read.where(F.col("r._torn").isNotNull()).select(F.col("r._torn").alias("line"))
+
+
 def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 

@@ -106,3 +106,20 @@ def test_raw_files_as_tables_and_their_hash(spark, tmp_path):
 def test_region_labels(spark):
     df = spark.createDataFrame([("Goa", "North Goa"), ("Goa", None)], "state string, district string")
     assert [r[0] for r in df.select(region_label(F.col("state"), F.col("district"))).collect()] == ["Goa / North Goa", "Goa"]
+
+
+def test_torn_lines_of_a_split_file_are_skipped_and_counted(spark, tmp_path):
+    lines = [f'{{"k": {i}, "v": "{"x" * 50}"}}' for i in range(2000)]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines) + "\n\n" + lines[0][:30])
+    (tmp_path / "b.jsonl").write_text('{"k": "no number"}\nnull nonsense\n{"k": 5000}\n{}\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows, torn = tables.split_json_lines(spark, str(tmp_path), "k long, v string")
+        assert rows.rdd.getNumPartitions() > 5
+        keys = sorted((r["k"] is None, r["k"]) for r in rows.collect())
+        assert [k for _, k in keys] == [*range(2000), 5000, None]
+        assert sorted(r["line"] for r in torn.collect()) == sorted([lines[0][:30], '{"k": "no number"}', "null nonsense"])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    with pytest.raises(tables.MissingInput):
+        tables.split_json_lines(spark, str(tmp_path / "none"), "k long")

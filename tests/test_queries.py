@@ -1,4 +1,5 @@
-"""Every registered query against its SQL on the smallest tables."""
+"""Every registered query against its SQL on the smallest tables, and some on larger ones, where texts
+hold more odd cases."""
 
 import os
 
@@ -8,19 +9,29 @@ import __spark_entry__
 from sievemark.plans.oracle import ORACLE_SQL
 from sievemark.plans.queries import QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+ON_LARGER = ("q_quote_verify", "q_report", "q_policy_sweep", "q_extractors", "q_modal_rollup", "q_incremental_regions")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-@pytest.fixture(scope="module")
-def duck():
+def tables_of(folder):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
     for t in TABLES:
-        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+        con.sql(f"create view {t} as select * from '{folder}/{t}.parquet'")
     return con
 
 
+@pytest.fixture(scope="module")
+def duck():
+    return tables_of(SF)
+
+
+@pytest.fixture(scope="module")
+def larger():
+    return tables_of(LARGER)
+
+
 def canonical(df):
     columns = sorted(df.columns)
     out = df[columns].astype(object).where(df[columns].notna(), None)
@@ -40,6 +51,12 @@ def test_query(spark, duck, name):
     assert canonical(mine) == canonical(theirs)
 
 
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="no test tables")
+@pytest.mark.parametrize("name", ON_LARGER)
+def test_query_on_larger_tables(spark, larger, name):
+    assert canonical(QUERIES[name](spark, LARGER).toPandas()) == canonical(larger.sql(ORACLE_SQL[name]).df())
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
