@@ -1,5 +1,6 @@
 import hashlib
 import math
+import os
 import re
 from collections import Counter
 
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievemark.llm import chat_format, collocations, hard_negatives
+from sievemark.llm.queries import ORACLE_SQL, QUERIES
 
 
 def phrases(docs, longest, least, top):
@@ -148,3 +150,16 @@ def test_turn_order_machine():
     assert state("system", "user", "assistant", "user", "assistant") == "assistant"
     assert state("system", "user") == "user" and state("user", "system", "user", "assistant") == "bad"
     assert all(state(*x) == "bad" for x in (["assistant"], ["system", "system"], ["user", "user"], ["user", "tool"]))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("name", ["op11_phrase_collocations", "op12_hard_negatives", "op13_chat_format"])
+def test_queries_say_what_their_sql_says(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    con, folder = duckdb.connect(), "/root/testdata/sf0.001"
+    for t in ("documents", "embeddings", "conversations"):
+        con.sql(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    mine, theirs = QUERIES[name](spark, folder).toPandas(), con.sql(ORACLE_SQL[name]).df()
+    columns = sorted(mine.columns)
+    assert columns == sorted(theirs.columns)
+    assert sorted(map(tuple, mine[columns].values.tolist())) == sorted(map(tuple, theirs[columns].values.tolist()))
