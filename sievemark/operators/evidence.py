@@ -136,18 +136,16 @@ def consistency_flags(explicit: Column, beds: Column, capacity: Column) -> Colum
     )
 
 
+# Stored names of what a record lacks, in order.
+MISSING = (
+    "no description text", "no explicit ICU / intensive-care claim", "no ICU-relevant equipment mentioned", "no ICU-relevant procedures mentioned", "no critical-care staffing information", "no ICU bed count",
+)
+
+
 def missing_evidence(items: Column, explicit: Column, signals: dict[str, Column], beds: Column) -> Column:
     described = F.exists(items, lambda x: x["field"] == "description")
-    return F.array_compact(
-        F.array(
-            F.when(~described, F.lit("no description text")),
-            F.when(~explicit, F.lit("no explicit ICU / intensive-care claim")),
-            F.when(F.size(signals["equipment"]) == 0, F.lit("no ICU-relevant equipment mentioned")),
-            F.when(F.size(signals["procedure"]) == 0, F.lit("no ICU-relevant procedures mentioned")),
-            F.when(F.size(signals["staffing"]) == 0, F.lit("no critical-care staffing information")),
-            F.when(beds.isNull(), F.lit("no ICU bed count")),
-        )
-    )
+    lacking = (~described, ~explicit, *(F.size(signals[g]) == 0 for g in ("equipment", "procedure", "staffing")), beds.isNull())
+    return F.array_compact(F.array(*(F.when(c, F.lit(name)) for c, name in zip(lacking, MISSING))))
 
 
 def demoted_tags(fragments: Column, keywords: Keywords) -> Column:

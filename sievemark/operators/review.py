@@ -131,18 +131,18 @@ def trust_gates(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
     n, described = F.col("n_corroboration_categories"), F.col("description_corroboration")
     gate = lambda label, met: F.struct(F.lit(label).alias("label"), met.alias("met"))
     gates = F.array(
-        gate("Record is judgeable", F.col("data_completeness_score") >= t.sufficient_completeness),
-        gate("Explicit ICU claim", F.col("explicit_icu_claim")),
-        gate("Evidence score reaches threshold", F.col("capability_evidence_score") >= t.high_evidence),
-        gate("No blocking contradiction", F.col("n_contradiction_flags") == 0),
-        gate("No blocking suspicious claim", ~F.exists("validation_flags", lambda f: f["severity"] == SUSPICIOUS)),
-        gate("Corroboration requirement met", (n >= t.min_corroboration_categories) | (described & (n >= 1))),
+        gate("Data: full enough to judge", F.col("data_completeness_score") >= t.sufficient_completeness),
+        gate("Claim: stated in so many words", F.col("explicit_icu_claim")),
+        gate("Evidence: at the bar or above", F.col("capability_evidence_score") >= t.high_evidence),
+        gate("Denial: none in the record", F.col("n_contradiction_flags") == 0),
+        gate("Doubt: no suspicious claim", ~F.exists("validation_flags", lambda f: f["severity"] == SUSPICIOUS)),
+        gate("Backing: enough kinds of evidence", (n >= t.min_corroboration_categories) | (described & (n >= 1))),
     )
     names = F.array_join("corroboration_categories", " + ")
     line = (
-        F.when(n >= t.min_corroboration_categories, F.concat(F.lit("Corroboration accepted through: "), names))
-        .when(described & (n >= 1), F.concat(F.lit("Corroboration accepted through: substantive description evidence + "), names, F.lit(" (evidence policy v2)")))
-        .otherwise(F.concat(n.cast("string"), F.lit(f" of {t.min_corroboration_categories} operational categories present"), F.when(n > 0, F.concat(F.lit(" ("), names, F.lit(")"))).otherwise("")))
+        F.when(n >= t.min_corroboration_categories, F.concat(F.lit("Backed by "), names))
+        .when(described & (n >= 1), F.concat(F.lit("Backed by the description's own statement and "), names, F.lit(", as policy v2 allows")))
+        .otherwise(F.concat(n.cast("string"), F.lit(f" kinds of evidence stand beside the claim, {t.min_corroboration_categories} are asked"), F.when(n > 0, F.concat(F.lit(" ("), names, F.lit(")"))).otherwise("")))
     )
     return rows.withColumns({"trust_gates": gates, "corroboration_line": line})
 

@@ -3,6 +3,8 @@ the documents by set operations, beside the engine's own arrays."""
 
 from __future__ import annotations
 
+from sievemark.functions.names import CATEGORY_RULES, DOCTOR
+
 TRUSTED, GAP, INSUFFICIENT, REVIEW = "Trusted ICU Coverage", "Likely Medical Gap", "Insufficient Data", "Needs Human Review"
 DESERT, FOUND, VERIFY, PLANNING = "Insufficient data to assess", "Trusted ICU evidence found", "Needs facility verification", "Potential planning gap"
 NULL_LIKE = "('', 'null', 'none', 'na', 'n/a', 'nan', '-', '--', '[]', '{}', 'unknown', '\"\"', '''''')"
@@ -13,11 +15,8 @@ PATTERNS = (
 DENIAL = "all\\s+rights\\s+reserved"
 STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 
-CATEGORY = (
-    ("pharmacy", r"\b(pharmacy|pharmacies|chemist|medical store|drug\s?store|druggist)\b"), ("dentist", r"\b(dental|dentist|dentistry|orthodontic|orthodontist)\b"),
-    ("hospital_like", r"\b(hospitals?|nursing home|medical college|sanatorium)\b"), ("diagnostics_or_lab", r"\b(diagnostics?|labs?|scans?|imaging)\b"), ("clinic_or_health_center", r"\b(clinics?|polyclinics?|phc|chc)\b"),
-    ("individual_doctor", r"^\s*(dr\.?|doctor)\s+"),
-)
+#: The rules of names.py in another dialect; generic borders of words are the same in both.
+CATEGORY = tuple((name, pattern) for name, pattern in (*CATEGORY_RULES, ("individual_doctor", DOCTOR)))
 
 
 def window(c: str, pattern: str) -> str:
