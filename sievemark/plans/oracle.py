@@ -97,13 +97,6 @@ pred AS (
          CASE WHEN d.doc_id % 4 <> 0 THEN CASE WHEN NOT regexp_matches(coalesce(d.text, ''), '[0-9]{{3}}') THEN '{TRUSTED}' ELSE '{GAP}' END END AS rule_b
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
-RULES = (
-    ("pharmacy", r"\b(pharmacy|pharmacies|chemist|medical store|drug\s?store|druggist)\b"),
-    ("dentist", r"\b(dental|dentist|dentistry|orthodontic|orthodontist)\b"),
-    ("hospital_like", r"\b(hospitals?|nursing home|medical college|sanatorium)\b"),
-    ("diagnostics_or_lab", r"\b(diagnostics?|labs?|scans?|imaging|radiology|mri)\b"),
-    ("clinic_or_health_center", r"\b(clinics?|polyclinics?|phc|chc)\b"),
-)
 NAMES = "concat_ws(' ', CASE WHEN p_partkey % 5 = 0 THEN 'Dr.' WHEN p_partkey % 5 = 1 THEN 'City hospital' WHEN p_partkey % 5 = 2 THEN 'Lab' WHEN p_partkey % 7 = 3 THEN 'Dental hospital' END, p_name)"
 
 SENTENCES = (
