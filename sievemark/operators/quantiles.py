@@ -1,7 +1,7 @@
 """Exact percentiles without holding a group in one task.
 
-Equal values are counted first, before anything moves. The counts are then dealt out by ranges of
-(group, value), so a group of any size is spread over many tasks; each adds up its own run, and a table
+Equal values are counted first, before anything moves. Unless they are few, the counts are then dealt out
+by ranges of (group, value), so a group of any size is spread over many tasks; each adds up its own run, and a table
 of sums by (task, group) says what lies before it. The two rows at each percentile's place are picked
 and interpolated. Values and results are those of Spark's own ``percentile``.
 """
@@ -14,6 +14,9 @@ from pyspark.sql.window import Window
 
 from sievemark.sources.tables import written
 
+#: So many distinct values of all groups together are few enough to be one part.
+FEW = 1 << 17
+
 
 def exact_percentiles(df: DataFrame, keys: list[str], column: str, quantiles: dict[str, float], weight: str | None = None) -> DataFrame:
     """One row for each group: keys, ``n`` (values that are not null) and one column for each quantile.
@@ -23,9 +26,12 @@ def exact_percentiles(df: DataFrame, keys: list[str], column: str, quantiles: di
     count = F.sum(weight) if weight else F.count(F.lit(1))
     group = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))
     counts = df.where(F.col(column).isNotNull()).select(group.alias("_k"), F.col(column).cast("double").alias("_v"), *([weight] if weight else [])).groupBy("_k", "_v").agg(count.alias("_n"))
-    dealt = counts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "_k", "_v").withColumn("_part", F.spark_partition_id())
-    # the ranges come from a sample: drawn once
-    placed = written(dealt, "ranks")
+    placed = written(counts, "counts")
+    if placed.count() > FEW:
+        # the ranges come from a sample: drawn once
+        placed = written(placed.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "_k", "_v").withColumn("_part", F.spark_partition_id()), "ranks")
+    else:
+        placed = placed.withColumn("_part", F.lit(0))
     earlier = Window.partitionBy("_part", "_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     runs = placed.withColumn("_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     # at most a row for each task and group

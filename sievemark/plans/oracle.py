@@ -228,6 +228,11 @@ SELECT region_status, state, district, facility_count FROM (
     "q_region_slice": "WITH " + PLACES + " " + " UNION ALL ".join(
         (_slice("all/all", "true"), _slice("en/all", "st = 'en'"), _slice("(unassigned)/all", "st IS NULL"), _slice("fr/(unassigned)", "st = 'fr' AND di IS NULL"), _slice("de/src3", "st = 'de' AND di = 'src3'"))
     ),
+    "q_spread_stats": "SELECT l_returnflag, count(l_extendedprice) AS n, round(median(l_extendedprice), 3)::DOUBLE AS median, "
+    + ", ".join(f"round(quantile_cont(l_extendedprice, {q / 100}), 3)::DOUBLE AS p{q}" for q in (5, 25, 50, 75, 95))
+    + ", "
+    + ", ".join(f"count(*) FILTER (least(floor(l_extendedprice / 10000), 9) = {i}) AS bin_{i}" for i in range(10))
+    + " FROM lineitem GROUP BY 1",
     "q_score_stats": "SELECT l_returnflag, count(l_quantity) AS n, round(avg(l_quantity), 4)::DOUBLE AS mean, round(median(l_quantity), 4)::DOUBLE AS median, "
     + ", ".join(f"round(quantile_cont(l_quantity, {q / 100}), 4)::DOUBLE AS p{q}" for q in (5, 25, 50, 75, 95))
     + ", "

@@ -23,7 +23,9 @@ def test_one_grouping_says_what_the_parts_say(spark, empty):
     assert table(report.fused(facts, policy)) == table(want)
 
 
-def test_percentiles_of_a_hot_group(spark):
+@pytest.mark.parametrize("few", [quantiles.FEW, 0])
+def test_percentiles_of_a_hot_group(spark, monkeypatch, few):
+    monkeypatch.setattr(quantiles, "FEW", few)
     rng = np.random.default_rng(8)
     data = [("hot", float(x)) for x in rng.integers(0, 400, 3000)] + [(None, float(x)) for x in rng.normal(0, 1, 50)] + [("one", 7.0), ("none", None), ("two", 1.0), ("two", 2.0), ("same", 3.0), ("same", 3.0)]
     df = spark.createDataFrame(data, "g string, x double").repartition(5)
