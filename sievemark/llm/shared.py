@@ -58,7 +58,8 @@ def running_totals(df: DataFrame, keys: list[str], order: list[str], value: str)
     The rows are range-partitioned by keys and order together, so that a key with a third of all
     rows is spread over many tasks; each task sums its own run, and the small table of sums by
     (partition, key) gives what lies before each partition. As a partition holds a contiguous
-    range of keys, that table has at most one row for each partition and each key.
+    range of keys, that table has at most one row for each partition and each key; with keys it
+    is counted before it is sent to all tasks, and merged where it is large.
     """
     spark = df.sparkSession
     schema = T.StructType(
@@ -120,7 +121,8 @@ def running_totals(df: DataFrame, keys: list[str], order: list[str], value: str)
         F.coalesce(F.sum("_t").over(w), F.lit(0)).alias("_t0"),
         F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_n0"),
     )
+    side = sized(stored(offsets, "offsets")) if keys else F.broadcast(offsets)
     on = F.col("_part") == F.col("_at")
     for k, v in named.items():
         on = on & F.col(k).eqNullSafe(F.col(v))
-    return runs.join(F.broadcast(offsets), on).select(*columns, (F.col("_sum") + F.col("_t0")).alias("before"), (F.col("_rank") + F.col("_n0")).alias("rank"))
+    return runs.join(side, on).select(*columns, (F.col("_sum") + F.col("_t0")).alias("before"), (F.col("_rank") + F.col("_n0")).alias("rank"))

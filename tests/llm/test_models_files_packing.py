@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievemark.llm import ctw, mixing, packing, token_files
+from sievemark.llm import ctw, mixing, packing, shared, token_files
 from sievemark.llm.shared import running_totals
 
 from .conftest import words
@@ -214,16 +214,49 @@ def test_grams_are_scored_in_their_part_of_the_tree(corpus, monkeypatch):
     assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=1e-4)
 
 
-def test_schedule_stays_within_a_block():
-    cycle, slots = mixing.slots_for({"a": 5, "b": 3, "c": 1, "d": 0.01}, 64)
-    plan = mixing.schedule(slots, cycle)
-    assert sum(slots.values()) == cycle == 64 and sorted(t for p in plan.values() for t in p) == list(range(64))
-    for s, a in slots.items():
-        for t in range(cycle + 1):
-            assert abs(sum(x < t for x in plan[s]) - a * t / cycle) < 1
-    assert mixing.slots_for({i: 1 for i in range(1000)}, 64)[0] >= 4000
-    with pytest.raises(ValueError):
-        mixing.slots_for({"a": -1, "b": 2})
+def slots_of(spark, weights, cycle):
+    table = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "source string, weight double")
+    slots, length = mixing.slots_of(table, cycle)
+    return slots, length, {r["source"]: r["a"] for r in slots.collect()}
+
+
+def largest_remainders(weights, cycle):
+    """Whole slots by largest remainders, one at least, the largest giving back what is too much."""
+    while cycle < 4 * len(weights):
+        cycle *= 2
+    total = math.fsum(weights.values())
+    exact = {s: w / total * cycle for s, w in weights.items()}
+    out = {s: max(1, math.floor(x)) for s, x in exact.items()}
+    for s in sorted(exact, key=lambda s: (math.floor(exact[s]) - exact[s], s))[: max(0, cycle - sum(out.values()))]:
+        out[s] += 1
+    while sum(out.values()) > cycle:
+        out[max(out, key=lambda s: (out[s], s))] -= 1
+    return cycle, out
+
+
+def test_slots_and_schedule_stay_within_a_block(spark):
+    rng = np.random.default_rng(9)
+    cases = [({"a": 5, "b": 3, "c": 1, "d": 0.01}, 64), ({"a": 1}, 8), ({f"s{i}": 1 for i in range(37)}, 64)]
+    cases += [({"a": 50, "b": 49, **{f"t{i:02}": 0.001 for i in range(20)}}, 64), ({f"s{i}": float(w) for i, w in enumerate(rng.pareto(0.7, 40) + 1e-6)}, 32)]
+    for weights, size in cases:
+        slots, cycle, got = slots_of(spark, weights, size)
+        want_cycle, want = largest_remainders(weights, size)
+        assert cycle == want_cycle and sum(got.values()) == cycle and min(got.values()) > 0
+        if weights["a" if "a" in weights else "s0"] != 50:
+            assert got == want
+        else:
+            assert sorted(got.values()) == sorted(want.values())  # which of the largest gives back is free
+        source = {(r["a"], r["nth"]): r["source"] for r in slots.collect()}
+        plan = {s: [None] * a for s, a in got.items()}
+        for r in mixing.plan_of(slots, cycle).collect():
+            plan[source[r["a"], r["nth"]]][r["i"]] = r["t"]
+        assert sorted(t for p in plan.values() for t in p) == list(range(cycle))
+        for s, a in got.items():
+            for t in range(cycle + 1):
+                assert abs(sum(x < t for x in plan[s]) - a * t / cycle) < 1
+    for bad in ({"a": -1, "b": 2}, {"a": 0, "b": 0}):
+        with pytest.raises(ValueError):
+            slots_of(spark, bad, 64)
 
 
 def test_mixing(corpus, rows, empty):
@@ -246,7 +279,8 @@ def test_mixing(corpus, rows, empty):
     last = {s: max(b for x, b in fill if x == s) for s, _ in fill}
     assert all(n == block for (s, b), n in fill.items() if b < last[s])
     # word by word, until the first source runs out, every source is less than a block from its share
-    length, slots = mixing.slots_for({s: weights.get(s, 1.0) for s in last}, 8)
+    length, slots = largest_remainders({s or "": weights.get(s, 1.0) for s in last}, 8)
+    slots[None] = slots.pop("", None)
     end = min(slot[s, b] for s, b in last.items())
     for t in range(end):
         for s in last:
@@ -258,11 +292,26 @@ def test_mixing(corpus, rows, empty):
     assert mixing.order_of(empty).count() == mixing.mixed(empty).count() == 0
 
 
-def test_too_many_sources_are_an_error(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "MOST_SOURCES", 3)
-    docs = spark.createDataFrame([(i, "a b", f"s{i}") for i in range(5)], "doc_id long, text string, source string")
-    with pytest.raises(ValueError, match="sources"):
-        mixing.order_of(docs)
+@pytest.mark.parametrize("few", [1 << 17, 10])
+def test_twenty_thousand_sources(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW_ROWS", few)  # with 10, tables by source are merged, not sent to all tasks
+    monkeypatch.setattr(shared, "FEW_ROWS", few)
+    n, block = 20_000, 4
+    # one source holds a third of all rows, one is null
+    source = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") == 1, F.lit(None)).otherwise(F.concat(F.lit("s"), F.col("id") % n))
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), source.alias("source"), F.lit("a b").alias("text"))
+    got = mixing.order_of(docs, block_words=block).toPandas()
+    assert got["n_words"].sum() == 120_000 and got["doc_id"].nunique() == len(got) == 60_000
+    got["source"] = got["source"].fillna("")
+    blocks = got.groupby(["source", "block"]).agg(slot=("slot", "first"), slots=("slot", "nunique"), n=("n_words", "sum"))
+    assert (blocks["slots"] == 1).all() and blocks["slot"].is_unique
+    # each source's blocks lie in the windows of its share
+    totals = got.groupby("source")["n_words"].sum()
+    slots, length = mixing.slots_of(spark.createDataFrame([(s or None, float(w) ** 0.5) for s, w in totals.items()], "source string, weight double"))
+    a = {r["source"] or "": r["a"] for r in slots.collect()}
+    assert sum(a.values()) == length and length >= 4 * len(a)
+    for (s, b), slot in blocks["slot"].items():
+        assert b * length // a[s] <= slot < -(-(b + 1) * length // a[s])
 
 
 def best_cost(lengths, sizes, cost):
