@@ -14,8 +14,13 @@ other has; so in a group of thousands of copies, each changed in its own way, on
 can be near, where a band's bucket would list all pairs. Of a shingle's texts a few lead and are
 compared with the others of other components; more lead, 512 times as many each round, only while
 its texts span several components and some have not led; so no link is missed, and a group of alike
-texts costs a few comparisons each. Every pair is measured once: its exact Jaccard similarity from
-the sets, if it shares a band. The classes are the connected components of the pairs at or above
+texts costs a few comparisons each. Copies that are each changed a little too much to be near share
+their rarest common shingles all the same; so each text also carries the parities of its shingles
+that other sets have, dealt into 256 classes. Two such sets differ in no fewer shingles than they have
+parities unlike, and near ones may differ only in what their own shingles leave over, so a pair that
+can't be near is mostly seen by four words of 64 bits: then it never leaves the join, and no set moves.
+Every pair that is left is measured once: its exact Jaccard similarity from the sets, if it shares a
+band. The classes are the connected components of the pairs at or above
 the threshold. Texts of the same words are one node throughout. Nothing is gathered on the driver;
 components come from joins over written tables.
 
@@ -42,6 +47,7 @@ from sievemark.llm.wordscan import Runs, U, Words, mix, text_chunks
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
 FIRST_LEADERS, LEADER_GROWTH = 2, 512
+PARITIES = ("p0", "p1", "p2", "p3")  # 64 parities each
 FIRST_SLICE = -8  # the first slice of the rank axis ends at 2**-8, each later one at twice the last
 
 
@@ -189,8 +195,9 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, shingle: int, weighted: bool) ->
 
 
 def _rare_first(sets: DataFrame, threshold: float) -> DataFrame:
-    """(shingle, node, n, o, pos): of each set of n shingles those, but for what no other set has, that
-    stand so early in the common order that a similar set could share them first."""
+    """(shingle, node, n, m, o, pos, p0 to p3): of each set of n shingles those, but for what no other set
+    has, that stand so early in the common order that a similar set could share them first; how many
+    of the set's shingles others have, and the parities of these."""
 
     def run(batches):
         for b in batches:
@@ -201,14 +208,18 @@ def _rare_first(sets: DataFrame, threshold: float) -> DataFrame:
 
     tokens = sets.select("node", "regions").mapInArrow(run, "node long, n int, shingle long")
     often = tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    known = tokens.join(often.hint("merge"), "shingle").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("_s"))
+    bit, word = F.expr("shiftleft(1L, cast(shingle & 63 as int))"), F.expr("shiftright(shingle, 6) & 3")
+    known = tokens.join(often.hint("merge"), "shingle").groupBy("node", "n").agg(
+        F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("_s"),
+        *(F.coalesce(F.bit_xor(F.when(word == k, bit)), F.lit(0)).cast("long").alias(p) for k, p in enumerate(PARITIES)),
+    )
     # what only one set has comes first and is not listed
     alone = F.col("n") - F.size("_s")
     last = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9)
-    early = known.select("node", "n", alone.alias("_u"), F.slice("_s", F.lit(1), F.greatest(F.lit(0), last - alone + 1).cast("int")).alias("_s"))
+    early = known.select("node", "n", *PARITIES, F.size("_s").alias("m"), alone.alias("_u"), F.slice("_s", F.lit(1), F.greatest(F.lit(0), last - alone + 1).cast("int")).alias("_s"))
     rank = F.size("_s").cast("long") * (1 << 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))
-    places = early.select("node", "n", rank.alias("o"), "_u", F.posexplode("_s").alias("_i", "_x"))
-    return places.select(F.col("_x.shingle").alias("shingle"), "node", "n", "o", (F.col("_u") + F.col("_i")).cast("int").alias("pos"))
+    places = early.select("node", "n", "m", *PARITIES, rank.alias("o"), "_u", F.posexplode("_s").alias("_i", "_x"))
+    return places.select(F.col("_x.shingle").alias("shingle"), "node", "n", "m", "o", (F.col("_u") + F.col("_i")).cast("int").alias("pos"), *PARITIES)
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -248,14 +259,16 @@ def _links(sets: DataFrame, threshold: float) -> DataFrame | None:
         span = state.groupBy("shingle").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min("used").alias("_all")).where("_lo < _hi and not _all").select("shingle")
         state = stored(state.join(span.hint("merge"), "shingle"), "open")
         part = F.pmod(F.xxhash64("node"), F.lit(leaders))
-        lead = state.where("not used").groupBy("shingle", part.alias("_p")).agg(F.max(F.struct("o", "node", "comp", "n", "pos")).alias("_l"))
-        lead = stored(lead.select(F.col("shingle").alias("_b"), *(F.col(f"_l.{c}").alias(f"l_{c}") for c in ("node", "comp", "n", "pos"))), "lead")
+        lead = state.where("not used").groupBy("shingle", part.alias("_p")).agg(F.max(F.struct("o", "node", "comp", "n", "m", "pos", *PARITIES)).alias("_l"))
+        lead = stored(lead.select(F.col("shingle").alias("_b"), *(F.col(f"_l.{c}").alias(f"l_{c}") for c in ("node", "comp", "n", "m", "pos", *PARITIES))), "lead")
         if not lead.limit(1).count():
             return comp
         # as many must be in common, and what comes before the first shared shingle isn't
         common = F.ceil((F.col("n") + F.col("l_n")) * (threshold / (1 + threshold)) - 1e-9)
         near = (F.col("pos") <= F.col("n") - common) & (F.col("l_pos") <= F.col("l_n") - common)
-        met = state.join(sized(lead), (F.col("shingle") == F.col("_b")) & (F.col("comp") != F.col("l_comp")) & near)
+        unlike = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"l_{p}"))) for p in PARITIES), F.lit(0))
+        can = unlike <= F.col("m") + F.col("l_m") - 2 * common
+        met = state.join(sized(lead), (F.col("shingle") == F.col("_b")) & (F.col("comp") != F.col("l_comp")) & near & can)
         pairs = met.select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(sized(seen), ["a", "b"], "left_anti")

@@ -153,6 +153,45 @@ def test_near_dedup_judges_rows_not_ids(spark, corpus):
     assert got == [("a", "None"), ("b", "1"), ("c", "2"), ("d", "2"), ("none", "4"), ("none", "None")]
 
 
+@pytest.mark.parametrize("changes, most", [(3, 8), (4, 1)])
+def test_copies_that_are_not_near_are_not_measured(spark, monkeypatch, changes, most):
+    """Copies of one text with words of their own are some 0.66 to 0.73 alike: all share a band and
+    early shingles. Few pairs of them are measured (``most`` a text), and all near ones are found."""
+    asked = []
+    measured = near_dedup._measured
+
+    def counting(pairs, sets):
+        asked.append(pairs.count())
+        return measured(pairs, sets)
+
+    monkeypatch.setattr(near_dedup, "_measured", counting)
+    rng = np.random.default_rng(changes)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+    for n in (100, 300):
+        texts = []
+        for k in range(n):
+            w = list(base)
+            for at in rng.choice(200, changes, replace=False):
+                w[at] = f"own{k}x{at}"
+            texts.append(w)
+        for k in range(0, n, 10):  # near copies of some: one word more is changed
+            w = list(texts[k])
+            w[int(rng.integers(200))] = f"more{k}"
+            texts.append(w)
+        sets = [{tuple(w[i : i + 5]) for i in range(196)} for w in texts]
+        comp = list(range(len(sets)))
+        for i in range(len(sets)):
+            for j in range(i):
+                common = len(sets[i] & sets[j])
+                if common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
+                    old, new = max(comp[i], comp[j]), min(comp[i], comp[j])
+                    comp = [new if c == old else c for c in comp]
+        asked.clear()
+        docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+        assert {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs).collect()} == dict(enumerate(comp))
+        assert sum(asked) <= most * len(texts), (sum(asked), len(texts))
+
+
 def test_weighted_signatures_estimate_similarity():
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 2**63, 3000).astype("uint64")
