@@ -26,6 +26,11 @@ def test_numbers(spark):
     assert values(spark, ["(29.5)", "*", "1,234.5", "no data"], text.decimal_number) == [29.5, None, 1234.5, None]
 
 
+def test_numbers_that_spark_writes_with_an_exponent(spark):
+    assert values(spark, ["8.0E-4", "-1.5e+1", "3.0E5x", "7E5", "about 2.5E2."], text.decimal_number) == [0.0008, -15.0, 3.0, 7.0, 250.0]
+    assert values(spark, [0.0008, 12345678.5], text.decimal_number, "double") == [0.0008, 12345678.5]
+
+
 def test_title_case_after_any_non_letter(spark):
     assert values(spark, ["24-parganas", "NEW DELHI", "o'neill"], text.title_case) == ["24-Parganas", "New Delhi", "O'Neill"]
 

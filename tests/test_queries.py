@@ -57,6 +57,14 @@ def test_query_on_larger_tables(spark, larger, name):
     assert canonical(QUERIES[name](spark, LARGER).toPandas()) == canonical(larger.sql(ORACLE_SQL[name]).df())
 
 
+def test_value_status_of_very_small_balances(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.sql("create table customer as select i as c_custkey, 10 as c_nationkey, s as c_mktsegment, b / 100 as c_acctbal from range(-12, 13) r(b), (values (1, 'BUILDING'), (2, 'MACHINERY')) v(i, s)")
+    con.sql(f"copy customer to '{tmp_path}/customer.parquet' (format parquet)")
+    assert canonical(QUERIES["q_value_status"](spark, str(tmp_path)).toPandas()) == canonical(con.sql(ORACLE_SQL["q_value_status"]).df())
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
