@@ -63,3 +63,24 @@ def test_a_batch_reads_the_ranges_that_it_touches(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(incremental, "MOST_SLOTS", 1)
     out, _ = _regions(spark, tmp_path / "all", [[row(i) for i in range(30)], [row(i) for i in range(5, 45)]], slot=id_range("id", 10))
     assert out.count() == 45
+
+
+def test_a_batch_of_many_ranges_is_laid_out_in_few_wide_folders(spark, tmp_path, monkeypatch):
+    row = lambda i: (i, "Likely Medical Gap", 50, 0, "s", "d")
+    read, earlier = [], incremental._earlier
+
+    def counted(*given):
+        found = earlier(*given)
+        read.append(len(found.inputFiles()))
+        return found
+
+    monkeypatch.setattr(incremental, "_earlier", counted)
+    monkeypatch.setattr(incremental, "MOST_FOLDERS", 16)
+    # 101 ranges at once (7 when wider), then some of their ids again with new ones, in narrow ranges
+    batches = [[row(i) for i in range(-500, 501, 2)], [row(i) for i in range(-20, 20)], [row(i) for i in range(40)] + [(None, *row(0)[1:])]]
+    out, sums = _regions(spark, tmp_path, batches, slot=id_range("id", 10))
+    files = [f for f in out.inputFiles() if "batch=0" in f]
+    assert len({f.rsplit("/", 1)[0] for f in files}) <= 16 and len(files) <= 16
+    assert sorted(r["id"] for r in out.where("id is not null").collect()) == sorted(set(range(-500, 501, 2)) | set(range(-20, 40)))
+    assert sorted(map(str, regions.merged(sums, "state").collect())) == sorted(map(str, regions.rollup(out, "state").collect()))
+    assert read[1] <= 4
