@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievemark.functions.literals import FOLDED, required
 from sievemark.operators.evidence import FRAGMENTS, WINDOW_LIMIT, anchored_number, contract, finished, first_of_each, patterns_of, text_items
 from sievemark.policy import GROUPS, TEXT_FIELDS, Keywords, Policy
 
@@ -61,8 +62,14 @@ def plugged(run: Extractor, policy: Policy = Policy(), listed: bool = False) ->
 
 
 def keyword_plugin(keywords: Keywords) -> Extractor:
-    """The keyword scan as a plug-in: every pattern of every group over the batch's texts."""
-    groups = [(g, [(p, re.compile(p, re.I)) for p in keywords.group(g)]) for g in KNOWN_GROUPS]
+    """The keyword scan as a plug-in: every pattern of every group over the batch's texts, in which literals
+    that the pattern can't do without are searched first."""
+    groups = [(g, [(p, re.compile(p, re.I), required(p)) for p in keywords.group(g)]) for g in KNOWN_GROUPS]
+
+    def folded(text: str) -> str:
+        for odd, plain in zip(*FOLDED):
+            text = text.replace(odd, plain)
+        return text.lower()
 
     def sentence(text: str, m: re.Match) -> str:
         left = max(text.rfind(c, 0, m.start()) for c in ".;\n") + 1
@@ -77,7 +84,8 @@ def keyword_plugin(keywords: Keywords) -> Extractor:
         for b in batches:
             out: list[list] = [[] for _ in FOUND]
             for uid, ord_, field, text in zip(*(b.column(i).to_pylist() for i in range(4))):
-                hits = {g: [(p, m) for p, rx in rxs if (m := rx.search(text))] for g, rxs in groups}
+                low = folded(text)
+                hits = {g: [(p, m) for p, rx, literals in rxs if (not literals or any(x in low for x in literals)) and (m := rx.search(text))] for g, rxs in groups}
                 some = {"negation": hits["negation"]} if hits["negation"] else {g: hits[g] for g in GROUPS}
                 n = 0
                 for g, found in some.items():
