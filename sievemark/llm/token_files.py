@@ -9,13 +9,17 @@ damaged block is noticed and costs no other.
 The coder. The ids that last followed the two ids before (order 2) and the one before (order 1) are
 predicted, each with a confidence from its recent hits; order 0 is an adaptive distribution over
 all ids: those that the block had lately, by how often, and all others by their length in bits and
-the four bits after the first. What is coded is one mixture of
-the three: the weights of the predictions are learnt for each pair of confidences, the rest is order
-0's. One step of a range coder of 48 bits with carries codes an id.
+the three bits after the first. What is coded is one mixture of the three: the weights of the
+predictions are learnt for each pair of confidences, the rest is order 0's. A range coder of 48 bits
+with carries codes an id in one step, and the lower bits of an id that is new to its block in another.
+The weights and order 0 are counted anew after a fixed number of ids, seldom as a block grows long;
+what order 1 and order 2 predict changes with every id.
 
 All blocks of several segments are coded side by side: position by position, one array operation
 for all blocks. Tokenizing looks each distinct word up once while there is room: the tokenizer sees
-no further than white space, so a text's ids are its words' ids.
+no further than white space, so a text's ids are its words' ids. Where the tokenizer splits and
+lower-cases as `WordIds.SPLITS` says, a comma or the like at a word's end and a capital at its
+beginning make no word of their own.
 
 Defined results: a null or empty text is its end id alone; very long texts make longer segments;
 repeated rows and ties are written each for itself, ordered by doc_id, then text; a null doc_id
@@ -24,11 +28,14 @@ comes first; an empty table gives empty files; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -39,180 +46,203 @@ from sievemark.llm.shared import partitions, running_totals, sized, stored
 from sievemark.llm.wordscan import WORD_BYTES, Words, text_chunks
 
 BLOCK, SEGMENT = 4096, 1 << 19
-MAGIC = 0x53544F4C
+LANES = 2048  # blocks that are coded side by side, at most
+MAGIC = 0x53544F4D
 HEAD = struct.Struct("<IHHIII")  # magic, bits of an id, 0, ids, crc32 of the ids, bytes of code
-FULL, WORD16 = np.int64(1) << np.int64(48), np.int64(1) << np.int64(32)
-TOP, LOWEST = 16, 13  # bits of the mixed distribution, and of the part of an id below it
-SPAN = 13
+FULL, WORD16 = 1 << 48, 1 << 32
+TOP = 16  # bits of the mixed distribution
+SPAN = 11
 TOTAL = 1 << SPAN  # of the order-0 frequencies
-RECENT, BINS = 512, 256  # order 0: ids of the block by their last bits, and bins for all others
-FRESH = 128  # after so many ids they are counted anew, and sooner in the beginning
-SLOTS1, SLOTS2 = 512, 1024
+RECENT, BINS = 512, 128  # order 0: ids of the block by their last bits, and bins for all others
+SYMBOLS = RECENT + BINS
+SLOTS1, SLOTS2 = 256, 512
+#: After so many ids of a block the weights and order 0 are counted anew, and after every further LATER.
+FRESH, LATER = frozenset((24, 64, 128, 256, 512)), 1024
 #: An id outside the recent ones counts so many times as much as a bin at the start; the bins together as many ids of the block.
 SEEN, OUTSIDE = 10, 200
+#: Of 16 predictions, so many are taken as right to begin with, by the confidence: nothing known, new, right once, right twice or more.
+FIRST2, FIRST1 = np.array([0.0, 2, 8, 13]), np.array([0.0, 1.5, 5, 9])
 
 
-def binned(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids that are new to a block are seen as their length in bits and the four bits after the first:
-    (bin, how many bits are left below, those bits)."""
-    ids = ids.astype("int64")
-    left = np.maximum(np.frexp(ids.astype("float64"))[1] - 5, 0).astype("int64")
-    return np.where(ids < 16, ids, (left + 1) * 16 + ((ids >> left) & 15)).astype("int16"), left.astype("int8"), (ids & ((1 << left) - 1)).astype("int16")
+def binned(ids: np.ndarray) -> np.ndarray:
+    """Ids that are new to a block are seen as their length in bits and the three bits after the first."""
+    left = np.maximum(np.frexp(ids.astype("float64"))[1] - 4, 0).astype("int64")
+    return np.where(ids < 8, ids, (left + 1) * 8 + ((ids >> left) & 7))
 
 
-#: Of each bin: the bits below, and its first id.
-LEFT_OF = np.maximum(np.arange(BINS) // 16 - 1, 0)
-BASE_OF = np.where(np.arange(BINS) < 16, np.arange(BINS), (16 + np.arange(BINS) % 16) << LEFT_OF)
+#: Of each bin: the bits below, and its first id. Of each id its bin.
+LEFT_OF = np.maximum(np.arange(BINS) // 8 - 1, 0)
+BASE_OF = np.where(np.arange(BINS) < 8, np.arange(BINS), (8 + np.arange(BINS) % 8) << LEFT_OF)
+BIN_OF = binned(np.arange(1 << 18)).astype("int16")
 
 
 class Models:
     """The state of all blocks side by side, the same for the coder and the decoder.
 
-    Order 1 and order 2 each predict one id with a confidence (0 to 3); order 0 is a distribution over
-    all ids. Their mixture is what is coded: the weights of the two predictions are learnt for each
-    pair of confidences, the rest is order 0's. An id and its confidence stand in one number.
+    Order 1 and order 2 each predict one id with a confidence (0 to 3, 0 where there is none); order 0
+    is a distribution over all ids. Their mixture is what is coded: the weights of the two predictions
+    are learnt for each pair of confidences, the rest is order 0's. An id and its confidence stand in
+    one number, and so do a symbol's id and the bounds of its order-0 part.
     """
 
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes, dtype="int64")
+    def __init__(self, lanes: int, longest: int, decoding: bool):
+        self.lane, self.decoding = np.arange(lanes, dtype="int64"), decoding
+        self.lane1, self.lane2, self.lane16, self.lane_symbol, self.lane_point = (self.lane * x for x in (SLOTS1, SLOTS2, 16, SYMBOLS, TOTAL))
         self.table1, self.table2 = np.full(lanes * SLOTS1, -4, "int32"), np.full(lanes * SLOTS2, -4, "int32")
-        self.hit1, self.hit2 = np.full(lanes * 16, 1 << 13, "int32"), np.full(lanes * 16, 1 << 14, "int32")
-        self.last, self.before = np.zeros(lanes, "int64"), np.zeros(lanes, "int64")
-        self.recent, self.recent_n = np.full(lanes * RECENT, -1, "int32"), np.zeros((lanes, RECENT), "int32")
+        self.at1, self.at2, self.before = self.lane1, self.lane2, np.zeros(lanes, "int64")
+        self.tried, self.hits2 = np.full((lanes, 16), 16.0), np.repeat(FIRST2, 4) + np.zeros((lanes, 1))
+        self.hits1 = np.tile(FIRST1, 4) * (1 - self.hits2 / 16)
+        self.recent, self.recent_n = np.full((lanes, RECENT), -1, "int32"), np.zeros((lanes, RECENT), "int32")
         self.bin_n = np.ones((lanes, BINS), "int32")
-        self.seen: list[tuple[np.ndarray, ...]] = []
-        self.count()
+        self.ids = np.zeros((longest, lanes), "int32")
+        #: Of the steps since the last count: the pair of confidences and, in the last two bits, the order that was right.
+        self.code, self.since = np.zeros((LATER, lanes), "int8"), 0
 
-    def count(self) -> None:
-        """The order-0 frequencies, from the literals since the last time. Of ids with the same last
-        bits the latest is the recent one; every bin keeps a frequency of one at least."""
+    def count(self, t: int, active: np.ndarray) -> None:
+        """The weights and the order-0 frequencies, from the ids before place t. Of ids with the same
+        last bits the latest is the recent one; every bin keeps a frequency of one at least."""
         lanes = len(self.lane)
-        if self.seen:
-            lane, ids, bins, known = (np.concatenate(x) for x in zip(*self.seen))
-            self.seen = []
-            key = lane * RECENT + (ids & (RECENT - 1))
-            before = self.recent.copy()
-            self.recent[key] = ids
-            self.recent_n[(self.recent != before).reshape(lanes, RECENT)] = 0
-            self.recent_n += np.bincount(key[self.recent[key] == ids], minlength=lanes * RECENT).astype("int32").reshape(lanes, RECENT)
-            out = ~known
-            self.bin_n += SEEN * np.bincount(lane[out] * BINS + bins[out], minlength=lanes * BINS).astype("int32").reshape(lanes, BINS)
-        freq = np.empty((lanes, RECENT + BINS), "int32")
-        seen = self.recent_n.sum(axis=1, keepdims=True, dtype="int32")
-        freq[:, :RECENT] = self.recent_n * ((TOTAL - BINS) * 64 // (seen + OUTSIDE)) >> 6
+        if t > self.since:
+            # block by block, so that what is counted for one stands close together
+            code, ids = np.ascontiguousarray(self.code[: t - self.since].T), np.ascontiguousarray(self.ids[self.since : t].T)
+            if active[t - 1] < lanes:
+                code[self.lane[:, None] >= active[self.since : t]] = 3
+            found = np.bincount((code + (self.lane * 64)[:, None]).ravel(), minlength=lanes * 64).reshape(lanes, 16, 4)
+            self.hits1 += found[:, :, 1]
+            self.hits2 += found[:, :, 2]
+            self.tried += found[:, :, :3].sum(axis=2)
+            literal = (code & 3) == 0
+            ids, each = ids[literal], np.count_nonzero(literal, axis=1)
+            key = np.repeat(self.lane * RECENT, each) + (ids & (RECENT - 1))
+            before, flat = self.recent.copy(), self.recent.ravel()
+            new = flat[key] != ids
+            flat[key] = ids
+            self.recent_n[self.recent != before] = 0
+            self.recent_n += np.bincount(key[flat[key] == ids], minlength=lanes * RECENT).astype("int32").reshape(lanes, RECENT)
+            self.bin_n += SEEN * np.bincount(np.repeat(self.lane * BINS, each)[new] + BIN_OF[ids[new]], minlength=lanes * BINS).astype("int32").reshape(lanes, BINS)
+            self.since = t
+        # what is left for order 0 never falls below its total
+        most = (1 << TOP) - TOTAL - 4
+        b2 = 1 + (most * self.hits2 / self.tried).astype("int64")
+        self.b2, self.b1 = b2.ravel(), (b2 + 1 + (most * self.hits1 / self.tried).astype("int64")).ravel()
+        freq = np.empty((lanes, SYMBOLS), "int32")
+        freq[:, :RECENT] = self.recent_n * ((TOTAL - BINS) * 64 // (self.recent_n.sum(axis=1, keepdims=True, dtype="int32") + OUTSIDE)) >> 6
         rest = TOTAL - BINS - freq[:, :RECENT].sum(axis=1, keepdims=True, dtype="int32")
         freq[:, RECENT:] = 1 + (self.bin_n * (rest * 256 // self.bin_n.sum(axis=1, keepdims=True, dtype="int32")) >> 8)
-        freq[np.arange(lanes), RECENT + freq[:, RECENT:].argmax(axis=1)] += TOTAL - freq.sum(axis=1)
-        self.starts = np.zeros((lanes, RECENT + BINS + 1), "int32")
-        np.cumsum(freq, axis=1, out=self.starts[:, 1:])
-        self.starts = self.starts.ravel()
-
-    def row(self, n: int) -> np.ndarray:
-        return self.lane[:n] * (RECENT + BINS + 1)
+        freq[self.lane, RECENT + freq[:, RECENT:].argmax(axis=1)] += TOTAL - freq.sum(axis=1)
+        end = np.cumsum(freq, axis=1, dtype="int32")
+        packed = (((end - freq) << 13) | end).astype("int64")
+        packed[:, :RECENT] |= np.where(freq[:, :RECENT] > 0, self.recent, -1).astype("int64") << 26
+        self.packed = packed.ravel()
+        if self.decoding:
+            self.symbol_at = np.repeat(np.tile(np.arange(SYMBOLS, dtype="int16"), lanes), freq.ravel())
 
     def predict(self, n: int) -> tuple[np.ndarray, ...]:
         """For the first n blocks: both predictions, and where the mixture's second and third part begin."""
-        h = self.last[:n] * 40503
-        self.at1 = self.lane[:n] * SLOTS1 + ((h >> 7) & (SLOTS1 - 1))
-        self.at2 = self.lane[:n] * SLOTS2 + (((h + self.before[:n] * 60493) >> 9) & (SLOTS2 - 1))
-        self.e1, self.e2 = self.table1.take(self.at1), self.table2.take(self.at2)
-        self.mixed = self.lane[:n] * 16 + ((self.e2 & 3) << 2) + (self.e1 & 3)
-        self.w2, self.w1 = self.hit2.take(self.mixed), self.hit1.take(self.mixed)
-        # weights of 2**16; what is left for order 0 never falls below its total
-        q2 = 1 + ((self.w2 * 13) >> 4)
-        q1 = 1 + (((((1 << TOP) - TOTAL - 2 - q2) * self.w1.astype("int64")) >> 16))
-        return self.e1 >> 2, self.e2 >> 2, q2, q2 + np.maximum(q1, 1)
-
-    def learn(self, n: int, ids: np.ndarray, ok1: np.ndarray, ok2: np.ndarray) -> None:
+        e1, e2 = self.table1.take(self.at1[:n]), self.table2.take(self.at2[:n])
+        self.sure1, self.sure2 = e1 & 3, e2 & 3
+        self.pair = (self.sure2 << 2) + self.sure1
+        at = self.lane16[:n] + self.pair
+        return e1 >> 2, e2 >> 2, self.b2.take(at), self.b1.take(at)
+
+    def learn(self, t: int, n: int, now: np.ndarray, ok1: np.ndarray, ok2: np.ndarray) -> None:
         """ok1: order 1 was right, whether or not order 2 was too."""
-        self.hit2[self.mixed] = self.w2 + ((np.where(ok2, 62000, 0) - self.w2) >> 4)
-        self.hit1[self.mixed] = self.w1 + np.where(ok2, 0, (np.where(ok1, 65535, 0) - self.w1) >> 4)
-        fresh = (ids << 2).astype("int32")
-        for table, at, e, ok in ((self.table1, self.at1, self.e1, ok1), (self.table2, self.at2, self.e2, ok2)):
-            sure = e & 3
-            table[at] = np.where(ok, e + (sure < 3), np.where(sure < 2, fresh, e - 1))
-        self.before[:n] = self.last[:n]
-        self.last[:n] = ids
+        right = ok1.astype("int8")
+        np.putmask(right, ok2, 2)
+        self.code[t - self.since, :n] = (self.pair << 2) + right
+        fresh = (now << 2) + 1
+        self.table1[self.at1[:n]] = fresh + np.minimum(self.sure1, 2) * ok1
+        self.table2[self.at2[:n]] = fresh + np.minimum(self.sure2, 2) * ok2
+        now = now.astype("int64")
+        h = now * 40503
+        self.at1 = self.lane1[:n] + ((h >> 7) & (SLOTS1 - 1))
+        self.at2 = self.lane2[:n] + (((h + self.before[:n]) >> 9) & (SLOTS2 - 1))
+        self.before = now * 60493
 
 
-def _fresh(t: int) -> bool:
-    return (t > 0 and t % FRESH == 0) or t in (16, 32, 64)
+def _counted(t: int) -> bool:
+    return t == 0 or t in FRESH or t % LATER == 0
 
 
-def _lanes(lengths: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """For each position, how many blocks are that long, when they stand longest first."""
-    longest = int(lengths.max()) if len(lengths) else 0
-    return np.searchsorted(-lengths[order], -np.arange(longest), side="left")
+def _side_by_side(lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(blocks, longest first; for each position, how many of them are that long) of up to LANES blocks."""
+    order = np.argsort(-lengths, kind="stable")
+    order = order[lengths[order] > 0]
+    for mine in np.array_split(order, -(-len(order) // LANES)) if len(order) else ():
+        yield mine, np.searchsorted(-lengths[mine], -np.arange(int(lengths[mine[0]])), side="left")
 
 
 def encode_blocks(ids: np.ndarray, lengths: np.ndarray, bits: int = 16) -> list[bytes]:
     """The blocks, laid end to end, each as header and code."""
-    n = len(lengths)
-    order = np.argsort(-lengths, kind="stable")
-    begin = (np.cumsum(lengths) - lengths)[order]
-    bins, left, below = binned(ids)
-    models = Models(n)
-    low, width = np.zeros(n, "int64"), np.full(n, int(FULL) - 1, "int64")
-    out = np.zeros((n, int(lengths.max()) + 64 if n else 64), "int32")
-    cap, flat = out.shape[1], out.ravel()
-    used = np.zeros(n, "int64")
-
-    def shift(who, lo, w):
-        """Sixteen bits leave the blocks ``who``; returns what is left of lo and w."""
-        flat[who * cap + used[who]] = lo >> 32
-        used[who] += 1
-        return (lo & 0xFFFFFFFF) << 16, w << 16
-
-    for t, active in enumerate(_lanes(lengths, order)):
-        if _fresh(t):
-            models.count()
-        if t % 8 == 0 and int(used.max()) + 32 > cap:  # eight ids make 24 words at most
-            out = np.concatenate([out, np.zeros((n, cap // 2), "int32")], axis=1)
-            cap, flat = out.shape[1], out.ravel()
-        at = begin[:active] + t
-        now = ids.take(at).astype("int64")
-        p1, p2, b2, b1 = models.predict(active)
-        ok2, ok1 = p2 == now, p1 == now
-        bin0, slot = bins.take(at), now & (RECENT - 1)
-        row = models.row(active)
-        known = (models.recent.take(models.lane[:active] * RECENT + slot) == now) & (models.starts.take(row + slot + 1) > models.starts.take(row + slot))
-        row += np.where(known, slot, RECENT + bin0)
-        bits0 = np.where(known, 0, left.take(at))
+    begin = np.cumsum(lengths) - lengths
+    done: list[bytes] = [b""] * len(lengths)
+    for mine, active in _side_by_side(lengths):
+        for i, body in zip(mine.tolist(), _encoded(ids, begin[mine], active)):
+            own = ids[begin[i] : begin[i] + lengths[i]].astype("<u4").tobytes()
+            done[i] = HEAD.pack(MAGIC, bits, 0, int(lengths[i]), zlib.crc32(own), len(body)) + body
+    return done
+
+
+def _encoded(ids: np.ndarray, begin: np.ndarray, active: np.ndarray) -> list[bytes]:
+    n, longest = len(begin), len(active)
+    models = Models(n, longest, False)
+    for k, at in enumerate(begin.tolist()):
+        own = ids[at : at + longest]
+        models.ids[: len(own), k] = own
+    cap = longest * 5 // 8 + 64  # the first word takes carries only
+    flat, used = np.zeros(n * cap, "int32"), np.arange(n) * cap + 1
+    low, width = np.zeros(n, "int64"), np.full(n, FULL - 1, "int64")
+    for t, m in enumerate(active.tolist()):
+        if _counted(t):
+            models.count(t, active)
+        if t % 8 == 0 and int((used - np.arange(n) * cap).max()) + 24 > cap:  # eight ids make 16 words at most
+            flat, used = np.pad(flat.reshape(n, cap), ((0, 0), (0, cap))).ravel(), used + np.arange(n) * cap
+            cap *= 2
+        now = models.ids[t, :m]
+        p1, p2, b2, b1 = models.predict(m)
+        ok1, ok2 = p1 == now, p2 == now
+        packed = models.packed.take(models.lane_symbol[:m] + (now & (RECENT - 1)))
+        new = (((packed >> 26).astype("int32") != now) & ~(ok1 | ok2)).nonzero()[0]
+        fresh = now[new].astype("int64")
+        bins = BIN_OF[fresh].astype("int64")
+        packed[new] = models.packed[models.lane_symbol[new] + RECENT + bins]
         rest = (1 << TOP) - b1
-        start0 = b1 + ((models.starts.take(row) * rest) >> SPAN)
-        freq0 = b1 + ((models.starts.take(row + 1) * rest) >> SPAN) - start0
-        one0 = (freq0 << LOWEST) >> bits0
-        below0 = np.where(known, 0, below.take(at))
-        start = np.where(ok2, 0, np.where(ok1, b2 << LOWEST, (start0 << LOWEST) + one0 * below0))
-        freq = np.where(ok2, b2 << LOWEST, np.where(ok1, (b1 - b2) << LOWEST, one0))
-        r = width[:active] >> (TOP + LOWEST)
-        lo, w = low[:active] + r * start, r * freq
-        over = np.flatnonzero(lo >= FULL)
-        if len(over):
-            lo[over] -= FULL
-            place = over * cap + used[over] - 1
-            flat[place] += 1
-            while len(place := place[flat[place] > 0xFFFF]):
-                flat[place] = 0
-                place = place - 1
-                flat[place] += 1
-        small = np.flatnonzero(w < WORD16)
-        while len(small):
-            lo[small], w[small] = shift(small, lo[small], w[small])
-            small = small[w[small] < WORD16]
-        low[:active], width[:active] = lo, w
-        literal = np.flatnonzero(~(ok1 | ok2))
-        models.seen.append((literal, now[literal], bin0[literal], known[literal]))
-        models.learn(active, now, ok1, ok2)
-    for bits_down in (32, 16, 0):
-        flat[np.arange(n) * cap + used] = (low >> bits_down) & 0xFFFF
+        start, end = b1 + ((((packed >> 13) & 8191) * rest) >> SPAN), b1 + (((packed & 8191) * rest) >> SPAN)
+        np.putmask(start, ok1, b2)
+        np.putmask(end, ok1, b1)
+        np.putmask(start, ok2, 0)
+        np.putmask(end, ok2, b2)
+        r = width[:m] >> TOP
+        lo, w = _given_out(flat, used[:m], low[:m] + r * start, r * (end - start))
+        if len(new):
+            left, place = LEFT_OF[bins], used[new]
+            one = w[new] >> left
+            lo[new], w[new] = _given_out(flat, place, lo[new] + one * (fresh & ((1 << left) - 1)), one)
+            used[new] = place
+        low[:m], width[:m] = lo, w
+        models.learn(t, m, now, ok1, ok2)
+    for down in (32, 16, 0):
+        flat[used] = (low >> down) & 0xFFFF
         used += 1
-    done: list[bytes] = [b""] * n
-    for k, i in enumerate(order.tolist()):
-        body = out[k, : used[k]].astype("<u2").tobytes()
-        own = ids[begin[k] : begin[k] + lengths[i]].astype("<u4").tobytes()
-        done[i] = HEAD.pack(MAGIC, bits, 0, int(lengths[i]), zlib.crc32(own), len(body)) + body
-    return done
+    while len(over := (flat > 0xFFFF).nonzero()[0]):
+        flat[over] &= 0xFFFF
+        flat[over - 1] += 1
+    words = flat.astype("<u2")
+    return [words[k * cap + 1 : end].tobytes() for k, end in enumerate(used.tolist())]
+
+
+def _given_out(flat: np.ndarray, used: np.ndarray, lo: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sixteen bits leave the blocks whose width has room for them; a carry is added to the word
+    before, and handed on at the end. Returns what is left of lo and w; ``used`` moves on."""
+    over = (lo >= FULL).nonzero()[0]
+    if len(over):
+        flat[used[over] - 1] += 1
+        lo[over] -= FULL
+    small = w < WORD16
+    flat[used] = lo >> 32
+    used += small
+    shift = small * 16
+    return (lo & ((FULL - 1) >> shift)) << shift, w << shift
 
 
 def split_payload(payload: bytes) -> list[tuple[int, int, bytes, int]]:
@@ -229,85 +259,128 @@ def split_payload(payload: bytes) -> list[tuple[int, int, bytes, int]]:
 
 def decode_blocks(blocks: list[tuple[int, int, bytes, int]]) -> np.ndarray:
     """The ids of the blocks, laid end to end; raises ValueError if a checksum is wrong."""
-    n = len(blocks)
     lengths = np.array([b[0] for b in blocks], "int64")
-    order = np.argsort(-lengths, kind="stable")
-    cap = max((len(b[2]) for b in blocks), default=0) // 2 + 4
-    code = np.zeros((n, cap), "<u2")
-    for k, i in enumerate(order.tolist()):
-        body = np.frombuffer(blocks[i][2], "<u2")
-        code[k, : len(body)] = body
-    flat = code.ravel()
-    begin = (np.cumsum(lengths) - lengths)[order]
+    begin = np.cumsum(lengths) - lengths
     out = np.zeros(int(lengths.sum()), "uint32")
-    models = Models(n)
-    width = np.full(n, int(FULL) - 1, "int64")
-    base = np.arange(n) * cap
-    value = (flat[base].astype("int64") << 32) | (flat[base + 1].astype("int64") << 16) | flat[base + 2]
-    used = np.full(n, 3, "int64")
-    for t, active in enumerate(_lanes(lengths, order)):
-        if _fresh(t):
-            models.count()
-        p1, p2, b2, b1 = models.predict(active)
-        r = width[:active] >> (TOP + LOWEST)
-        seen = np.minimum(value[:active] // r, (1 << (TOP + LOWEST)) - 1)
-        top = seen >> LOWEST
-        ok2 = top < b2
-        first1 = ~ok2 & (top < b1)
+    for mine, active in _side_by_side(lengths):
+        found = np.ascontiguousarray(_decoded([blocks[i][2] for i in mine.tolist()], active).T).astype("<u4")
+        for k, i in enumerate(mine.tolist()):
+            own = found[k, : lengths[i]]
+            if zlib.crc32(own.tobytes()) != blocks[i][1]:
+                raise ValueError(f"block {i}: wrong checksum")
+            out[begin[i] : begin[i] + lengths[i]] = own
+    return out
+
+
+def _decoded(bodies: list[bytes], active: np.ndarray) -> np.ndarray:
+    """The ids: a row for each position, a column for each block. Numbers of 48 bits stand in doubles,
+    which hold them exactly; their quotients have 16 bits before the point, so they are cut right."""
+    n, longest = len(bodies), len(active)
+    models = Models(n, longest, True)
+    cap = max(map(len, bodies)) // 2 + 4
+    code = np.zeros((n, cap), "float64")
+    for k, body in enumerate(bodies):
+        own = np.frombuffer(body, "<u2", len(body) // 2)
+        code[k, : len(own)] = own
+    flat, used = code.ravel(), np.arange(n) * cap
+    last = used + cap - 1
+    value = flat[used] * 2.0**32 + flat[used + 1] * 2.0**16 + flat[used + 2]
+    used += 3
+    width = np.full(n, FULL - 1.0)
+    for t, m in enumerate(active.tolist()):
+        if _counted(t):
+            models.count(t, active)
+        p1, p2, b2, b1 = models.predict(m)
+        v, r = value[:m], np.floor(width[:m] * 2.0**-TOP)
+        point = np.minimum(v / r, (1 << TOP) - 1).astype("int64")
+        ok2, predicted = point < b2, point < b1
         rest = (1 << TOP) - b1
         # the symbol whose part holds the point: the last one that begins at it or before
-        point = np.maximum(top - b1, 0)
-        first = models.row(active)
-        row, step = first.copy(), 512
-        while step:
-            ahead = np.minimum(row + step, first + RECENT + BINS - 1)
-            row = np.where((models.starts.take(ahead) * rest) >> SPAN <= point, ahead, row)
-            step >>= 1
-        symbol = row - first
-        known = symbol < RECENT
-        bin0 = np.maximum(symbol - RECENT, 0)
-        start0 = b1 + ((models.starts.take(row) * rest) >> SPAN)
-        freq0 = b1 + ((models.starts.take(row + 1) * rest) >> SPAN) - start0
-        bits0 = np.where(known, 0, LEFT_OF.take(bin0))
-        one0 = (freq0 << LOWEST) >> bits0
-        below = np.minimum(np.maximum(seen - (start0 << LOWEST), 0) // one0, (1 << bits0) - 1)
-        literal_id = np.where(known, models.recent.take(models.lane[:active] * RECENT + np.minimum(symbol, RECENT - 1)), BASE_OF.take(bin0) + below)
-        now = np.where(ok2, p2, np.where(first1, p1, literal_id)).astype("int64")
-        start = np.where(ok2, 0, np.where(first1, b2 << LOWEST, (start0 << LOWEST) + one0 * below))
-        v = value[:active] - r * start
-        w = r * np.where(ok2, b2 << LOWEST, np.where(first1, (b1 - b2) << LOWEST, one0))
-        small = np.flatnonzero(w < WORD16)
-        while len(small):
-            v[small] = (v[small] << 16) | flat[base[small] + np.minimum(used[small], cap - 1)]
-            used[small] += 1
-            w[small] <<= 16
-            small = small[w[small] < WORD16]
-        value[:active], width[:active] = v, w
-        ok1 = p1 == now
-        literal = np.flatnonzero(~(ok1 | ok2))
-        models.seen.append((literal, now[literal], bin0[literal], known[literal]))
-        models.learn(active, now, ok1, ok2)
-        out[begin[:active] + t] = now
-    at = np.cumsum(lengths) - lengths
-    for i, (size, crc, *_) in enumerate(blocks):
-        if zlib.crc32(out[at[i] : at[i] + size].astype("<u4").tobytes()) != crc:
-            raise ValueError(f"block {i}: wrong checksum")
-    return out
+        ahead = ((np.maximum(point - b1, 0) + 1) << SPAN) - 1
+        symbol = models.symbol_at.take((ahead / rest).astype("int64") + models.lane_point[:m])
+        packed = models.packed.take(models.lane_symbol[:m] + symbol)
+        start, end = b1 + ((((packed >> 13) & 8191) * rest) >> SPAN), b1 + (((packed & 8191) * rest) >> SPAN)
+        now = (packed >> 26).astype("int32")
+        for x, one, two in ((start, b2, 0), (end, b1, b2), (now, p1, p2)):
+            np.putmask(x, predicted, one)
+            np.putmask(x, ok2, two)
+        v, w = _taken_in(flat, used[:m], last[:m], v - r * start, r * (end - start))
+        new = ((symbol >= RECENT) & ~predicted).nonzero()[0]
+        if len(new):
+            bins, place, own = symbol[new] - RECENT, used[new], v[new]
+            size = 1 << LEFT_OF[bins]
+            one = np.floor(w[new] / size)
+            below = np.minimum(own / one, size - 1).astype("int64")
+            v[new], w[new] = _taken_in(flat, place, last[new], own - one * below, one)
+            used[new] = place
+            now[new] = BASE_OF[bins] + below
+        value[:m], width[:m] = v, w
+        models.ids[t, :m] = now
+        models.learn(t, m, now, p1 == now, ok2)
+    return models.ids
+
+
+def _taken_in(flat: np.ndarray, used: np.ndarray, last: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sixteen bits more for the blocks whose width has room for them."""
+    small = w < WORD16
+    more = small * 65535.0 + 1
+    v = v * more + flat.take(used) * small
+    used += small
+    np.minimum(used, last, out=used)
+    return v, w * more
 
 
 class WordIds:
     """Ids of words, each distinct one tokenized once while there is room. Words are known by their
     bytes, not by a hash of them. When the room is full, the words seen since the last time make up
-    the older half, from which those that come again are taken over; the rest is forgotten."""
+    the older half, from which those that come again are taken over; the rest is forgotten.
+
+    A tokenizer that normalizes and splits as ``SPLITS`` says always takes a single mark of ``MARKS``
+    after a letter or digit at a word's end by itself, and takes capitals as small letters; so words
+    are known without the mark and with a small first letter. Words of small letters alone
+    pass its normalizer and its pattern unchanged, so they are given to its model without these.
+    """
 
-    LIMIT = 1 << 26  # bytes of words and ids in each half
+    LIMIT = 3 << 25  # bytes of words and ids in each half
+    SPLITS = (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    )
+    MARKS = b".,;:!?"
+    #: Small letters of ASCII and Latin-1.
+    PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+    MARK = np.isin(np.arange(256), list(MARKS))
+    #: ASCII letters and digits, ASCII letters, capitals, and the second bytes of the letters of Latin-1.
+    ASCII = np.isin(np.arange(256), list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    LETTER, CAPITAL = ASCII & (np.arange(256) > 57), ASCII & (np.arange(256) > 57) & (np.arange(256) < 97)
+    LATIN = (np.arange(256) >= 0x80) & (np.arange(256) < 0xC0) & ~np.isin(np.arange(256), (0x97, 0xB7))
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.bits = max(16, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
+        stated = json.loads(self.tokenizer.to_str())
+        model = stated["model"]
+        self.splits = (stated["normalizer"], stated["pre_tokenizer"]) == self.SPLITS and not stated["truncation"] and not stated["padding"]
+        self.model = None
+        if self.splits:
+            # an added token might hold letters or marks only
+            self.splits = all("<" in x["content"] and not x["normalized"] and not x["lstrip"] and not x["rstrip"] for x in stated["added_tokens"])
+        if self.splits:
+            if model["type"] == "BPE" and model["end_of_word_suffix"] and not model["unk_token"] and not model["dropout"]:
+                self.model = Tokenizer.from_file(path)
+                self.model.normalizer = normalizers.Sequence([])
+                self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+                self.ends = np.zeros(1 << self.bits, bool)
+                self.ends[[k for word, k in self.tokenizer.get_vocab().items() if word.endswith(model["end_of_word_suffix"])]] = True
         self.start()
         self.older: tuple = ({}, self.begin, self.size, self.flat)
 
@@ -316,6 +389,13 @@ class WordIds:
         self.begin, self.size = np.zeros(1 << 12, "int64"), np.zeros(1 << 12, "int64")
         self.flat, self.n, self.held = np.zeros(1 << 16, "uint32"), 0, 0
 
+    def _by_model(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The same of words of small letters, whose last ids tell that they are; None if those aren't one a word."""
+        texts = [b" ".join(raw[i : i + 256]).decode() for i in range(0, len(raw), 256)]
+        ids = np.concatenate([np.array(x.ids, "uint32") for x in self.model.encode_batch_fast(texts, add_special_tokens=False)])
+        last = self.ends[ids].nonzero()[0]
+        return (ids, np.diff(last, prepend=-1)) if len(last) == len(raw) and last[-1] == len(ids) - 1 else None
+
     def _tokenized(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words, as texts of some hundred words; the places of the ids tell whose they are."""
         shown = [x.decode("utf-8", "replace") for x in raw]
@@ -348,34 +428,75 @@ class WordIds:
             each = size[at]
             self._add(old, flat[np.arange(each.sum()) + np.repeat(begin[at] - np.cumsum(each) + each, each)], each)
             raw = [x for x in raw if x not in known]
+        if self.model:
+            small = [x.isalpha() and x.islower() or bool(self.PLAIN(x)) for x in raw]
+            if any(small) and (found := self._by_model(plain := list(compress(raw, small)))):
+                self._add(plain, *found)
+                raw = [x for x, k in zip(raw, small) if not k]
         if raw:
             self._add(raw, *self._tokenized(raw))
 
+    def _cut(self, words: Words) -> tuple[np.ndarray, ...]:
+        """(bytes of the words without what stands between them, their bounds, the words from which a
+        mark was cut, those marks)."""
+        data, inside, start, end = words.data, WORD_BYTES[words.data], words.start, words.end
+        cut, mark = np.zeros(0, "int64"), np.zeros(0, "uint8")
+        if self.splits and words.n:
+            cut = self.MARK[data[end - 1]].nonzero()[0]
+            stop, size = end[cut], end[cut] - start[cut]
+            before = data[np.maximum(stop - 2, 0)]
+            cut = cut[self.ASCII[before] & (size > 1) | self.LATIN[before] & (data[np.maximum(stop - 3, 0)] == 0xC3) & (size > 2)]
+            mark = data[end[cut] - 1]
+            inside[end[cut] - 1] = False
+            end = end.copy()
+            end[cut] -= 1
+            # a mark after the capital might make one letter of both
+            big = start[self.CAPITAL[data[start]].nonzero()[0]]
+            data = data.copy()
+            data[big[self.LETTER[data[np.minimum(big + 1, len(data) - 1)]]]] += 32
+        return data[inside], np.append(0, np.cumsum(end - start)).astype("int32"), cut, mark
+
     def of(self, words: Words, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts laid end to end, each with the end id; their numbers)."""
         if self.held > self.LIMIT:
             self.older = (self.known, self.begin, self.size, self.flat)
             self.start()
-        # the words without what stands between them, as an array of strings of their own
-        bounds = np.append(0, np.cumsum(words.end - words.start)).astype("int32")
-        packed = words.data[WORD_BYTES[words.data]]
+        # the words as an array of strings of their own
+        packed, bounds, cut, mark = self._cut(words)
         column = pa.Array.from_buffers(pa.binary(), words.n, [None, pa.py_buffer(bounds), pa.py_buffer(packed)]).dictionary_encode()
-        distinct = column.dictionary.to_pylist()
-        at = [self.known.get(x, -1) for x in distinct]
-        if new := [x for x, k in zip(distinct, at) if k < 0]:
+        distinct = _as_bytes(column.dictionary)
+        at = list(map(self.known.get, distinct))
+        if new := [x for x, k in zip(distinct, at) if k is None]:
             self._learn(new)
-            at = [self.known[x] for x in distinct]
-        at = np.array(at, "int64")[column.indices.to_numpy()]
-        begin, size = self.begin[at], self.size[at]
+            at = [self.known[x] if k is None else k for x, k in zip(distinct, at)]
+        # the marks that were cut off, and the end id as a word that has a space
+        for x in self.MARKS:
+            if bytes([x]) not in self.known:
+                self._learn([bytes([x])])
+        if (end := b" %d" % end_id) not in self.known:
+            self._add([end], np.array([end_id], "uint32"), np.array([1]))
         n = len(words.first) - 1
-        given = np.append(0, np.cumsum(size))
-        per_text = given[words.first[1:]] - given[words.first[:-1]] + 1
-        total = int(per_text.sum())
-        place = np.ones(total, bool)
-        place[np.cumsum(per_text) - 1] = False
-        out = np.full(total, end_id, "uint32")
-        out[place] = self.flat[np.arange(given[-1]) + np.repeat(begin - given[:-1], size)]
-        return out, per_text if n else np.zeros(0, "int64")
+        ends = words.first[1:] + np.searchsorted(cut, words.first[1:]) + np.arange(n)
+        marks = cut + np.arange(1, len(cut) + 1) + np.searchsorted(words.first[1:], cut, side="right")
+        items, place = np.full(words.n + len(cut) + n, self.known[end], "int32"), np.ones(words.n + len(cut) + n, bool)
+        items[marks] = np.array([self.known.get(bytes([x]), 0) for x in range(256)], "int32")[mark]
+        place[marks] = place[ends] = False
+        items[place] = np.array(at, "int32").take(column.indices.to_numpy())
+        have = len(self.known)
+        listed = pa.ListArray.from_arrays(pa.array(np.append(self.begin[:have], self.n).astype("int32")), pa.array(self.flat[: self.n]))
+        found = listed.take(pa.array(items))
+        until = found.offsets.to_numpy()[ends + 1]
+        return found.flatten().to_numpy(), np.diff(until, prepend=0).astype("int64")
+
+
+def _as_bytes(column: pa.Array) -> list[bytes]:
+    """The values of a binary column without nulls."""
+    if not len(column):
+        return []
+    cuts = np.frombuffer(column.buffers()[1], "int32")[column.offset : column.offset + len(column) + 1].tolist()
+    data = column.buffers()[2]
+    data = data.to_pybytes() if data else b""
+    return [data[b:e] for b, e in pairwise(cuts)]
 
 
 @lru_cache(maxsize=1)
@@ -420,7 +541,7 @@ def segments(docs: DataFrame, tokenizer: str, end_id: int, block: int = BLOCK, s
             number, docs_in, sizes_in, ids_in, n = number + 1, [], [], [], 0
 
         for b in batches:
-            for lo, hi, data, offsets in text_chunks(b.column(1), 1 << 20):
+            for lo, hi, data, offsets in text_chunks(b.column(1), 1 << 22):
                 ids, size = known.of(Words(data, offsets), end_id)
                 docs_in.append(b.column(0).slice(lo, hi - lo))
                 sizes_in.append(size)

@@ -96,6 +96,28 @@ def test_words_come_over_from_the_older_half(monkeypatch):
         assert known.of(Words(data, offsets), 2)[0].tolist() == [*known.tokenizer.encode(text, add_special_tokens=False).ids, 2]
 
 
+def test_marks_and_capitals_make_no_words_of_their_own():
+    public = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+
+    from sievemark.llm.wordscan import Words, text_chunks
+
+    known = token_files.WordIds(public.path("word_bpe_49k.json"))
+
+    def of(texts):
+        ((_, _, data, offsets),) = text_chunks(pa.array(texts))
+        return known.of(Words(data, offsets), 2)
+
+    of(["word Word word, Word. word!", "Word?"])
+    assert [x for x in known.known if b"ord" in x] == [b"word"]
+    odd = "WORD wOrd w\u00f6rd, W\u00f6rd! H\u0308. H\u0331a h\u0331a \u1e96, I\u0307, \u0130! A<|endoftext|> <|endoftext|>. a<|ENDOFTEXT|>, A|endoftext|>. x's. It's, 's, 'S. 5. 12, ... ., ,a a.b. \u00e9, e\u0301. \u00d7. \u00f7! \u00b5, \u00df: \u00c0b \u00e0b \u2026. \u3002, \u0430. a\u037e b; c\u0338. Q\u00a0x. y\u0085z,"
+    texts = [odd, "A", "B.", "", None, "c", "D", "\u00e9", ".", "Zoo"] + odd.split()
+    ids, sizes = of(texts)
+    want = [[*known.tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert sizes.tolist() == list(map(len, want))
+    assert ids.tolist() == sum(want, [])
+
+
 def test_token_files(spark, corpus, rows, empty, tmp_path):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
